@@ -15,6 +15,10 @@ SEGMENT = ["seg_id"]
 WINDOW = ["seg_id", "win_id"]
 
 
+def _opens(ts: str, gap_ms: int) -> Column:
+    return F.col("previous").isNull() | (F.col(ts) - F.col("previous") > gap_ms)
+
+
 def _segment_carry(traces: DataFrame, keys: list[str], gap_ms: int, chunk_ms: int) -> DataFrame:
     """Per chunk: the last earlier timestamp, the start of the segment it lies in, segments so far.
 
@@ -30,10 +34,8 @@ def _segment_carry(traces: DataFrame, keys: list[str], gap_ms: int, chunk_ms: in
     ).drop("chunk")
     # A piece also goes to the next chunk when it can still reach over the border.
     pieces = tile(pieces, chunk_ms, before=gap_ms, lo="lo", hi="hi")
-    previous = F.lag("hi").over(by_chunk(keys, "lo"))
-    starts = pieces.withColumn(
-        "start", F.when(previous.isNull() | (F.col("lo") - previous > gap_ms), F.col("lo"))
-    ).where(in_own_chunk(chunk_ms, "lo"))
+    pieces = pieces.withColumn("previous", F.lag("hi").over(by_chunk(keys, "lo"))).where(in_own_chunk(chunk_ms, "lo"))
+    starts = pieces.withColumn("start", F.when(_opens("lo", gap_ms), F.col("lo")))
     chunks = starts.groupBy(*keys, "chunk").agg(
         F.max("hi").alias("last_ts"), F.max("start").alias("last_start"), F.count("start").alias("n_starts")
     )
@@ -48,10 +50,8 @@ def _segment_tiles(traces, keys, gap_ms, chunk_ms, after=0):
         tile(traces, chunk_ms, after=after), _segment_carry(traces, keys, gap_ms, chunk_ms), [*keys, "chunk"]
     )
     w = by_chunk(keys)
-    previous = F.coalesce(F.lag("timestamp").over(w), F.col("carry_ts"))
-    rows = rows.withColumn(
-        "opens", F.when(previous.isNull() | (F.col("timestamp") - previous > gap_ms), F.col("timestamp"))
-    )
+    rows = rows.withColumn("previous", F.coalesce(F.lag("timestamp").over(w), F.col("carry_ts")))
+    rows = rows.withColumn("opens", F.when(_opens("timestamp", gap_ms), F.col("timestamp"))).drop("previous")
     seen = F.count("opens").over(running(w)) + F.coalesce(F.col("carry_n"), F.lit(0))
     return rows.withColumns({
         "seg_id": (seen - 1).cast("int"),
