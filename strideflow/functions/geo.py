@@ -16,8 +16,8 @@ def haversine_km(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Colu
     half_lat = F.sin(F.radians(lat2 - lat1) / F.lit(2.0))
     half_lng = F.sin(F.radians(lng2 - lng1) / F.lit(2.0))
     h = half_lat * half_lat + half_lng * half_lng * F.cos(F.radians(lat1)) * F.cos(F.radians(lat2))
-    h = F.least(h, F.lit(1.0))
-    return F.lit(2.0 * EARTH_RADIUS_KM) * F.atan2(F.sqrt(h), F.sqrt(F.lit(1.0) - h))
+    # Rounding may lift h above 1 for opposite points. Without a coordinate h, and the result, is null.
+    return F.lit(2.0 * EARTH_RADIUS_KM) * F.atan2(F.sqrt(h), F.sqrt(F.greatest(F.lit(1.0) - h, F.lit(0.0))))
 
 
 def haversine_m(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:

@@ -37,7 +37,7 @@ def dist(lat1, lng1, lat2, lng2):
         f"(pow(sin(radians({lat2} - {lat1}) / 2e0), 2) + pow(sin(radians({lng2} - {lng1}) / 2e0), 2)"
         f" * cos(radians({lat1})) * cos(radians({lat2})))"
     )
-    return f"(2e0 * {EARTH_RADIUS_KM} * atan2(sqrt(least({h}, 1e0)), sqrt(1e0 - least({h}, 1e0))) * 1e3)"
+    return f"(2e0 * {EARTH_RADIUS_KM} * atan2(sqrt({h}), sqrt(1e0 - {h})) * 1e3)"
 
 
 # --- segments, windows, features --------------------------------------------------------------

@@ -62,10 +62,21 @@ def unit_scaler(train: DataFrame, columns: Sequence[str]) -> tuple[SQLTransforme
 
 
 def train_naive_bayes(train: DataFrame, location_aware: bool) -> PipelineModel:
-    """Multinomial Bayes takes no negative values, so the features are scaled first."""
+    """Multinomial Bayes takes no negative values, so the features are scaled first.
+
+    It numbers the classes it saw without gaps; the last stage turns those numbers into labels.
+    """
     scaler, names = unit_scaler(train, feature_columns(location_aware))
-    assembled = VectorAssembler(inputCols=names, outputCol="features")
-    return Pipeline(stages=[scaler, assembled, NaiveBayes(smoothing=SMOOTHING)]).fit(train)
+    labels = sorted(r["label"] for r in train.select("label").distinct().collect())
+    known = F.array(*[F.lit(v) for v in labels])
+    numbered = train.withColumn("class_number", (F.array_position(known, F.col("label")) - 1).cast("double"))
+    bayes = NaiveBayes(smoothing=SMOOTHING, labelCol="class_number", predictionCol="class_prediction")
+    fitted = Pipeline(stages=[scaler, VectorAssembler(inputCols=names, outputCol="features"), bayes]).fit(numbered)
+    listed = ", ".join(f"{v!r}D" for v in labels)
+    back = SQLTransformer(
+        statement=f"SELECT *, element_at(array({listed}), CAST(class_prediction AS INT) + 1) AS prediction FROM __THIS__"
+    )
+    return PipelineModel(stages=[*fitted.stages, back])
 
 
 TRAINERS = {

@@ -24,12 +24,12 @@ def times(spark, ts, user="a"):
     return frame(spark, [{"user": user, "timestamp": t} for t in ts])
 
 
-def random_streams(seed, users, n, max_step, spread_m=0.0, jump=0.0):
+def random_streams(seed, users, n, max_step, spread_m=0.0, jump=0.0, start_ms=0):
     """Traces of several users with random pauses, drifting and jumping between two places."""
     rng = np.random.default_rng(seed)
     rows = []
     for u in range(users):
-        ts = 1000 * u + np.cumsum(rng.integers(1, max_step + 1, n)) - rng.integers(0, 500)
+        ts = start_ms + 1000 * u + np.cumsum(rng.integers(1, max_step + 1, n)) - rng.integers(0, 500)
         place = 0
         for t in ts:
             if rng.random() < jump:
