@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strideflow.functions.dimensions import activity_dim, activity_id, activity_label
-from strideflow.functions.geo import haversine_m
+from strideflow.functions.geo import double, haversine_m
 from strideflow.operators import clustering, features, neighbours, poi, segments
 from strideflow.plans import models as M
 from strideflow.plans import recognition, training
@@ -30,10 +30,9 @@ RUN_START = 1_600_000_000_000
 
 def rounded(df: DataFrame) -> DataFrame:
     """Doubles to 6 places: sums and trigonometry may differ in the last bits between engines."""
-    def shown(f: T.StructField) -> Column:
-        return (F.round(f.name, 6) + F.lit(0.0)).alias(f.name) if f.dataType == T.DoubleType() else F.col(f.name)
-
-    return df.select(*[shown(f) for f in df.schema.fields])
+    return df.selectExpr(*[
+        f"round({f.name}, 6) + 0D AS {f.name}" if f.dataType == T.DoubleType() else f.name for f in df.schema.fields
+    ])
 
 
 def _windowed(t: DataFrame) -> DataFrame:
@@ -114,7 +113,7 @@ def activity_ids(spark, sf_dir):
 # --- distance, neighbours, clusters -----------------------------------------------------------
 
 def haversine(spark, sf_dir):
-    d = haversine_m(F.col("latitude"), F.col("longitude"), F.lit(HOME[0]), F.lit(HOME[1]))
+    d = haversine_m("latitude", "longitude", double(HOME[0]), double(HOME[1]))
     return rounded(traces_view(spark, sf_dir).select(*RECORD, d.alias("distance_m")))
 
 

@@ -1,4 +1,8 @@
-"""Great-circle distance and the grid used by radius joins."""
+"""Great-circle distance and the grid used by radius joins, as SQL expressions.
+
+Arguments are SQL texts (column names or literals). A whole formula is one expression, which is
+parsed in one step; building it operator by operator from Python costs a round trip for each.
+"""
 
 from __future__ import annotations
 
@@ -12,39 +16,48 @@ from strideflow.schemas import EARTH_RADIUS_KM
 METRES_PER_DEGREE = EARTH_RADIUS_KM * 1000.0 * math.pi / 180.0
 
 
-def haversine_km(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
-    half_lat = F.sin(F.radians(lat2 - lat1) / F.lit(2.0))
-    half_lng = F.sin(F.radians(lng2 - lng1) / F.lit(2.0))
-    h = half_lat * half_lat + half_lng * half_lng * F.cos(F.radians(lat1)) * F.cos(F.radians(lat2))
-    # Rounding may lift h above 1 for opposite points. Without a coordinate h, and the result, is null.
-    return F.lit(2.0 * EARTH_RADIUS_KM) * F.atan2(F.sqrt(h), F.sqrt(F.greatest(F.lit(1.0) - h, F.lit(0.0))))
+def double(value: float) -> str:
+    return f"{float(value)!r}D"
+
+
+def haversine_sql(lat1: str, lng1: str, lat2: str, lng2: str) -> str:
+    """Metres between two points; null where a coordinate is missing."""
+    half_lat, half_lng = f"sin(radians({lat2} - {lat1}) / 2D)", f"sin(radians({lng2} - {lng1}) / 2D)"
+    h = f"({half_lat} * {half_lat} + {half_lng} * {half_lng} * cos(radians({lat1})) * cos(radians({lat2})))"
+    # Rounding may lift h above 1 for opposite points.
+    return f"{double(2.0 * EARTH_RADIUS_KM)} * atan2(sqrt({h}), sqrt(greatest(1D - {h}, 0D))) * 1000D"
 
 
-def haversine_m(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
-    return haversine_km(lat1, lng1, lat2, lng2) * F.lit(1000.0)
+def haversine_m(lat1: str, lng1: str, lat2: str, lng2: str) -> Column:
+    return F.expr(haversine_sql(lat1, lng1, lat2, lng2))
 
 
-def latitude_rules_out(lat1: Column, lat2: Column, distance_m: float) -> Column:
-    """True where the latitudes alone already put two points beyond ``distance_m``.
+def within_sql(lat1: str, lng1: str, lat2: str, lng2: str, distance_m: float, compare: str = "<") -> str:
+    """Condition that two points are less than (or at most) ``distance_m`` apart.
 
-    Cheap test in front of the trigonometry; the margin keeps it on the safe side of rounding.
+    Latitudes alone rule most pairs out before the trigonometry; the margin keeps that test on
+    the safe side of rounding.
     """
-    return F.abs(lat1 - lat2) > F.lit(distance_m / METRES_PER_DEGREE * (1 + 1e-6) + 1e-9)
+    degrees = distance_m / METRES_PER_DEGREE * (1 + 1e-6) + 1e-9
+    return (
+        f"abs({lat1} - {lat2}) <= {double(degrees)}"
+        f" AND {haversine_sql(lat1, lng1, lat2, lng2)} {compare} {double(distance_m)}"
+    )
 
 
-def latitude_band(lat: Column, cell_m: float) -> Column:
-    return F.floor((lat + F.lit(90.0)) / F.lit(cell_m / METRES_PER_DEGREE))
+def latitude_band(lat: str, cell_m: float) -> str:
+    return f"floor(({lat} + 90D) / {double(cell_m / METRES_PER_DEGREE)})"
 
 
-def band_columns(band: Column, cell_m: float) -> Column:
+def band_columns(band: str, cell_m: float) -> str:
     """How many longitude cells of at least ``cell_m`` metres fit around a latitude band."""
-    step = F.lit(cell_m / METRES_PER_DEGREE)
-    south = band.cast("double") * step - F.lit(90.0)
-    widest = F.greatest(F.abs(south), F.abs(south + step))
-    around = F.lit(360.0 * METRES_PER_DEGREE / cell_m) * F.cos(F.radians(F.least(widest, F.lit(90.0))))
-    return F.greatest(F.floor(around), F.lit(1).cast("bigint"))
+    step = double(cell_m / METRES_PER_DEGREE)
+    south = f"(CAST({band} AS DOUBLE) * {step} - 90D)"
+    widest = f"least(greatest(abs({south}), abs({south} + {step})), 90D)"
+    around = double(360.0 * METRES_PER_DEGREE / cell_m)
+    return f"greatest(floor({around} * cos(radians({widest}))), 1L)"
 
 
-def longitude_cell(lng: Column, columns: Column) -> Column:
+def longitude_cell(lng: str, columns: str) -> str:
     """Cell number before wrapping; apply ``pmod(…, columns)`` to join across the date line."""
-    return F.floor((lng + F.lit(180.0)) / F.lit(360.0) * columns.cast("double"))
+    return f"floor(({lng} + 180D) / 360D * CAST({columns} AS DOUBLE))"

@@ -13,7 +13,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strideflow.functions.geo import haversine_m
+from strideflow.functions.geo import haversine_m, within_sql
 from strideflow.operators.components import connected_components
 from strideflow.operators.neighbours import near_pairs
 from strideflow.operators.timeline import (
@@ -41,9 +41,8 @@ def _neighbour_bounds(traces, keys, min_points, distance_m, time_ms, chunk_ms) -
     reach = time_ms - 1
     rows = tile(traces.select(*keys, *POINT), chunk_ms, before=2 * time_ms, after=2 * time_ms)
     w = by_chunk(keys)
-    lat, lng = F.col("latitude"), F.col("longitude")
-    step = haversine_m(F.lag(lat).over(w), F.lag(lng).over(w), lat, lng)
-    rows = rows.withColumn("step", F.coalesce(step, F.lit(0.0)))
+    rows = rows.withColumns({"lat0": F.lag("latitude").over(w), "lng0": F.lag("longitude").over(w)})
+    rows = rows.withColumn("step", F.coalesce(haversine_m("lat0", "lng0", "latitude", "longitude"), F.lit(0.0)))
     rows = rows.withColumns({
         "path": F.sum("step").over(running(w)),
         "in_time": count_within(F.lit(True), w, reach) - F.lit(1),
@@ -63,13 +62,13 @@ def _core_flags(traces, keys, min_points, distance_m, time_ms, chunk_ms) -> Data
     bounds = stage(_neighbour_bounds(traces, keys, min_points, distance_m, time_ms, chunk_ms), "bounds")
     open_rows = bounds.where("open").select(*keys, *POINT)
     around = bounds.where("near_open").select(*keys, *POINT)
-    counted = (
-        near_pairs(open_rows, around, keys, distance_m, time_ms)
-        .groupBy(*keys, F.col("l_timestamp").alias("timestamp")).agg(F.count("*").alias("n"))
-        .where(F.col("n") >= min_points).select(*keys, "timestamp", F.lit(True).alias("looked_up"))
-    )
-    looked_up = open_rows.join(counted, [*keys, "timestamp"], "left").select(
-        *keys, *POINT, F.coalesce("looked_up", F.lit(False)).alias("core")
+    looked_up = (
+        near_pairs(open_rows, around, keys, distance_m, time_ms, "left")
+        .groupBy(*keys, F.col("l_timestamp").alias("timestamp"))
+        .agg(
+            F.first("l_latitude").alias("latitude"), F.first("l_longitude").alias("longitude"),
+            (F.count("r_timestamp") >= min_points).alias("core"),
+        )
     )
     return bounds.where("not open").select(*keys, *POINT, "core").union(looked_up)
 
@@ -86,11 +85,10 @@ def _core_runs(flags, keys, distance_m, time_ms, chunk_ms) -> DataFrame:
     w = by_chunk(keys)
     here = F.struct(*POINT)
     rows = rows.withColumn("prev", F.last(F.when(F.col("core"), here), ignorenulls=True).over(earlier(w)))
-    joined_up = (F.col("timestamp") - F.col("prev.timestamp") < time_ms) & (
-        haversine_m(F.col("prev.latitude"), F.col("prev.longitude"), F.col("latitude"), F.col("longitude"))
-        < distance_m
+    near = within_sql("prev.latitude", "prev.longitude", "latitude", "longitude", distance_m)
+    rows = rows.withColumn(
+        "starts", F.expr(f"core AND NOT coalesce(timestamp - prev.timestamp < {time_ms} AND {near}, false)")
     )
-    rows = rows.withColumn("starts", F.col("core") & ~F.coalesce(joined_up, F.lit(False)))
     rows = rows.withColumns({
         "near_start": count_within(F.col("starts"), w, reach) > 0,
         "near_core": count_within(F.col("core"), w, reach) > 0,
@@ -118,16 +116,16 @@ def _number_clusters(cores, keys, distance_m, time_ms, chunk_ms) -> DataFrame:
         near_pairs(touching, touching, keys, distance_m, time_ms).where("l_run > r_run")
         .select(*keys, F.col("l_run").alias("hi"), F.col("r_run").alias("lo"))
     )
-    merged = connected_components(edges, keys).withColumnRenamed("node", "run")
-    run_chunks = cores.groupBy(*keys, "chunk", "run").agg(F.lit(1).alias("one")).drop("one")
-    runs = run_chunks.join(merged, [*keys, "run"], "left").withColumn(
-        "component", F.coalesce("component", "run")
-    )
-    # A component is named by its first core timestamp, which is also a run of its own name.
-    heads = cores.where(F.col("timestamp") == F.col("run")).select(*keys, "run").join(
-        merged.where("run <> component"), [*keys, "run"], "left_anti"
-    ).withColumnRenamed("run", "component")
-    numbered = ordinal(heads, keys, "component", chunk_ms, "cluster_id")
+    runs = cores.select(*keys, "chunk", "run").distinct()
+    # A component is named by its first core timestamp, so the run that starts it has its name.
+    heads = cores.where("timestamp = run").select(*keys, "run")
+    merged = connected_components(edges, keys)
+    if merged is None:
+        return runs.join(ordinal(heads, keys, "run", chunk_ms, "cluster_id"), [*keys, "run"])
+    merged = merged.withColumnRenamed("node", "run")
+    runs = runs.join(merged, [*keys, "run"], "left").withColumn("component", F.coalesce("component", "run"))
+    heads = heads.join(merged.where("run <> component"), [*keys, "run"], "left_anti")
+    numbered = ordinal(heads.withColumnRenamed("run", "component"), keys, "component", chunk_ms, "cluster_id")
     return runs.join(numbered, [*keys, "component"]).drop("component")
 
 

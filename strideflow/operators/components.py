@@ -31,15 +31,17 @@ def _small_star(edges: DataFrame, keys: list[str]) -> DataFrame:
     return others.union(least.select(*keys, "hi", F.col("m").alias("lo"))).distinct()
 
 
-def connected_components(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """``(keys, hi, lo)`` with ``hi > lo`` in, ``(keys, node, component)`` out.
+def connected_components(edges: DataFrame, keys: list[str]) -> DataFrame | None:
+    """``(keys, hi, lo)`` with ``hi > lo`` in, ``(keys, node, component)`` out; None without any edge.
 
     A component is named by its smallest node; nodes without edges are not listed. Each round
     is written to the shared folder, so the plan does not grow with the number of rounds.
     """
     edges = stage(edges.select(*keys, "hi", "lo").distinct(), "edges")
     seen = _signature(edges)
-    while seen[0]:
+    if not seen[0]:
+        return None
+    while True:
         edges = stage(_small_star(_large_star(edges, keys), keys), "stars")
         now = _signature(edges)
         if now == seen:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strideflow.functions.geo import haversine_m
+from strideflow.functions.geo import double, haversine_sql
 from strideflow.operators.poi import count_around, poi_tf
 from strideflow.operators.segments import WINDOW
 from strideflow.schemas import MIN_WINDOW_RECORDS, NOISE_CLUSTER, PEAK_RATIO, POI_RADIUS_M, STREAM_KEYS
@@ -21,9 +21,9 @@ BASIC_FEATURES = ACCEL_FEATURES
 LOCATION_AWARE_FEATURES = TF_FEATURES + MOTION_FEATURES + ACCEL_FEATURES
 
 
-def kmh(metres: Column, ms: Column) -> Column:
+def kmh(metres: str, ms: str) -> str:
     """Speed in km/h; no elapsed time gives no speed."""
-    return F.try_divide(metres, ms / F.lit(1000.0)) * F.lit(3.6)
+    return f"try_divide({metres}, ({ms}) / 1000D) * 3.6D"
 
 
 def steps(windowed: DataFrame, group: list[str]) -> DataFrame:
@@ -34,16 +34,17 @@ def steps(windowed: DataFrame, group: list[str]) -> DataFrame:
         "prev_lat": F.lag("latitude").over(w),
         "prev_lng": F.lag("longitude").over(w),
     })
-    moved = haversine_m(F.col("prev_lat"), F.col("prev_lng"), F.col("latitude"), F.col("longitude"))
-    still = (F.col("prev_lat") == F.col("latitude")) & (F.col("prev_lng") == F.col("longitude"))
-    rows = rows.withColumn("step_m", F.when(still, F.lit(0.0)).otherwise(moved))
-    return rows.withColumn("step_kmh", kmh(F.col("step_m"), F.col("timestamp") - F.col("prev_ts")))
+    moved = haversine_sql("prev_lat", "prev_lng", "latitude", "longitude")
+    rows = rows.withColumn("step_m", F.expr(
+        f"CASE WHEN prev_lat = latitude AND prev_lng = longitude THEN 0D ELSE {moved} END"
+    ))
+    return rows.withColumn("step_kmh", F.expr(kmh("step_m", "timestamp - prev_ts")))
 
 
 def speeds(windowed: DataFrame, keys: list[str] = STREAM_KEYS) -> DataFrame:
     """Speed of every record since the previous one of its window; 0.0 for the first."""
     rows = steps(windowed, _group(windowed, keys))
-    speed = F.when(F.col("prev_ts").isNull(), F.lit(0.0)).otherwise(F.col("step_kmh"))
+    speed = F.expr("CASE WHEN prev_ts IS NULL THEN 0D ELSE step_kmh END")
     return rows.select(*keys, *WINDOW, "timestamp", speed.alias("speed_kmh"))
 
 
@@ -60,47 +61,42 @@ def window_features(windowed: DataFrame, keys: list[str] = STREAM_KEYS,
     partitioning as the final aggregate. Selecting fewer columns prunes the work.
     ``legacy_ms_speed`` divides the average speed by milliseconds instead of seconds.
     """
-    unit = F.lit(1000 if legacy_ms_speed else 1)
     group = _group(windowed, keys)
     whole = Window.partitionBy(*group)
-    rows = steps(windowed, group)
-    rows = rows.withColumns({
+    duration = f"(max(timestamp) - min(timestamp)) * {1000 if legacy_ms_speed else 1}"
+    rows = steps(windowed, group).withColumns({
         "w_size": F.count("*").over(whole),
-        "w_speed": kmh(
-            F.sum("step_m").over(whole),
-            (F.max("timestamp").over(whole) - F.min("timestamp").over(whole)) * unit,
-        ),
+        "w_metres": F.sum("step_m").over(whole),
+        "w_first": F.min("timestamp").over(whole),
+        "w_last": F.max("timestamp").over(whole),
         **{f"w_mean_{a}": F.avg(a).over(whole) for a in AXES},
         **{f"w_max_{a}": F.max(a).over(whole) for a in AXES},
     }).where(F.col("w_size") >= min_records)
 
-    total_m = F.coalesce(F.sum("step_m"), F.lit(0.0))
-    duration = F.max("timestamp") - F.min("timestamp")
-    off_speed = F.col("step_kmh") - F.col("w_speed")
+    mean_speed = kmh("w_metres", f"(w_last - w_first) * {1000 if legacy_ms_speed else 1}")
     aggregates = {
-        "window_start": F.min("timestamp"),
-        "window_end": F.max("timestamp"),
-        "n_records": F.count("*"),
-        "first_lat": F.max(F.when(F.col("prev_ts").isNull(), F.col("latitude"))),
-        "first_lng": F.max(F.when(F.col("prev_ts").isNull(), F.col("longitude"))),
-        "duration_ms": duration,
-        "total_distance": total_m,
-        "avg_speed": F.coalesce(kmh(total_m, duration * unit), F.lit(0.0)),
-        "max_speed": F.greatest(F.max("step_kmh"), F.lit(0.0)),
-        "sd_speed": F.coalesce(F.sqrt(F.sum(off_speed * off_speed) / F.count("*")), F.lit(0.0)),
-        "resultant": F.avg(F.sqrt(sum((F.col(a) * F.col(a) for a in AXES[1:]), F.col("x") * F.col("x")))),
+        "window_start": "min(timestamp)",
+        "window_end": "max(timestamp)",
+        "n_records": "count(*)",
+        "first_lat": "max(CASE WHEN prev_ts IS NULL THEN latitude END)",
+        "first_lng": "max(CASE WHEN prev_ts IS NULL THEN longitude END)",
+        "duration_ms": "max(timestamp) - min(timestamp)",
+        "total_distance": "coalesce(sum(step_m), 0D)",
+        "avg_speed": f"coalesce({kmh('sum(step_m)', duration)}, 0D)",
+        "max_speed": "greatest(max(step_kmh), 0D)",
+        "sd_speed": f"coalesce(sqrt(sum(pow(step_kmh - {mean_speed}, 2)) / count(*)), 0D)",
+        "resultant": "avg(sqrt(x * x + y * y + z * z))",
     }
     for a in AXES:
-        peak_ts = F.when(F.col(a) > F.lit(PEAK_RATIO) * F.col(f"w_max_{a}"), F.col("timestamp"))
-        between = F.try_divide(F.max(peak_ts) - F.min(peak_ts), F.count(peak_ts) - F.lit(1))
+        peak = f"CASE WHEN {a} > {double(PEAK_RATIO)} * w_max_{a} THEN timestamp END"
         aggregates |= {
-            f"mean_{a}": F.avg(a),
-            f"std_{a}": F.stddev_pop(a),
-            f"var_{a}": F.coalesce(F.var_samp(a), F.lit(0.0)),
-            f"absdiff_{a}": F.avg(F.abs(F.col(a) - F.col(f"w_mean_{a}"))),
-            f"peak_{a}": F.coalesce(between, F.lit(0.0)),
+            f"mean_{a}": f"avg({a})",
+            f"std_{a}": f"stddev_pop({a})",
+            f"var_{a}": f"coalesce(var_samp({a}), 0D)",
+            f"absdiff_{a}": f"avg(abs({a} - w_mean_{a}))",
+            f"peak_{a}": f"coalesce(try_divide(max({peak}) - min({peak}), count({peak}) - 1), 0D)",
         }
-    out = rows.groupBy(*group).agg(*[c.alias(name) for name, c in aggregates.items()])
+    out = rows.groupBy(*group).agg(*[F.expr(f"{sql} AS {name}") for name, sql in aggregates.items()])
     return out.drop("chunk")
 
 
@@ -158,14 +154,12 @@ def features_location_aware(windowed: DataFrame, pois: DataFrame, keys: list[str
     is a stay and has no motion. Shares are taken at the first record of the window.
     """
     windows = window_features(windowed, keys, min_records, legacy_ms_speed)
-    is_trip = F.col("cluster_id") == NOISE_CLUSTER
-    moved = {m: F.when(is_trip, F.col(m)).otherwise(F.lit(0.0)) for m in MOTION_FEATURES}
-    stay = ~is_trip
-    at = {
-        "latitude": F.when(stay, F.col("first_lat")),
-        "longitude": F.when(stay, F.col("first_lng")),
-    }
-    described = windows.withColumns(moved | at).drop("first_lat", "first_lng", "duration_ms")
+    trip = f"cluster_id = {NOISE_CLUSTER}"
+    described = windows.withColumns({
+        **{m: F.expr(f"CASE WHEN {trip} THEN {m} ELSE 0D END") for m in MOTION_FEATURES},
+        "latitude": F.expr(f"CASE WHEN NOT {trip} THEN first_lat END"),
+        "longitude": F.expr(f"CASE WHEN NOT {trip} THEN first_lng END"),
+    }).drop("first_lat", "first_lng", "duration_ms")
     counted = count_around(described, _id(keys), pois, radius_m)
     return poi_tf(counted).select(
         *_id(keys), "window_start", "window_end", "n_records", *LOCATION_AWARE_FEATURES

@@ -5,34 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideflow.functions.geo import haversine_m, latitude_rules_out
-from strideflow.operators.timeline import floor_div
+from strideflow.functions.geo import haversine_m, within_sql
+from strideflow.operators.timeline import floor_div, floor_sql
 from strideflow.schemas import MAX_DISTANCE_M, MAX_TIME_DIFFERENCE_MS, STREAM_KEYS
 
 
-def near_pairs(left: DataFrame, right: DataFrame, keys: list[str], distance_m: float, time_ms: int) -> DataFrame:
+def near_pairs(left: DataFrame, right: DataFrame, keys: list[str], distance_m: float, time_ms: int,
+               how: str = "inner") -> DataFrame:
     """Pairs of one stream with ``|dt| < time_ms``, ``dt <> 0`` and distance below ``distance_m``.
 
     Equi-join on stream and time bucket: a left row looks into the two or three buckets it can
     reach, so no bucket holds more than ``time_ms`` rows and none is compared with the whole
     stream. Left columns get the prefix ``l_``, right columns ``r_``. Hand in the smaller side
-    as ``left``, it is the one that is repeated.
+    as ``left``, it is the one that is repeated. With ``how="left"`` each repetition of a left
+    row that finds nothing is kept, without right columns.
     """
     reach = time_ms - 1
-    ts = F.col("timestamp")
-    probes = left.withColumn(
-        "bucket", F.explode(F.sequence(floor_div(ts - reach, time_ms), floor_div(ts + reach, time_ms)))
+    first, last = floor_sql(f"timestamp - {reach}L", time_ms), floor_sql(f"timestamp + {reach}L", time_ms)
+    probes = left.select(
+        *keys, F.expr(f"explode(sequence({first}, {last}))").alias("bucket"),
+        *[F.col(c).alias(f"l_{c}") for c in left.columns if c not in keys],
     )
-    targets = right.withColumn("bucket", floor_div(ts, time_ms))
-    join_on = [*keys, "bucket"]
-    probes = probes.select(*join_on, *[F.col(c).alias(f"l_{c}") for c in left.columns if c not in keys])
-    targets = targets.select(*join_on, *[F.col(c).alias(f"r_{c}") for c in right.columns if c not in keys])
-    apart = F.abs(F.col("l_timestamp") - F.col("r_timestamp"))
-    lat_l, lat_r = F.col("l_latitude"), F.col("r_latitude")
-    distance = haversine_m(lat_l, F.col("l_longitude"), lat_r, F.col("r_longitude"))
-    return probes.join(targets, join_on).where(
-        (apart > 0) & (apart < time_ms) & ~latitude_rules_out(lat_l, lat_r, distance_m) & (distance < distance_m)
+    targets = right.select(
+        *[F.col(k).alias(f"r_{k}") for k in keys], floor_div("timestamp", time_ms).alias("r_bucket"),
+        *[F.col(c).alias(f"r_{c}") for c in right.columns if c not in keys],
     )
+    same = " AND ".join(f"{k} = r_{k}" for k in [*keys, "bucket"])
+    near = within_sql("l_latitude", "l_longitude", "r_latitude", "r_longitude", distance_m)
+    apart = f"abs(l_timestamp - r_timestamp) BETWEEN 1 AND {reach}"
+    joined = probes.join(targets, F.expr(f"{same} AND {apart} AND {near}"), how)
+    return joined.drop("bucket", "r_bucket", *[f"r_{k}" for k in keys])
 
 
 def st_neighbours(traces: DataFrame, distance_m: float = MAX_DISTANCE_M, time_ms: int = MAX_TIME_DIFFERENCE_MS,
@@ -42,7 +44,5 @@ def st_neighbours(traces: DataFrame, distance_m: float = MAX_DISTANCE_M, time_ms
     pairs = near_pairs(points, points, keys, distance_m, time_ms)
     return pairs.select(
         *keys, F.col("l_timestamp").alias("timestamp"), F.col("r_timestamp").alias("neighbour_ts"),
-        haversine_m(
-            F.col("l_latitude"), F.col("l_longitude"), F.col("r_latitude"), F.col("r_longitude")
-        ).alias("distance_m"),
+        haversine_m("l_latitude", "l_longitude", "r_latitude", "r_longitude").alias("distance_m"),
     )

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strideflow.functions.dimensions import poi_type_to_activity
 from strideflow.functions.geo import (
-    METRES_PER_DEGREE, band_columns, haversine_m, latitude_band, latitude_rules_out, longitude_cell,
+    METRES_PER_DEGREE, band_columns, double, haversine_m, latitude_band, longitude_cell, within_sql,
 )
 from strideflow.operators.timeline import chunk_length, tile
 from strideflow.schemas import OTHER_ID, POI_RADIUS_M, STREAM_KEYS
@@ -30,57 +30,47 @@ def categories(include_other: bool) -> list[int]:
 
 def _spread_points(points: DataFrame, ids: list[str], cell_m: float, salts: int) -> DataFrame:
     """Rows without coordinates match nothing; they get negative bands so that they spread too."""
-    columns = band_columns(F.col("band"), cell_m)
-    spread = F.xxhash64(*ids)
-    nowhere = F.lit(-1).cast("bigint") - F.pmod(spread, F.lit(1 << 20))
-    return (
-        points.withColumn("band", F.coalesce(latitude_band(F.col("latitude"), cell_m), nowhere))
-        .withColumn("cell", F.pmod(longitude_cell(F.col("longitude"), columns), columns))
-        .withColumn("salt", F.pmod(spread, F.lit(salts)))
-    )
+    spread = f"xxhash64({', '.join(ids)})"
+    columns = band_columns("band", cell_m)
+    return points.withColumns({
+        "band": F.expr(f"coalesce({latitude_band('latitude', cell_m)}, -1L - pmod({spread}, {1 << 20}L))"),
+        "salt": F.expr(f"pmod({spread}, {salts}L)"),
+    }).withColumn("cell", F.expr(f"pmod({longitude_cell('longitude', columns)}, {columns})"))
 
 
 def _spread_places(places: DataFrame, radius_m: float, cell_m: float, salts: int) -> DataFrame:
     """Repeat each place for every cell its search circle can touch, and every salt."""
-    reach = F.lit(radius_m / METRES_PER_DEGREE * (1 + 1e-6) + 1e-9)
-    lat, lng = F.col("place_lat"), F.col("place_lng")
-    shrink = F.cos(F.radians(F.least(F.abs(lat) + reach, F.lit(90.0))))
+    reach = double(radius_m / METRES_PER_DEGREE * (1 + 1e-6) + 1e-9)
+    south, north = latitude_band(f"place_lat - {reach}", cell_m), latitude_band(f"place_lat + {reach}", cell_m)
+    shrink = f"greatest(cos(radians(least(abs(place_lat) + {reach}, 90D))), 0D)"
     # Close to a pole the circle reaches around it; 181 degrees stands for all longitudes.
-    reach_lng = F.least(F.coalesce(F.try_divide(reach * 1.001, F.greatest(shrink, F.lit(0.0))), F.lit(181.0)), F.lit(181.0))
-    first = longitude_cell(lng - reach_lng, F.col("columns"))
-    last = F.least(longitude_cell(lng + reach_lng, F.col("columns")), first + F.col("columns") - 1)
+    aside = f"least(coalesce(try_divide({reach} * 1.001D, {shrink}), 181D), 181D)"
+    west, east = longitude_cell(f"place_lng - {aside}", "columns"), longitude_cell(f"place_lng + {aside}", "columns")
     return (
-        places.withColumn("band", F.explode(F.sequence(latitude_band(lat - reach, cell_m), latitude_band(lat + reach, cell_m))))
-        .withColumn("columns", band_columns(F.col("band"), cell_m))
-        .withColumn("cell", F.explode(F.sequence(first, last)))
-        .withColumn("cell", F.pmod("cell", F.col("columns")))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
-        .drop("columns")
+        places.withColumn("band", F.expr(f"explode(sequence({south}, {north}))"))
+        .withColumn("columns", F.expr(band_columns("band", cell_m)))
+        .withColumn("cell", F.expr(f"explode(sequence({west}, least({east}, {west} + columns - 1L)))"))
+        .withColumn("cell", F.expr("pmod(cell, columns)"))
+        .withColumn("salt", F.expr(f"explode(sequence(0L, {salts - 1}L))"))
+        .select(*[F.col(c).alias(f"place_{c}") for c in CELL], *places.columns)
     )
 
 
 def _within(points: DataFrame, ids: list[str], places: DataFrame, radius_m: float, how: str, salts: int) -> DataFrame:
     """Join points to places at most ``radius_m`` away: equal grid cells, then the exact distance."""
     cell_m = 2.0 * radius_m
-    left = _spread_points(points, ids, cell_m, salts).alias("p")
-    right = _spread_places(places, radius_m, cell_m, salts).alias("q")
-    lat, lng = F.col("p.latitude"), F.col("p.longitude")
-    near = ~latitude_rules_out(lat, F.col("q.place_lat"), radius_m) & (
-        haversine_m(lat, lng, F.col("q.place_lat"), F.col("q.place_lng")) <= radius_m
-    )
-    same_cell = [F.col(f"p.{c}") == F.col(f"q.{c}") for c in CELL]
-    on = near
-    for condition in same_cell:
-        on = condition & on
-    kept = [c for c in places.columns]
-    return left.join(right, on, how).select(*[F.col(f"p.{c}") for c in points.columns], *[F.col(f"q.{c}") for c in kept])
+    left = _spread_points(points, ids, cell_m, salts)
+    right = _spread_places(places, radius_m, cell_m, salts)
+    same_cell = " AND ".join(f"{c} = place_{c}" for c in CELL)
+    near = within_sql("latitude", "longitude", "place_lat", "place_lng", radius_m, "<=")
+    return left.join(right, F.expr(f"{same_cell} AND {near}"), how).select(*points.columns, *places.columns)
 
 
 def poi_within(points: DataFrame, pois: DataFrame, radius_m: float = POI_RADIUS_M, salts: int = SALTS) -> DataFrame:
     """Pairs of distinct point coordinates and the places at most ``radius_m`` away."""
     places = pois.select("poi_id", F.col("latitude").alias("place_lat"), F.col("longitude").alias("place_lng"))
     pairs = _within(points.select(*SPOT).distinct(), SPOT, places, radius_m, "inner", salts)
-    distance = haversine_m(F.col("latitude"), F.col("longitude"), F.col("place_lat"), F.col("place_lng"))
+    distance = haversine_m("latitude", "longitude", "place_lat", "place_lng")
     return pairs.select(*SPOT, "poi_id", distance.alias("distance_m"))
 
 
@@ -94,7 +84,7 @@ def place_types(pois: DataFrame) -> DataFrame:
 def _spots(pois: DataFrame) -> DataFrame:
     """Type counts per exact place coordinate: many places at one address become one row."""
     return place_types(pois).groupBy(F.col("latitude").alias("place_lat"), F.col("longitude").alias("place_lng")).agg(
-        *[F.count(F.when(F.col("activity_id") == i, F.lit(1))).alias(_n(i)) for i in range(OTHER_ID + 1)]
+        *[F.expr(f"count(CASE WHEN activity_id = {i} THEN 1 END) AS {_n(i)}") for i in range(OTHER_ID + 1)]
     )
 
 
@@ -106,7 +96,7 @@ def count_around(points: DataFrame, ids: list[str], pois: DataFrame, radius_m: f
     joined = _within(points, ids, spots, radius_m, "left", salts)
     return joined.groupBy(*ids).agg(
         *[F.first(c).alias(c) for c in points.columns if c not in ids],
-        *[F.coalesce(F.sum(_n(i)), F.lit(0)).alias(_n(i)) for i in wanted]
+        *[F.expr(f"coalesce(sum({_n(i)}), 0L) AS {_n(i)}") for i in wanted]
     )
 
 
@@ -129,16 +119,17 @@ def poi_map(traces: DataFrame, pois: DataFrame, radius_m: float = POI_RADIUS_M,
     return rows.join(counts, spot).drop("chunk", *SPOT)
 
 
-def share(i: int, wanted: list[int]) -> Column:
-    total = sum((F.col(_n(j)) for j in wanted[1:]), F.col(_n(wanted[0])))
-    return F.coalesce(F.try_divide(F.col(_n(i)).cast("double"), total.cast("double")), F.lit(0.0))
+def share(count: str, counts: list[str]) -> str:
+    """One count among the sum of all, 0 where there are none."""
+    return f"coalesce(try_divide(CAST({count} AS DOUBLE), CAST({' + '.join(counts)} AS DOUBLE)), 0D)"
 
 
 def poi_tf(counts: DataFrame, include_other: bool = False) -> DataFrame:
     """Turn counts into shares per activity, all zero where no place is near."""
     wanted = categories(include_other)
-    kept = [c for c in counts.columns if c not in {_n(i) for i in wanted}]
-    return counts.select(*kept, *[share(i, wanted).alias(f"tf_{i}") for i in wanted])
+    names = [_n(i) for i in wanted]
+    kept = [c for c in counts.columns if c not in names]
+    return counts.select(*kept, *[F.expr(f"{share(_n(i), names)} AS tf_{i}") for i in wanted])
 
 
 def poi_tfidf(counts: DataFrame, scope: list[str], include_other: bool = False) -> DataFrame:
@@ -148,19 +139,18 @@ def poi_tfidf(counts: DataFrame, scope: list[str], include_other: bool = False)
     weight and a scope of one region count as weight one.
     """
     wanted = categories(include_other)
+    names = [_n(i) for i in wanted]
     stats = counts.groupBy(*scope).agg(
         F.count("*").alias("regions"),
-        *[F.count(F.when(F.col(_n(i)) > 0, F.lit(1))).alias(f"with_{i}") for i in wanted],
+        *[F.expr(f"greatest(count(CASE WHEN n_{i} > 0 THEN 1 END), 1L) AS with_{i}") for i in wanted],
     )
-
-    def weight(i: int) -> Column:
-        idf = F.ln(F.col("regions") / F.greatest(F.col(f"with_{i}"), F.lit(1)))
-        return F.when((F.col("regions") <= 1) | (idf == 0.0), F.lit(1.0)).otherwise(idf)
-
-    weights = stats.select(*scope, *[weight(i).alias(f"idf_{i}") for i in wanted])
-    kept = [c for c in counts.columns if c not in {_n(i) for i in wanted}]
+    weights = stats.select(*scope, *[
+        F.expr(f"CASE WHEN regions = with_{i} OR regions <= 1 THEN 1D ELSE ln(regions / with_{i}) END AS idf_{i}")
+        for i in wanted
+    ])
+    kept = [c for c in counts.columns if c not in names]
     return counts.join(weights, scope).select(
-        *kept, *[(share(i, wanted) * F.col(f"idf_{i}")).alias(f"tfidf_{i}") for i in wanted]
+        *kept, *[F.expr(f"{share(_n(i), names)} * idf_{i} AS tfidf_{i}") for i in wanted]
     )
 
 
@@ -173,22 +163,20 @@ def poi_sweep(points: DataFrame, pois: DataFrame, radii: Iterable[float] = (5.0,
     radii = sorted(radii)
     points = points.distinct()
     joined = _within(points, points.columns, _spots(pois), radii[-1], "left", salts)
-    distance = haversine_m(F.col("latitude"), F.col("longitude"), F.col("place_lat"), F.col("place_lng"))
     every = categories(True)
-    sums = joined.withColumn("distance_m", distance).groupBy(*points.columns).agg(*[
-        F.coalesce(F.sum(F.when(F.col("distance_m") <= r, F.col(_n(i)))), F.lit(0)).alias(f"n_{k}_{i}")
+    sums = joined.withColumn("distance_m", haversine_m("latitude", "longitude", "place_lat", "place_lng")).groupBy(
+        *points.columns
+    ).agg(*[
+        F.expr(f"coalesce(sum(CASE WHEN distance_m <= {double(r)} THEN n_{i} END), 0L) AS n_{k}_{i}")
         for k, r in enumerate(radii) for i in every
     ])
 
-    def case(k: int, r: float, other: bool) -> Column:
-        wanted = categories(other)
-        counts = [F.col(f"n_{k}_{i}").cast("double") for i in wanted]
-        total = sum(counts[1:], counts[0])
-        shares = [F.coalesce(F.try_divide(c, total), F.lit(0.0)) for c in counts] + [F.lit(None).cast("double")]
-        return F.struct(
-            F.lit(float(r)).alias("radius_m"), F.lit(other).alias("include_other"),
-            *[shares[i].alias(f"tf_{i}") for i in every],
-        )
-
-    cases = F.explode(F.array(*[case(k, r, o) for k, r in enumerate(radii) for o in (False, True)]))
-    return sums.select(*points.columns, cases.alias("c")).select(*points.columns, "c.*")
+    def case(k: int, r: float, other: bool) -> str:
+        names = [f"n_{k}_{i}" for i in categories(other)]
+        shares = [f"{share(n, names)} AS tf_{i}" for i, n in enumerate(names)]
+        if not other:
+            shares.append(f"CAST(NULL AS DOUBLE) AS tf_{OTHER_ID}")
+        return f"struct({double(r)} AS radius_m, {str(other).lower()} AS include_other, {', '.join(shares)})"
+
+    listed = ", ".join(case(k, r, o) for k, r in enumerate(radii) for o in (False, True))
+    return sums.select(*points.columns, F.expr(f"explode(array({listed}))").alias("c")).select(*points.columns, "c.*")

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strideflow.operators.timeline import (
-    attach_carry, by_chunk, carry_from_earlier_chunks, chunk_length, earlier, floor_div, in_own_chunk,
-    running, tile,
+    attach_carry, by_chunk, carry_from_earlier_chunks, chunk_length, earlier, floor_div, floor_sql,
+    in_own_chunk, running, tile,
 )
 from strideflow.schemas import MIN_WINDOW_RECORDS, SEGMENT_GAP_MS, STREAM_KEYS, WINDOW_MS
 
@@ -16,7 +16,7 @@ WINDOW = ["seg_id", "win_id"]
 
 
 def _opens(ts: str, gap_ms: int) -> Column:
-    return F.col("previous").isNull() | (F.col(ts) - F.col("previous") > gap_ms)
+    return F.expr(f"previous IS NULL OR {ts} - previous > {gap_ms}")
 
 
 def _segment_carry(traces: DataFrame, keys: list[str], gap_ms: int, chunk_ms: int) -> DataFrame:
@@ -26,10 +26,8 @@ def _segment_carry(traces: DataFrame, keys: list[str], gap_ms: int, chunk_ms: in
     largest timestamp of each bucket tell every segment start. The bucket aggregate combines on
     the map side; single samples are not shuffled for it.
     """
-    bucketed = tile(traces.select(*keys, "timestamp"), chunk_ms).withColumn(
-        "bucket", floor_div(F.col("timestamp"), max(gap_ms, 1))
-    )
-    pieces = bucketed.groupBy(*keys, "chunk", "bucket").agg(
+    bucket = floor_div("timestamp", max(gap_ms, 1)).alias("bucket")
+    pieces = tile(traces.select(*keys, "timestamp"), chunk_ms).groupBy(*keys, "chunk", bucket).agg(
         F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi")
     ).drop("chunk")
     # A piece also goes to the next chunk when it can still reach over the border.
@@ -66,13 +64,12 @@ def gap_segments(traces: DataFrame, gap_ms: int = SEGMENT_GAP_MS, keys: list[str
     return _segment_tiles(traces, keys, gap_ms, chunk_ms).drop("chunk")
 
 
-def grid_window(duration_ms: int) -> Column:
+def grid_window(duration_ms: int) -> str:
     """Window number on the grid anchored at the segment start.
 
     Window ``k`` covers ``(start + k*d, start + (k+1)*d]``; the first one also holds the start.
     """
-    offset = F.col("timestamp") - F.col("seg_start")
-    return F.greatest(floor_div(offset + F.lit(duration_ms - 1), duration_ms) - 1, F.lit(0).cast("bigint"))
+    return f"greatest({floor_sql(f'timestamp - seg_start + {duration_ms - 1}L', duration_ms)} - 1L, 0L)"
 
 
 def anchored_windows(segments: DataFrame, duration_ms: int = WINDOW_MS, keys: list[str] = STREAM_KEYS,
@@ -85,12 +82,12 @@ def anchored_windows(segments: DataFrame, duration_ms: int = WINDOW_MS, keys: li
     Otherwise row ``i`` of a segment gets ``i + min(grid_j - j for j <= i)``.
     """
     if gap_ms is not None and gap_ms <= duration_ms:
-        return segments.withColumn("win_id", grid_window(duration_ms).cast("int"))
+        return segments.withColumn("win_id", F.expr(f"CAST({grid_window(duration_ms)} AS INT)"))
     chunk_ms = chunk_length(chunk_ms, duration_ms)
     segment = [*keys, *SEGMENT]
     w = by_chunk(segment)
     rows = tile(segments, chunk_ms).withColumn("at", F.row_number().over(w) - F.lit(1))
-    rows = rows.withColumn("slack", F.min(grid_window(duration_ms) - F.col("at")).over(running(w)))
+    rows = rows.withColumn("slack", F.min(F.expr(f"{grid_window(duration_ms)} - at")).over(running(w)))
     over = earlier(Window.partitionBy(*segment).orderBy("chunk"))
     carry = (
         rows.groupBy(*segment, "chunk")
@@ -116,10 +113,10 @@ def windowed_traces(traces: DataFrame, gap_ms: int = SEGMENT_GAP_MS, duration_ms
     chunk_ms = chunk_length(chunk_ms, gap_ms, duration_ms)
     if gap_ms <= duration_ms:
         rows = _segment_tiles(traces, keys, gap_ms, chunk_ms, after=duration_ms)
-        rows = rows.withColumn("win_id", grid_window(duration_ms).cast("int"))
+        rows = rows.withColumn("win_id", F.expr(f"CAST({grid_window(duration_ms)} AS INT)"))
     else:
         rows = anchored_windows(gap_segments(traces, gap_ms, keys, chunk_ms), duration_ms, keys, gap_ms, chunk_ms)
-    owner = floor_div(F.col("seg_start") + F.col("win_id") * F.lit(duration_ms).cast("bigint"), chunk_ms)
+    owner = floor_div(f"seg_start + win_id * {duration_ms}L", chunk_ms)
     if gap_ms <= duration_ms:
         return rows.where(F.col("chunk") == owner)
     return rows.withColumn("chunk", owner)

@@ -28,10 +28,13 @@ def chunk_length(chunk_ms: int | None, *spans_ms: int) -> int:
     return chunk_ms
 
 
-def floor_div(value: Column, width: int) -> Column:
-    """Integer division rounding down, also for negative values."""
-    w = F.lit(width).cast("bigint")
-    return F.call_function("div", value - F.pmod(value, w), w)
+def floor_sql(value: str, width: int) -> str:
+    """SQL for an integer division that rounds down, also for negative values."""
+    return f"(({value}) - pmod({value}, {width}L)) div {width}L"
+
+
+def floor_div(value: str, width: int) -> Column:
+    return F.expr(floor_sql(value, width))
 
 
 def tile(df: DataFrame, chunk_ms: int, before: int = 0, after: int = 0, lo: str = "timestamp",
@@ -41,14 +44,13 @@ def tile(df: DataFrame, chunk_ms: int, before: int = 0, after: int = 0, lo: str
     Chunk ``c`` gets the rows with ``c*chunk_ms - before <= hi`` and ``lo < (c+1)*chunk_ms + after``.
     """
     if before == 0 and after == 0 and lo == hi:
-        return df.withColumn("chunk", floor_div(F.col(lo), chunk_ms))
-    first = floor_div(F.col(lo) - F.lit(after), chunk_ms)
-    last = floor_div(F.col(hi) + F.lit(before), chunk_ms)
-    return df.withColumn("chunk", F.explode(F.sequence(first, last)))
+        return df.withColumn("chunk", floor_div(lo, chunk_ms))
+    first, last = floor_sql(f"{lo} - {after}L", chunk_ms), floor_sql(f"{hi} + {before}L", chunk_ms)
+    return df.withColumn("chunk", F.expr(f"explode(sequence({first}, {last}))"))
 
 
 def in_own_chunk(chunk_ms: int, ts: str = "timestamp") -> Column:
-    return F.col("chunk") == floor_div(F.col(ts), chunk_ms)
+    return F.expr(f"chunk = {floor_sql(ts, chunk_ms)}")
 
 
 def by_chunk(keys: list[str], order: str = "timestamp"):
@@ -91,7 +93,7 @@ def attach_carry(rows: DataFrame, carry: DataFrame, on: list[str]) -> DataFrame:
 
 def ordinal(df: DataFrame, keys: list[str], ts: str, chunk_ms: int, name: str) -> DataFrame:
     """0-based rank by ``ts`` (unique per stream) without ordering a whole stream in one task."""
-    rows = df.withColumn("chunk", floor_div(F.col(ts), chunk_ms))
+    rows = df.withColumn("chunk", floor_div(ts, chunk_ms))
     carry = carry_from_earlier_chunks(
         rows.groupBy(*keys, "chunk").agg(F.count("*").alias("n")), keys, ranked=F.sum("n")
     )
