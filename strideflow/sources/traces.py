@@ -11,6 +11,7 @@ from strideflow.schemas import (
     LATEST_TRACES, OTHER, POI, RESULT, STREAM_KEYS, TICKS_CSV, TRACE, TRACE_COLUMNS, TRACE_CSV,
     TRACE_CSV_WITH_PLACE, TRAINING_TRACE, XYZ_CSV,
 )
+from strideflow.session import stage
 
 
 def read_traces(spark: SparkSession, path: str, labelled: bool = False, fmt: str = "parquet") -> DataFrame:
@@ -80,14 +81,16 @@ def latest_traces(traces: DataFrame, n: int = LATEST_TRACES, keys: list[str] = S
     """The ``n`` newest records of every stream.
 
     Counts per time chunk tell which chunks can hold them, so only those rows are ranked and no
-    task ranks a whole stream.
+    task ranks a whole stream. The list of chunks is written first: its size is then known, and
+    the samples are filtered where they are read if it is small enough to broadcast, or meet it
+    in a join by stream and chunk if it is not.
     """
     chunk_ms = chunk_length(chunk_ms)
     rows = tile(traces, chunk_ms)
     counts = rows.groupBy(*keys, "chunk").agg(F.count("*").alias("n"))
     newer = Window.partitionBy(*keys).orderBy(F.desc("chunk")).rowsBetween(Window.unboundedPreceding, -1)
     wanted = counts.withColumn("newer", F.coalesce(F.sum("n").over(newer), F.lit(0))).where(F.col("newer") < n)
-    near_end = rows.join(wanted.select(*keys, "chunk"), [*keys, "chunk"], "left_semi")
+    near_end = rows.join(stage(wanted.select(*keys, "chunk"), "chunks"), [*keys, "chunk"], "left_semi")
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("timestamp")))
     return near_end.withColumn("rank", rank).where(F.col("rank") <= n).drop("chunk", "rank")
 

@@ -57,6 +57,7 @@ def test_filters_and_columns_reach_the_files(spark, traces, tmp_path):
         assert "latitude" not in schema and "z:" not in schema
 
 
-def test_latest_counts_before_it_ranks(traces):
+def test_latest_filters_samples_before_they_are_shuffled(traces):
     text = plan(latest_traces(traces, 10))
-    assert "LeftSemi" in text and "NestedLoop" not in text
+    assert "BroadcastHashJoin" in text and "LeftSemi" in text
+    assert len(exchanges(text)) == 1
