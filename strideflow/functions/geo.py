@@ -45,6 +45,24 @@ def within_sql(lat1: str, lng1: str, lat2: str, lng2: str, distance_m: float, co
     )
 
 
+def nearer_sql(left: str, right: str, distance_m: float) -> str:
+    """``within_sql`` for rows with ``…latitude``, ``…longitude`` and ``…cos_lat`` (cosine of latitude).
+
+    Replacing the sine of half an angle by the half angle gives a sum of squares that is never
+    below the exact term and, within one degree, less than 0.01 % above it. Nearly all pairs are
+    decided by it with a few multiplications; the others get the exact distance.
+    """
+    dlat, dlng = f"({left}latitude - {right}latitude)", f"({left}longitude - {right}longitude)"
+    squares = f"({dlat} * {dlat} + {dlng} * {dlng} * {left}cos_lat * {right}cos_lat)"
+    # Squared degrees of whole angles on both sides.
+    half_angle = math.sin(min(distance_m / (2000.0 * EARTH_RADIUS_KM), math.pi / 2))
+    bound = (2.0 * half_angle * 180.0 / math.pi) ** 2
+    surely = f"{squares} < {double(bound * (1 - 1e-9))}"
+    never = f"({squares} > {double(bound * 1.001)} AND abs({dlat}) < 1D AND abs({dlng}) < 1D)"
+    exact = within_sql(f"{left}latitude", f"{left}longitude", f"{right}latitude", f"{right}longitude", distance_m)
+    return f"({surely} OR (NOT {never} AND {exact}))"
+
+
 def latitude_band(lat: str, cell_m: float) -> str:
     return f"floor(({lat} + 90D) / {double(cell_m / METRES_PER_DEGREE)})"
 

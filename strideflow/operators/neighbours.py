@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideflow.functions.geo import haversine_m, within_sql
+from strideflow.functions.geo import haversine_m, nearer_sql
 from strideflow.operators.timeline import floor_div, floor_sql
 from strideflow.schemas import MAX_DISTANCE_M, MAX_TIME_DIFFERENCE_MS, STREAM_KEYS
 
@@ -22,19 +22,20 @@ def near_pairs(left: DataFrame, right: DataFrame, keys: list[str], distance_m: f
     """
     reach = time_ms - 1
     first, last = floor_sql(f"timestamp - {reach}L", time_ms), floor_sql(f"timestamp + {reach}L", time_ms)
+    cos_lat = F.expr("cos(radians(latitude))")
     probes = left.select(
         *keys, F.expr(f"explode(sequence({first}, {last}))").alias("bucket"),
-        *[F.col(c).alias(f"l_{c}") for c in left.columns if c not in keys],
+        *[F.col(c).alias(f"l_{c}") for c in left.columns if c not in keys], cos_lat.alias("l_cos_lat"),
     )
     targets = right.select(
         *[F.col(k).alias(f"r_{k}") for k in keys], floor_div("timestamp", time_ms).alias("r_bucket"),
-        *[F.col(c).alias(f"r_{c}") for c in right.columns if c not in keys],
+        *[F.col(c).alias(f"r_{c}") for c in right.columns if c not in keys], cos_lat.alias("r_cos_lat"),
     )
     same = " AND ".join(f"{k} = r_{k}" for k in [*keys, "bucket"])
-    near = within_sql("l_latitude", "l_longitude", "r_latitude", "r_longitude", distance_m)
+    near = nearer_sql("l_", "r_", distance_m)
     apart = f"abs(l_timestamp - r_timestamp) BETWEEN 1 AND {reach}"
     joined = probes.join(targets, F.expr(f"{same} AND {apart} AND {near}"), how)
-    return joined.drop("bucket", "r_bucket", *[f"r_{k}" for k in keys])
+    return joined.drop("bucket", "r_bucket", "l_cos_lat", "r_cos_lat", *[f"r_{k}" for k in keys])
 
 
 def st_neighbours(traces: DataFrame, distance_m: float = MAX_DISTANCE_M, time_ms: int = MAX_TIME_DIFFERENCE_MS,
