@@ -26,12 +26,16 @@ SUMMARY_GRID = [(35, 40.0, 800), (85, 50.0, 1500), (90, 50.0, 1500)]
 LATEST = 300
 HOME = (47.348098, 7.907894)
 RUN_START = 1_600_000_000_000
+OFF_TIES = "3.14159e-9"
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    """Doubles to 6 places: sums and trigonometry may differ in the last bits between engines."""
+    """Doubles to 6 places: sums and trigonometry may differ in the last bits between engines.
+
+    The offset moves values that lie exactly between two roundings to one side.
+    """
     return df.selectExpr(*[
-        f"round({f.name}, 6) + 0D AS {f.name}" if f.dataType == T.DoubleType() else f.name for f in df.schema.fields
+        f"round({f.name} + {OFF_TIES}D, 6) + 0D AS {f.name}" if f.dataType == T.DoubleType() else f.name for f in df.schema.fields
     ])
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strideflow.catalog import HOME, LATEST, RUN_START, SUMMARY_GRID
+from strideflow.catalog import HOME, LATEST, OFF_TIES, RUN_START, SUMMARY_GRID
 from strideflow.plans.models import RANDOM_FOREST, model_path
 from strideflow.schemas import ACTIVITIES, EARTH_RADIUS_KM, OTHER_ID, PLACE_TYPES, TRIP_ACTIVITIES
 from strideflow.sources.views import POI_SQL, TRACES_SQL
@@ -25,7 +25,7 @@ def same(names, a, b):
 
 
 def r6(expression, name=None):
-    return f"round({expression}, 6) + 0e0 AS {name or expression}"
+    return f"round({expression} + {OFF_TIES}, 6) + 0e0 AS {name or expression}"
 
 
 def with_(*ctes, recursive=False):
