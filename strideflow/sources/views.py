@@ -44,9 +44,11 @@ FROM {part}
 
 def traces_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled traces over the whole ``events`` table."""
-    return spark.sql(TRACES_SQL.format(events="{events}"), events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+    events = spark.read.schema("event_id long, user_id long, value double").parquet(f"{sf_dir}/events.parquet")
+    return spark.sql(TRACES_SQL.format(events="{events}"), events=events)
 
 
 def poi_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places over the whole ``part`` table."""
-    return spark.sql(POI_SQL.format(split="split", part="{part}"), part=spark.read.parquet(f"{sf_dir}/part.parquet"))
+    part = spark.read.schema("p_partkey long").parquet(f"{sf_dir}/part.parquet")
+    return spark.sql(POI_SQL.format(split="split", part="{part}"), part=part)
