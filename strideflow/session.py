@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +24,11 @@ def build_session(app_name: str = "strideflow", master: str | None = None, **con
     return builder.getOrCreate()
 
 
+@cache
+def _own_dir(application_id: str) -> str:
+    return tempfile.mkdtemp(prefix="strideflow-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as named by ``spark.checkpoint.dir``.
 
@@ -34,9 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    own = tempfile.mkdtemp(prefix="strideflow-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    return _own_dir(spark.conf.get("spark.app.id", ""))
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
