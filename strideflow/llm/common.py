@@ -17,6 +17,8 @@ cloudpickle.register_pickle_by_value(strideflow.llm)
 
 # Texts handed to one vectorised step hold about so many bytes together; a longer text is a step of its own.
 STEP_BYTES = 4_000_000
+# A table of at most so many narrow rows is broadcast: tens of megabytes. Beyond it Spark joins by shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,3 +55,8 @@ def steps(texts: pa.Array, most: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
 def matching(texts: pa.Array, pattern: str) -> list[int]:
     """Indices of the texts in which the pattern is found; a linear scan outside Python."""
     return pc.indices_nonzero(pc.match_substring_regex(texts, pattern)).to_pylist()
+
+
+def bounded(staged: DataFrame) -> DataFrame:
+    """A staged table as a broadcast side if its counted rows are few."""
+    return F.broadcast(staged) if staged.count() <= BROADCAST_ROWS else staged

@@ -24,16 +24,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strideflow.llm.common import bounded
 from strideflow.session import stage
 
 BITS = 64
-# A list of at most so many rows is broadcast: tens of megabytes. Beyond it Spark joins by shuffle.
-BROADCAST_ROWS = 500_000
-
-
-def _bounded(df: DataFrame) -> DataFrame:
-    """A staged table as a broadcast side if its counted rows are few."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def words(text: Column) -> Column:
@@ -123,7 +117,7 @@ def contaminated(
     """
     items = item_table(benchmark.select("item_id", "text"), size)
     seeds = items.select("length", F.posexplode("hashes").alias("item_pos", "h"))
-    seeds = _bounded(stage(seeds.groupBy("h", "length").agg(F.min("item_pos").alias("item_pos")), "seeds"))
+    seeds = bounded(stage(seeds.groupBy("h", "length").agg(F.min("item_pos").alias("item_pos")), "seeds"))
 
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w"))
     placed = texts.select("doc_id", "text_hash", F.posexplode(shingle_hashes("w", size)).alias("pos", "h"))
@@ -131,7 +125,7 @@ def contaminated(
     # Windows of one text: a handful of numbers, gathered to meet the text once.
     windows = hits.distinct().groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("length", "start")).alias("windows"))
     windows = stage(windows.withColumnRenamed("doc_id", "id").withColumnRenamed("text_hash", "hash"), "windows")
-    few = _bounded(windows)
+    few = bounded(windows)
     same = docs["doc_id"].eqNullSafe(few["id"]) & (F.xxhash64(docs["text"]) == few["hash"])
     chosen = docs.select("doc_id", "text").join(few, same)
     shingled = chosen.select(
@@ -150,7 +144,7 @@ def contaminated(
     asked = printed.select("doc_id", "text_hash", "start_word", "length", "window_fp", _blocks("window_fp", radius).alias("b"))
     asked = asked.select("doc_id", "text_hash", "start_word", "length", "window_fp", "b.block", "b.value")
     apart = F.bit_count(F.col("window_fp").bitwiseXOR(F.col("item_fp")))
-    pairs = asked.join(_bounded(stage(index, "item-blocks")), ["length", "block", "value"]).where(apart <= radius)
+    pairs = asked.join(bounded(stage(index, "item-blocks")), ["length", "block", "value"]).where(apart <= radius)
     pairs = pairs.select("doc_id", "text_hash", "start_word", "length", "item_id", apart.alias("distance")).distinct()
 
     chosen_windows = printed.select(
@@ -162,7 +156,7 @@ def contaminated(
         F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))
         & (F.col("start_word") == F.col("s")) & (F.col("length") == F.col("l")),
     )
-    held = _bounded(items.select(F.col("item_id").alias("of"), "hashes", "weights", "full_weight"))
+    held = bounded(items.select(F.col("item_id").alias("of"), "hashes", "weights", "full_weight"))
     value = similarity(F.col("window"), F.col("hashes"), F.col("weights"), F.col("full_weight"))
     checked = with_window.join(held, F.col("item_id").eqNullSafe(F.col("of"))).select(
         "doc_id", "text_hash", "item_id", "start_word", "distance", value.alias("similarity"),
@@ -180,6 +174,6 @@ def contaminated(
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the contaminated rows; all columns stay."""
     found = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("leak_id"), "text_hash").distinct()
-    found = _bounded(stage(found, "leaks"))
+    found = bounded(stage(found, "leaks"))
     same = docs["doc_id"].eqNullSafe(found["leak_id"]) & (F.xxhash64(docs["text"]) == found["text_hash"])
     return docs.join(found, same, "left_anti")

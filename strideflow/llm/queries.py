@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strideflow.llm.common import read_table
 from strideflow.llm.decontaminate import contaminated
+from strideflow.llm.langid import identify
 from strideflow.llm.pii import find_pii
+from strideflow.llm.quality import judge
 from strideflow.llm.secrets import scan_secrets
 from strideflow.llm.simhash import near_duplicates
+from strideflow.llm.toxicity import score
 from strideflow.llm.warc import archive_round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +50,21 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(read_table(spark, sf_dir, "documents"))
+
+
 ORACLE: dict[str, str] = {
     "op6_warc": """
         WITH p AS (
