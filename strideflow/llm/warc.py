@@ -2,8 +2,8 @@
 
 ``write_archives`` lays out one WARC/1.1 record per page as text and lets Spark's text writer put the records
 of each partition into one archive; the separator between lines of that writer is the end of a record,
-so the files are plain WARC. Equal payloads are found from digests and ids; the payloads themselves move at most
-once, when the list of shared digests is too large to broadcast.
+so the files are plain WARC. Equal payloads are found from digests and ids; the payloads themselves only move
+when the list of shared digests is too long to broadcast.
 ``build_index`` walks each archive from header to header and writes offset, length, URL and digest per record.
 ``read_records`` takes any selection of index rows, sorts them by archive and offset, coalesces neighbours into
 single range reads and cuts the records out again.
@@ -28,7 +28,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideflow.session import scratch_path
+from strideflow.llm.common import bounded
+from strideflow.session import scratch_path, stage
 
 END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"  # archives of the same pages are the same bytes
@@ -55,13 +56,14 @@ def page_records(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
         "page_id", "url", payload.alias("payload"), F.octet_length(payload).cast("long").alias("payload_bytes"),
         F.sha1(payload.cast("binary")).alias("payload_digest"),
     )
-    shared = (
+    shared = stage(
         rows.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest")
         .agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1 AND first_id IS NOT NULL")
-        .select("payload_digest", "first_id")
+        .select("payload_digest", "first_id"),
+        "shared-payloads",
     )
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return rows.join(shared, "payload_digest", "left").select(
+    return rows.join(bounded(shared), "payload_digest", "left").select(
         "page_id", "url", "payload", "payload_bytes", "payload_digest",
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
         F.when(revisit, F.col("first_id")).alias("refers_to"),
