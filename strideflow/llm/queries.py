@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strideflow.llm import lm
+from strideflow.llm.bpe import encode_digests
 from strideflow.llm.common import read_table
 from strideflow.llm.decontaminate import contaminated
 from strideflow.llm.langid import identify
@@ -65,6 +67,16 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read_table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_digests(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(read_table(spark, sf_dir, "documents"))
+
+
 ORACLE: dict[str, str] = {
     "op6_warc": """
         WITH p AS (

@@ -107,13 +107,13 @@ class EliasFano:
 
 
 class Quantiser:
-    """Values as one byte: bins of equal population, each read back as its mean."""
+    """Values as one byte: bins of equal width, each read back as the mean of its values."""
 
     def __init__(self, values: np.ndarray, bins: int = 256):
         if not len(values):
             self.cuts, self.means = np.zeros(0), np.zeros(1)
             return
-        self.cuts = np.unique(np.quantile(values, np.linspace(0, 1, bins + 1)[1:-1]))
+        self.cuts = np.linspace(values.min(), values.max(), bins + 1)[1:-1]
         code = self.code(values).astype(np.int64)
         sums = np.bincount(code, weights=values, minlength=len(self.cuts) + 1)
         self.means = sums / np.maximum(1, np.bincount(code, minlength=len(self.cuts) + 1))
