@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,17 +13,19 @@ from strideflow.functions.geo import double, haversine_m
 from strideflow.operators import clustering, features, neighbours, poi, segments
 from strideflow.plans import models as M
 from strideflow.plans import recognition, training
-from strideflow.schemas import RESULT, STREAM_KEYS, TRAINING_TRACE
+from strideflow.schemas import RESULT, STREAM_KEYS, TRACE_CSV_WITH_PLACE, TRAINING_TRACE
 from strideflow.session import scratch_path, stage
 from strideflow.sources import traces as src
-from strideflow.sources.views import poi_view, traces_view
+from strideflow.sources.views import faulty_view, poi_view, traces_view
 from strideflow.streaming.recognition import stream_recognise
 from strideflow.streaming.segments import stream_segments, stream_windows
 
 RECORD = [*STREAM_KEYS, "timestamp"]
-SUMMARY_GRID = [(35, 40.0, 800), (85, 50.0, 1500), (90, 50.0, 1500)]
+SUMMARY_GRID = [(30, 40.0, 800), (60, 45.0, 1200), (80, 60.0, 1600)]
 LATEST = 300
-HOME = (47.348098, 7.907894)
+HOME = (46.95, 7.45)
+# Activities by the largest mean time between peaks, in ms.
+PERIODS = [(70, "Cooking"), (1_000_000, "Biking")]
 RUN_START = 1_600_000_000_000
 OFF_TIES = "3.14159e-9"
 
@@ -65,6 +66,13 @@ def read_trace_csv(spark, sf_dir):
     return rounded(src.read_trace_csv(spark, _copy(traces_view(spark, sf_dir).select(*columns), "csv", "csv")))
 
 
+def read_trace_csv_place(spark, sf_dir):
+    """The layout with the place of a record as its last column."""
+    columns = [f.name for f in TRACE_CSV_WITH_PLACE.fields]
+    rows = traces_view(spark, sf_dir).withColumn(TRACE_CSV_WITH_PLACE.fieldNames()[-1], F.concat(F.lit("at "), "activity"))
+    return rounded(src.read_trace_csv(spark, _copy(rows.select(*columns), "csv", "csv"), with_place=True))
+
+
 def read_xyz_csv(spark, sf_dir):
     return rounded(src.read_xyz_csv(spark, _copy(traces_view(spark, sf_dir).select("x", "y", "z"), "xyz", "csv")))
 
@@ -80,6 +88,36 @@ def conform_traces(spark, sf_dir):
     return rounded(src.conform_traces(raw.union(raw), labelled=True, deduplicate=True))
 
 
+def malformed_traces(spark, sf_dir):
+    """Per stream and time, how many of the faulty records are put aside and how many are kept."""
+    good, bad = src.admit_traces(faulty_view(spark, sf_dir), labelled=True)
+    stream = [F.coalesce(F.col(c).cast("string"), F.lit("none")).alias(c) for c in STREAM_KEYS]
+    parts = [part.select(*stream, "timestamp", F.lit(side).alias("side")) for part, side in ((good, "kept"), (bad, "quarantined"))]
+    return parts[0].union(parts[1]).groupBy(*RECORD, "side").agg(F.count("*").alias("n_records"))
+
+
+def _kept(spark, sf_dir, deduplicate=False) -> DataFrame:
+    return src.admit_traces(faulty_view(spark, sf_dir), labelled=True, deduplicate=deduplicate)[0]
+
+
+def faulty_gap_segments(spark, sf_dir):
+    return segments.gap_segments(_kept(spark, sf_dir, True)).select(*RECORD, "seg_id", "seg_start")
+
+
+def faulty_st_dbscan(spark, sf_dir):
+    """Records without a fix and records sent twice, as they come."""
+    return clustering.st_dbscan(_kept(spark, sf_dir)).select(*RECORD, "cluster_id")
+
+
+def faulty_poi_map(spark, sf_dir):
+    return poi.poi_map(_kept(spark, sf_dir), poi_view(spark, sf_dir))
+
+
+def faulty_peak_interval(spark, sf_dir):
+    """Records sent twice count twice in a window, but the moments of its peaks once."""
+    return rounded(features.peak_interval(_windowed(_kept(spark, sf_dir))))
+
+
 def write_results(spark, sf_dir):
     """The labels of the training windows, written and read back as results."""
     windows = training.training_set(traces_view(spark, sf_dir), None, location_aware=False).withColumn(
@@ -213,8 +251,10 @@ def poi_tfidf(spark, sf_dir):
 
 
 def poi_sweep(spark, sf_dir):
-    spots = traces_view(spark, sf_dir).select("activity", *poi.SPOT)
-    return rounded(poi.poi_sweep(spots, poi_view(spark, sf_dir)))
+    """Around the first record of every segment of a labelled region; regions at one spot stay apart."""
+    cut = segments.gap_segments(clustering.label_regions(traces_view(spark, sf_dir)), keys=training.REGION_KEYS)
+    spots = cut.groupBy(*training.REGION_KEYS, "seg_id").agg(*[F.min_by(c, "timestamp").alias(c) for c in poi.SPOT])
+    return rounded(poi.poi_sweep(spots.withColumnRenamed("activity", "place"), poi_view(spark, sf_dir)))
 
 
 def features_location_aware(spark, sf_dir):
@@ -239,44 +279,72 @@ def split(spark, sf_dir):
 
 
 # --- models -----------------------------------------------------------------------------------
+# Trees cannot be written in SQL, but what they predict can where the classes lie far apart. Training and recognition
+# queries label windows by the sampling period that the peaks show (up to 40, or 100 ms); the others
+# give every feature a multiple of the label as its value. Nothing is kept from one query to the next.
 
-@cache
-def _vectors(spark: SparkSession, sf_dir: str, aware: bool, hand: bool) -> DataFrame:
-    pois = poi_view(spark, sf_dir) if aware else None
-    return stage(training.training_set(traces_view(spark, sf_dir), pois, aware, hand), "vectors")
+def period_rule() -> F.Column:
+    return F.expr(f"CASE {' '.join(f'WHEN peak_z < {most} THEN {name!r}' for most, name in PERIODS)} END")
 
 
-@cache
-def _model(spark: SparkSession, sf_dir: str, algorithm: str, aware: bool, hand: bool):
-    train, _ = training.split(_vectors(spark, sf_dir, aware, hand))
-    return M.TRAINERS[algorithm](train, aware)
+def _vectors(spark, sf_dir, aware) -> DataFrame:
+    """Windows of both hands with coded features, written once."""
+    pois = poi_view(spark, sf_dir) if aware else None
+    vectors = training.training_set(traces_view(spark, sf_dir), pois, aware)
+    coded = {c: F.col("label") * (i + 1) for i, c in enumerate(M.feature_columns(aware))}
+    return stage(vectors.withColumns(coded), "vectors")
+
+
+def _each_variant(spark, sf_dir, use) -> DataFrame:
+    """``use(rows of one hand, aware, hand)`` of all four variants, marked with the variant."""
+    out = None
+    for aware in (False, True):
+        vectors = _vectors(spark, sf_dir, aware)
+        for hand in (False, True):
+            part = use(vectors.where(F.col("dominanthand") == hand), aware, hand)
+            part = part.withColumn("locationaware", F.lit(aware)).withColumn("dominanthand", F.lit(hand))
+            out = part if out is None else out.unionByName(part)
+    return out
 
 
-@cache
-def _saved_forests(spark: SparkSession, sf_dir: str) -> str:
+def _scored(spark, sf_dir, algorithm) -> DataFrame:
+    """Test rows of all variants with the prediction of a model that was trained, saved and loaded again."""
     base = scratch_path(spark, "models")
-    for aware, hand in M.VARIANTS:
-        model = _model(spark, sf_dir, M.RANDOM_FOREST, aware, hand)
-        M.save_model(model, M.model_path(base, M.RANDOM_FOREST, aware, hand))
-    return base
-
 
-@cache
-def _forests(spark: SparkSession, sf_dir: str) -> dict:
-    return M.load_models(_saved_forests(spark, sf_dir))
+    def use(vectors, aware, hand):
+        train, test = training.split(vectors)
+        path = M.model_path(base, algorithm, aware, hand)
+        M.save_model(M.TRAINERS[algorithm](train, aware), path)
+        scored = M.predict_activity(M.load_model(path), test)
+        return scored.select(*training.VECTOR_ID, "label", "prediction", "predicted")
 
-
-def _scored(spark, sf_dir, algorithm, aware=True, hand=True) -> DataFrame:
-    _, test = training.split(_vectors(spark, sf_dir, aware, hand))
-    return M.predict_activity(_model(spark, sf_dir, algorithm, aware, hand), test)
+    return _each_variant(spark, sf_dir, use)
 
 
 def _train_query(algorithm):
     def run(spark, sf_dir):
-        return M.accuracy(_scored(spark, sf_dir, algorithm)).withColumn("algorithm", F.lit(algorithm))
+        measured = M.accuracy(_scored(spark, sf_dir, algorithm), ["locationaware", "dominanthand"])
+        return measured.withColumn("algorithm", F.lit(algorithm))
     return run
 
 
+def train_naive_bayes(spark, sf_dir):
+    """Classes that Bayes gives the windows of the test side, on their real features."""
+    def use(vectors, aware, hand):
+        train, test = training.split(vectors)
+        scored = M.predict_activity(M.train_naive_bayes(train, aware), test)
+        return scored.select(*training.VECTOR_ID, "label", "prediction", "predicted")
+
+    out = None
+    for aware in (False, True):
+        pois = poi_view(spark, sf_dir) if aware else None
+        vectors = stage(training.training_set(traces_view(spark, sf_dir), pois, aware), "vectors")
+        for hand in (False, True):
+            part = use(vectors.where(F.col("dominanthand") == hand), aware, hand).withColumn("locationaware", F.lit(aware))
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
 def accuracy(spark, sf_dir):
     """Accuracy per user of a plain rule: what moves is taken for Biking, the rest for Cooking."""
     vectors = training.training_set(traces_view(spark, sf_dir), poi_view(spark, sf_dir), True)
@@ -289,7 +357,7 @@ def confusion_matrix(spark, sf_dir):
 
 
 def predict_activity(spark, sf_dir):
-    return _scored(spark, sf_dir, M.RANDOM_FOREST).select(*training.VECTOR_ID, "label", "prediction", "predicted")
+    return _scored(spark, sf_dir, M.RANDOM_FOREST)
 
 
 def model_path(spark, sf_dir):
@@ -306,47 +374,77 @@ def model_path(spark, sf_dir):
 
 
 def load_models(spark, sf_dir):
-    """Records scored per variant by models that went through storage."""
-    parts = []
-    for (aware, hand), model in _forests(spark, sf_dir).items():
-        _, test = training.split(_vectors(spark, sf_dir, aware, hand))
-        parts.append(M.accuracy(model.transform(test)).select(
-            F.lit(aware).alias("locationaware"), F.lit(hand).alias("dominanthand"), "n_test", "accuracy"
-        ))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
-    return out
+    """Per variant, the test rows on which a forest and its copy from storage agree, and those they get right."""
+    base = scratch_path(spark, "models")
+
+    def use(vectors, aware, hand):
+        train, test = training.split(vectors)
+        model = M.train_random_forest(train, aware)
+        M.save_model(model, M.model_path(base, M.RANDOM_FOREST, aware, hand))
+        again = M.load_model(M.model_path(base, M.RANDOM_FOREST, aware, hand))
+        both = M.predict_activity(model, test).select(*test.columns, F.col("prediction").alias("first"))
+        both = M.predict_activity(again, both)
+        return both.agg(
+            F.count("*").alias("n_test"), F.count_if(F.col("first") == F.col("prediction")).alias("n_same"),
+            F.count_if(F.col("prediction") == F.col("label")).alias("n_right"),
+        )
+
+    return _each_variant(spark, sf_dir, use)
 
 
 def train_models(spark, sf_dir):
-    return training.train_models(traces_view(spark, sf_dir), poi_view(spark, sf_dir), True, True)[1]
+    """Trees of all variants on windows labelled by the period rule: they must find it."""
+    out = None
+    for aware, hand in M.VARIANTS:
+        part = training.train_models(
+            traces_view(spark, sf_dir), poi_view(spark, sf_dir), aware, hand, algorithms=(M.DECISION_TREE,),
+            activity=period_rule(),
+        )[1]
+        out = part if out is None else out.union(part)
+    return out
 
 
 def run_training(spark, sf_dir):
+    """The whole training run, trees and forests; accuracies of forests on real features are not compared."""
     base = scratch_path(spark, "models")
-    return training.run_training(
-        traces_view(spark, sf_dir), poi_view(spark, sf_dir), base, (M.DECISION_TREE, M.NAIVE_BAYES)
-    )
+    measured = training.run_training(traces_view(spark, sf_dir), poi_view(spark, sf_dir), base)
+    return measured.select("algorithm", "locationaware", "dominanthand", "n_vectors", "n_test")
 
 
 # --- recognition ------------------------------------------------------------------------------
 
+def _period_trees(spark, sf_dir) -> dict:
+    """The four variants of a tree that was trained on the period rule, saved and loaded."""
+    base = scratch_path(spark, "models")
+    training.run_training(
+        traces_view(spark, sf_dir), poi_view(spark, sf_dir), base, (M.DECISION_TREE,), activity=period_rule()
+    )
+    return M.load_models(base, M.DECISION_TREE)
+
+
 def recognise(spark, sf_dir):
-    model = _forests(spark, sf_dir)[True, True]
-    found = recognition.recognise(traces_view(spark, sf_dir), poi_view(spark, sf_dir), model, True, True)
-    return found.select(*recognition.REGION_KEYS, "seg_id", "win_id", "window_start", "window_end", "predicted")
+    models, out = _period_trees(spark, sf_dir), None
+    for (aware, hand), model in models.items():
+        found = recognition.recognise(traces_view(spark, sf_dir), poi_view(spark, sf_dir), model, aware, hand)
+        part = found.select(*recognition.REGION_KEYS, "seg_id", "win_id", "window_start", "window_end", "predicted")
+        part = part.withColumn("locationaware", F.lit(aware))
+        out = part if out is None else out.union(part)
+    return out
 
 
 def recognition_results(spark, sf_dir):
-    model = _forests(spark, sf_dir)[False, True]
-    found = recognition.recognise(traces_view(spark, sf_dir), None, model, False, True)
-    return recognition.recognition_results(found, M.model_path("models", M.RANDOM_FOREST, False, True), False, RUN_START)
+    models, out = _period_trees(spark, sf_dir), None
+    for hand in (False, True):
+        found = recognition.recognise(traces_view(spark, sf_dir), None, models[False, hand], False, hand)
+        part = recognition.recognition_results(found, M.model_path("models", M.DECISION_TREE, False, hand), False, RUN_START)
+        out = part if out is None else out.union(part)
+    return out
 
 
 def recognise_all(spark, sf_dir):
     return recognition.recognise_all(
-        traces_view(spark, sf_dir), poi_view(spark, sf_dir), _forests(spark, sf_dir), RUN_START
+        traces_view(spark, sf_dir), poi_view(spark, sf_dir), _period_trees(spark, sf_dir), RUN_START,
+        algorithm=M.DECISION_TREE,
     )
 
 
@@ -390,8 +488,9 @@ def stream_features(spark, sf_dir):
 def stream_recognise_(spark, sf_dir):
     results = scratch_path(spark, "results")
     query = stream_recognise(
-        _trace_stream(spark, sf_dir), poi_view(spark, sf_dir), _forests(spark, sf_dir), results,
+        _trace_stream(spark, sf_dir), poi_view(spark, sf_dir), _period_trees(spark, sf_dir), results,
         scratch_path(spark, "recognise-checkpoint"), clock=lambda: RUN_START, available_now=True,
+        algorithm=M.DECISION_TREE,
     ).start()
     query.awaitTermination()
     return src.read_results(spark, results).select(*RESULT.fieldNames(), "window_start", "window_end")
@@ -400,9 +499,11 @@ def stream_recognise_(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "read_traces": read_traces,
     "read_trace_csv": read_trace_csv,
+    "read_trace_csv_place": read_trace_csv_place,
     "read_xyz_csv": read_xyz_csv,
     "read_ticks_csv": read_ticks_csv,
     "conform_traces": conform_traces,
+    "malformed_traces": malformed_traces,
     "write_results": write_results,
     "traces_between": traces_between,
     "latest_traces": latest_traces,
@@ -417,6 +518,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "label_regions": label_regions,
     "recognise_regions": recognise_regions,
     "gap_segments": gap_segments,
+    "faulty_gap_segments": faulty_gap_segments,
+    "faulty_st_dbscan": faulty_st_dbscan,
+    "faulty_poi_map": faulty_poi_map,
+    "faulty_peak_interval": faulty_peak_interval,
     "segment_summary": segment_summary,
     "anchored_windows": anchored_windows,
     "anchored_windows_lagging": anchored_windows_lagging,
@@ -443,7 +548,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "split": split,
     "train_decision_tree": _train_query(M.DECISION_TREE),
     "train_random_forest": _train_query(M.RANDOM_FOREST),
-    "train_naive_bayes": _train_query(M.NAIVE_BAYES),
+    "train_naive_bayes": train_naive_bayes,
     "accuracy": accuracy,
     "confusion_matrix": confusion_matrix,
     "model_path": model_path,

@@ -41,4 +41,6 @@ def poi_type_to_activity(place_type: Column) -> Column:
     """Activity id a place type stands for; unknown, unmapped or missing types are "Other"."""
     types = {name.upper(): ACTIVITIES[label] for label, names in PLACE_TYPES.items() for name in names}
     table = _literal_map(types)
-    return F.coalesce(F.try_element_at(table, F.upper(F.trim(place_type))), F.lit(OTHER_ID))
+    # All characters up to the blank are white space here, not only the blank.
+    bare = F.regexp_replace(place_type, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    return F.coalesce(F.try_element_at(table, F.upper(bare)), F.lit(OTHER_ID))

@@ -18,7 +18,7 @@ from strideflow.operators.components import connected_components
 from strideflow.operators.neighbours import near_pairs
 from strideflow.operators.timeline import (
     attach_carry, by_chunk, carry_from_earlier_chunks, chunk_length, count_within, earlier, in_own_chunk,
-    ordinal, running, tile,
+    named_streams, ordinal, running, tile,
 )
 from strideflow.schemas import (
     MAX_DISTANCE_M, MAX_TIME_DIFFERENCE_MS, MIN_POINTS, NOISE_CLUSTER, STREAM_KEYS, TRIP_ACTIVITIES,
@@ -37,10 +37,16 @@ def _neighbour_bounds(traces, keys, min_points, distance_m, time_ms, chunk_ms) -
     whole path travelled within that reach is shorter than the distance threshold, all of them
     are neighbours and the bound is the count. Only records that could be core and moved
     further (``open``) need their neighbours looked up, among the records marked ``near_open``.
+
+    Records without a fix take no part: a path leads from one fix to the next. Of records that
+    share a time one stands for all, as the time is what tells records of a stream apart.
     """
     reach = time_ms - 1
-    rows = tile(traces.select(*keys, *POINT), chunk_ms, before=2 * time_ms, after=2 * time_ms)
+    fixes = traces.select(*keys, *POINT).where("latitude IS NOT NULL AND longitude IS NOT NULL")
+    rows = tile(fixes, chunk_ms, before=2 * time_ms, after=2 * time_ms)
     w = by_chunk(keys)
+    before = F.lag("timestamp").over(Window.partitionBy(*keys, "chunk").orderBy(*POINT))
+    rows = rows.withColumn("earlier", before).where("earlier IS NULL OR earlier < timestamp").drop("earlier")
     rows = rows.withColumns({"lat0": F.lag("latitude").over(w), "lng0": F.lag("longitude").over(w)})
     rows = rows.withColumn("step", F.coalesce(haversine_m("lat0", "lng0", "latitude", "longitude"), F.lit(0.0)))
     rows = rows.withColumns({
@@ -150,7 +156,12 @@ def cluster_labels(traces: DataFrame, min_points: int = MIN_POINTS, distance_m:
 def st_dbscan(traces: DataFrame, min_points: int = MIN_POINTS, distance_m: float = MAX_DISTANCE_M,
               time_ms: int = MAX_TIME_DIFFERENCE_MS, keys: list[str] = STREAM_KEYS,
               chunk_ms: int | None = None) -> DataFrame:
-    """Add ``cluster_id``: 0, 1, … per stream, -1 for noise. Streams are clustered on their own."""
+    """Add ``cluster_id``: 0, 1, … per stream, -1 for noise. Streams are clustered on their own.
+
+    Records without a fix are noise; records that share a time share a label. The call itself runs
+    jobs: every intermediate table is written before the next step reads it.
+    """
+    traces = named_streams(traces, keys)
     labels = cluster_labels(traces, min_points, distance_m, time_ms, keys, chunk_ms)
     return traces.join(labels, [*keys, "timestamp"], "left").withColumn(
         "cluster_id", F.coalesce("cluster_id", F.lit(NOISE_CLUSTER))

@@ -64,7 +64,12 @@ def window_features(windowed: DataFrame, keys: list[str] = STREAM_KEYS,
     group = _group(windowed, keys)
     whole = Window.partitionBy(*group)
     duration = f"(max(timestamp) - min(timestamp)) * {1000 if legacy_ms_speed else 1}"
+    # Records that share a time are one moment for the peaks: the first of them stands for their maximum.
+    moment = Window.partitionBy(*group, "timestamp")
     rows = steps(windowed, group).withColumns({
+        "m_first": F.row_number().over(moment.orderBy("timestamp")) == 1,
+        **{f"m_max_{a}": F.max(a).over(moment) for a in AXES},
+    }).withColumns({
         "w_size": F.count("*").over(whole),
         "w_metres": F.sum("step_m").over(whole),
         "w_first": F.min("timestamp").over(whole),
@@ -88,7 +93,7 @@ def window_features(windowed: DataFrame, keys: list[str] = STREAM_KEYS,
         "resultant": "avg(sqrt(x * x + y * y + z * z))",
     }
     for a in AXES:
-        peak = f"CASE WHEN {a} > {double(PEAK_RATIO)} * w_max_{a} THEN timestamp END"
+        peak = f"CASE WHEN m_first AND m_max_{a} > {double(PEAK_RATIO)} * w_max_{a} THEN timestamp END"
         aggregates |= {
             f"mean_{a}": f"avg({a})",
             f"std_{a}": f"stddev_pop({a})",

@@ -11,7 +11,7 @@ from strideflow.functions.dimensions import poi_type_to_activity
 from strideflow.functions.geo import (
     METRES_PER_DEGREE, band_columns, double, haversine_m, latitude_band, longitude_cell, within_sql,
 )
-from strideflow.operators.timeline import chunk_length, tile
+from strideflow.operators.timeline import chunk_length, named_streams, tile
 from strideflow.schemas import OTHER_ID, POI_RADIUS_M, STREAM_KEYS
 
 SPOT = ["latitude", "longitude"]
@@ -113,10 +113,13 @@ def poi_map(traces: DataFrame, pois: DataFrame, radius_m: float = POI_RADIUS_M,
     Coordinates are looked up once per stream and time chunk, so one coordinate shared by very
     many records never becomes one join group.
     """
-    rows = tile(traces.select(*keys, "timestamp", *SPOT), chunk_length(chunk_ms))
+    rows = tile(named_streams(traces, keys).select(*keys, "timestamp", *SPOT), chunk_length(chunk_ms))
     spot = [*keys, "chunk", *SPOT]
     counts = count_around(rows.select(*spot).distinct(), spot, pois, radius_m, include_other, salts)
-    return rows.join(counts, spot).drop("chunk", *SPOT)
+    counts = counts.select(*[F.col(c).alias(f"at_{c}" if c in spot else c) for c in counts.columns])
+    # Records without a fix have their counts too: none.
+    same = [f"{c} = at_{c}" for c in (*keys, "chunk")] + [f"{c} <=> at_{c}" for c in SPOT]
+    return rows.join(counts, F.expr(" AND ".join(same))).drop("chunk", *SPOT, *[f"at_{c}" for c in spot])
 
 
 def share(count: str, counts: list[str]) -> str:
@@ -132,7 +135,7 @@ def poi_tf(counts: DataFrame, include_other: bool = False) -> DataFrame:
     return counts.select(*kept, *[F.expr(f"{share(_n(i), names)} AS tf_{i}") for i in wanted])
 
 
-def poi_tfidf(counts: DataFrame, scope: list[str], include_other: bool = False) -> DataFrame:
+def poi_tfidf(counts: DataFrame, scope: list[str], include_other: bool = False, salts: int = SALTS) -> DataFrame:
     """Shares weighted by ``ln(N / N_c)`` over the regions (rows) of each ``scope``.
 
     ``N_c`` regions of the ``N`` have a place of the category; none counts as one, a zero
@@ -149,12 +152,15 @@ def poi_tfidf(counts: DataFrame, scope: list[str], include_other: bool = False)
         for i in wanted
     ])
     kept = [c for c in counts.columns if c not in names]
-    return counts.join(weights, scope).select(
+    # The weights of a scope are repeated, so that a scope with very many rows is spread over several tasks.
+    salted = counts.withColumn("salt", F.expr(f"pmod(xxhash64({', '.join(counts.columns)}), {salts}L)"))
+    weights = weights.withColumn("salt", F.expr(f"explode(sequence(0L, {salts - 1}L))"))
+    return salted.join(weights, [*scope, "salt"]).select(
         *kept, *[F.expr(f"{share(_n(i), names)} * idf_{i} AS tfidf_{i}") for i in wanted]
     )
 
 
-def poi_sweep(points: DataFrame, pois: DataFrame, radii: Iterable[float] = (5.0, 10.0, 50.0, 100.0),
+def poi_sweep(points: DataFrame, pois: DataFrame, radii: Iterable[float] = (8.0, 15.0, 40.0, 90.0),
               salts: int = SALTS) -> DataFrame:
     """Shares for each radius, with and without "Other", per distinct row of ``points``.
 

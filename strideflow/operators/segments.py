@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strideflow.operators.timeline import (
     attach_carry, by_chunk, carry_from_earlier_chunks, chunk_length, earlier, floor_div, floor_sql,
-    in_own_chunk, running, tile,
+    in_own_chunk, named_streams, running, tile,
 )
 from strideflow.schemas import MIN_WINDOW_RECORDS, SEGMENT_GAP_MS, STREAM_KEYS, WINDOW_MS
 
@@ -44,6 +44,7 @@ def _segment_carry(traces: DataFrame, keys: list[str], gap_ms: int, chunk_ms: in
 
 def _segment_tiles(traces, keys, gap_ms, chunk_ms, after=0):
     """Rows partitioned by ``(keys, chunk)`` with ``seg_id`` (0-based per stream) and ``seg_start``."""
+    traces = named_streams(traces, keys)
     rows = attach_carry(
         tile(traces, chunk_ms, after=after), _segment_carry(traces, keys, gap_ms, chunk_ms), [*keys, "chunk"]
     )

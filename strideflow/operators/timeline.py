@@ -49,6 +49,17 @@ def tile(df: DataFrame, chunk_ms: int, before: int = 0, after: int = 0, lo: str
     return df.withColumn("chunk", F.expr(f"explode(sequence({first}, {last}))"))
 
 
+def named_streams(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` whose rows fail with a clear error where a key or the time is missing.
+
+    Operators join on these columns, and a join would lose such rows without a word;
+    ``admit_traces`` puts them aside beforehand.
+    """
+    missing = " OR ".join(f"{c} IS NULL" for c in [*keys, "timestamp"])
+    error = f"CAST(raise_error('a record has no {', '.join(keys)} or timestamp') AS BIGINT)"
+    return df.withColumn("timestamp", F.expr(f"CASE WHEN {missing} THEN {error} ELSE timestamp END"))
+
+
 def in_own_chunk(chunk_ms: int, ts: str = "timestamp") -> Column:
     return F.expr(f"chunk = {floor_sql(ts, chunk_ms)}")
 

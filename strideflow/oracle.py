@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from strideflow.catalog import HOME, LATEST, OFF_TIES, RUN_START, SUMMARY_GRID
-from strideflow.plans.models import RANDOM_FOREST, model_path
+from strideflow.catalog import HOME, LATEST, OFF_TIES, PERIODS, RUN_START, SUMMARY_GRID
+from strideflow.plans.models import DECISION_TREE, RANDOM_FOREST, VARIANTS, model_path
 from strideflow.schemas import ACTIVITIES, EARTH_RADIUS_KM, OTHER_ID, PLACE_TYPES, TRIP_ACTIVITIES
-from strideflow.sources.views import POI_SQL, TRACES_SQL
+from strideflow.sources.views import FAULTY_SQL, POI_SQL, TRACES_SQL
 
 T = f"t AS ({TRACES_SQL.format(events='events')})"
 POIS = f"pois AS ({POI_SQL.format(split='string_split', part='part')})"
@@ -107,7 +107,7 @@ def feature_query(columns, extra=""):
 
 def activity_of(place_type):
     cases = " ".join(
-        f"WHEN upper(trim({place_type})) IN ({', '.join(repr(n.upper()) for n in names)}) THEN {ACTIVITIES[label]}"
+        f"WHEN upper(regexp_replace({place_type}, '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g')) IN ({', '.join(repr(n.upper()) for n in names)}) THEN {ACTIVITIES[label]}"
         for label, names in PLACE_TYPES.items()
     )
     return f"CAST(CASE {cases} ELSE {OTHER_ID} END AS INTEGER)"
@@ -160,6 +160,7 @@ LABELLED = (
     + ") THEN -1 ELSE 1 END AS INTEGER) AS cluster_id FROM t WHERE activity <> 'Other')"
 )
 UNAWARE = "lab AS (SELECT *, CAST(-1 AS INTEGER) AS cluster_id FROM t WHERE activity <> 'Other')"
+ALL_LABELLED = LABELLED.replace(" WHERE activity <> 'Other'", "")
 ACTIVITY_ID = "CASE activity " + " ".join(f"WHEN '{a}' THEN {i}" for a, i in ACTIVITIES.items()) + " END"
 
 
@@ -230,7 +231,8 @@ def _split_side():
 
 
 def _sweep():
-    radii = (5.0, 10.0, 50.0, 100.0)
+    radii = (8.0, 15.0, 40.0, 90.0)
+    ids = f"{cols(K)}, place, cluster_id, seg_id"
     parts = []
     for r in radii:
         sums = ", ".join(f"coalesce(sum(n_{i}) FILTER (d <= {r}e0), 0) AS n_{i}" for i in range(9))
@@ -238,12 +240,14 @@ def _sweep():
             wanted = range(9 if other else 8)
             shown = [r6(tf(i, wanted), f"tf_{i}") if i in wanted else f"CAST(NULL AS DOUBLE) AS tf_{i}" for i in range(9)]
             parts.append(
-                f"SELECT activity, latitude AS lat0, longitude AS lng0, {r}e0 AS radius_m, {other} AS include_other, {', '.join(shown)}"
-                f" FROM (SELECT activity, latitude, longitude, {sums} FROM spots_in LEFT JOIN near USING (latitude, longitude) GROUP BY ALL)"
+                f"SELECT {ids}, latitude AS lat0, longitude AS lng0, {r}e0 AS radius_m, {other} AS include_other, {', '.join(shown)}"
+                f" FROM (SELECT {ids}, latitude, longitude, {sums} FROM spots_in LEFT JOIN near USING (latitude, longitude) GROUP BY ALL)"
             )
     body = "\nUNION ALL\n".join(parts)
     return (
-        with_(T, *PLACES, COORDS, "spots_in AS (SELECT DISTINCT activity, latitude, longitude FROM t)", around("coords", 100.0))
+        with_(T, *PLACES, COORDS, ALL_LABELLED, seg(REGION, "lab"),
+              f"spots_in AS (SELECT {cols(K)}, activity AS place, cluster_id, seg_id, arg_min(latitude, timestamp) AS latitude,"
+              f" arg_min(longitude, timestamp) AS longitude FROM seg GROUP BY {cols(REGION)}, seg_id)", around("coords", 90.0))
         + f"SELECT * EXCLUDE (lat0, lng0), {r6('lat0', 'latitude')}, {r6('lng0', 'longitude')} FROM ({body})"
     )
 
@@ -291,15 +295,143 @@ def _aware_query(source_ctes, keys, source, recursive=False):
     return with_(T, *source_ctes, seg(keys, source), win(), feat(keys), *ctes, recursive=recursive) + select
 
 
+# --- faulty records ---------------------------------------------------------------------------
+
+FAULTY = f"raw AS ({FAULTY_SQL.format(traces=TRACES_SQL.format(events='events'))})"
+GIVEN = "user IS NOT NULL AND dominanthand IS NOT NULL AND timestamp IS NOT NULL AND activity IS NOT NULL"
+KEPT = f"t AS (SELECT * FROM raw WHERE {GIVEN})"
+KEPT_ONCE = f"t AS (SELECT DISTINCT * FROM raw WHERE {GIVEN})"
+
+
+def _faulty_dbscan():
+    fixes = f"pts AS (SELECT DISTINCT {cols(K)}, timestamp, latitude, longitude FROM t WHERE latitude IS NOT NULL AND longitude IS NOT NULL)"
+    return (
+        with_(FAULTY, KEPT, fixes, *dbscan(source="pts"), recursive=True)
+        + f"SELECT {cols([*K, 'timestamp'], 't.')}, coalesce(c.cluster_id, -1) AS cluster_id FROM t LEFT JOIN clus c"
+          f" ON {same([*K, 'timestamp'], 't', 'c')}"
+    )
+
+
+# --- models -----------------------------------------------------------------------------------
+
+VECTOR_ID = [*REGION, "seg_id", "win_id"]
+BUCKET = (
+    "CAST('0x' || substr(md5(concat_ws('|', '42', " + ", ".join(f"CAST({c} AS VARCHAR)" for c in VECTOR_ID)
+    + ")), 1, 8) AS BIGINT) % 1000"
+)
+LABEL = f"CAST({ACTIVITY_ID} AS DOUBLE)"
+PERIOD = "CASE " + " ".join(f"WHEN peak_z < {most} THEN '{name}'" for most, name in PERIODS) + " END"
+
+
+def _per_variant(select):
+    """A query over the feature windows ``feat``, without and with locations."""
+    parts = []
+    for located, lab in ((False, UNAWARE), (True, LABELLED)):
+        parts.append("(" + with_(T, lab, seg(REGION, "lab"), win(), feat(REGION)) + select.replace("LOCATED", str(located)) + ")")
+    return "\nUNION ALL\n".join(parts)
+
+
+def _predicted():
+    return _per_variant(
+        f"SELECT {cols(VECTOR_ID)}, {LABEL} AS label, {LABEL} AS prediction, activity AS predicted, LOCATED AS locationaware"
+        f" FROM feat WHERE {BUCKET} >= 700"
+    )
+
+
+def _test_counts(columns):
+    return _per_variant(
+        f"SELECT LOCATED AS locationaware, dominanthand, {columns} FROM feat WHERE {BUCKET} >= 700 GROUP BY dominanthand"
+    )
+
+
+def _trained(algorithms, accuracy):
+    parts = []
+    for name in algorithms:
+        shown = f"'{name}' AS algorithm, LOCATED AS locationaware, dominanthand, count(*) AS n_vectors, count(*) FILTER ({BUCKET} >= 700) AS n_test"
+        parts.append(_per_variant(f"SELECT {shown}{', 1e0 AS accuracy' if accuracy else ''} FROM feat GROUP BY dominanthand"))
+    return "\nUNION ALL\n".join(parts)
+
+
+def _bayes():
+    """Multinomial Bayes in closed form: scaled features, smoothed shares, the largest posterior."""
+    def select(located):
+        names = ([f"tf_{i}" for i in range(8)] + MOTION + ACCEL) if located else ACCEL
+        tfs = [f"CASE WHEN cluster_id = -1 THEN 0e0 ELSE {tf(i)} END AS tf_{i}" for i in range(8)]
+        motion = [f"CASE WHEN cluster_id = -1 THEN {m} ELSE 0e0 END AS {m}" for m in MOTION]
+        fields = (tfs + motion + ACCEL) if located else ACCEL
+        source = "feat f JOIN counts c ON c.latitude = f.first_lat AND c.longitude = f.first_lng" if located else "feat"
+        lo_hi = ", ".join(f"min({n}) AS lo_{n}, max({n}) AS hi_{n}" for n in names)
+        unit = ", ".join(
+            f"CASE WHEN hi_{n} > lo_{n} THEN greatest(({n} - lo_{n}) / (hi_{n} - lo_{n}), 0e0) ELSE 0e0 END AS u_{n}" for n in names
+        )
+        sums = ", ".join(f"sum(u_{n}) AS s_{n}" for n in names)
+        whole = " + ".join(f"s_{n}" for n in names)
+        score = " + ".join(f"u_{n} * (ln(s_{n} + 1e0) - ln({whole} + {len(names)}e0))" for n in names)
+        return (
+            f"SELECT * EXCLUDE (score, rn) FROM (SELECT {cols(VECTOR_ID, 'q.')}, q.label, m.label AS prediction,"
+            " m.name AS predicted, LOCATED AS locationaware, ln(m.n + 1e0) + " + score + " AS score,"
+            f" row_number() OVER (PARTITION BY {cols(VECTOR_ID, 'q.')} ORDER BY ln(m.n + 1e0) + {score} DESC, m.label) AS rn"
+            " FROM ("
+            f"SELECT * FROM scaled WHERE NOT train) q JOIN (SELECT dominanthand, label, any_value(activity) AS name, count(*) AS n, {sums}"
+            " FROM scaled WHERE train GROUP BY dominanthand, label) m ON m.dominanthand = q.dominanthand) WHERE rn = 1"
+        ), [
+            f"vec AS (SELECT {cols(VECTOR_ID)}, {LABEL} AS label, {BUCKET} < 700 AS train, {', '.join(fields)} FROM {source})",
+            f"ranges AS (SELECT dominanthand, {lo_hi} FROM vec WHERE train GROUP BY dominanthand)",
+            f"scaled AS (SELECT {cols(VECTOR_ID)}, label, train, {unit} FROM vec JOIN ranges USING (dominanthand))",
+        ]
+
+    parts = []
+    for located, lab in ((False, UNAWARE), (True, LABELLED)):
+        body, ctes = select(located)
+        near = [*PLACES, "coords AS (SELECT DISTINCT first_lat AS latitude, first_lng AS longitude FROM feat)",
+                around("coords", 20.0), counts()] if located else []
+        parts.append("(" + with_(T, lab, seg(REGION, "lab"), win(), feat(REGION), *near, *ctes) + body.replace("LOCATED", str(located)) + ")")
+    return "\nUNION ALL\n".join(parts)
+
+
+def _recognised(located, select):
+    """Windows of the latest records, in clusters or, without locations, as one trip."""
+    if located:
+        ctes = [*dbscan(source="recent"), seg(CLUSTERED, "clus")]
+    else:
+        ctes = ["trip AS (SELECT *, CAST(-1 AS INTEGER) AS cluster_id FROM recent)", seg(CLUSTERED, "trip")]
+    return "(" + with_(T, LATEST_ALL, *ctes, win(), feat(CLUSTERED), recursive=located) + select.replace("LOCATED", str(located)) + ")"
+
+
+def _result(located):
+    paths = f"CASE WHEN dominanthand THEN '{model_path('models', DECISION_TREE, located, True)}' ELSE '{model_path('models', DECISION_TREE, located, False)}' END"
+    return (
+        f"SELECT user, CAST({RUN_START - 10000} AS BIGINT) AS timestamp, {PERIOD} AS activity, {paths} AS model, dominanthand,"
+        " LOCATED AS locationaware, window_start, window_end FROM feat"
+    )
+
+
+def _recognise():
+    select = f"SELECT {cols(CLUSTERED)}, seg_id, win_id, window_start, window_end, {PERIOD} AS predicted, LOCATED AS locationaware FROM feat"
+    return "\nUNION ALL\n".join(_recognised(located, select) for located in (False, True))
+
+
+def _results():
+    return "\nUNION ALL\n".join(_recognised(located, _result(located)) for located in (False, True))
+
+
 LATEST_ALL = f"recent AS (SELECT * EXCLUDE (rn) FROM {LAST} WHERE rn <= 2500)"
 SEGMENTS_OUT = f"SELECT {cols(K)}, seg_id, min(timestamp) AS start_ts, max(timestamp) AS end_ts, count(*) AS n_records FROM seg GROUP BY {cols(K)}, seg_id"
 
 ORACLE: dict[str, str] = {
     "read_traces": ALL_RECORDS,
     "read_trace_csv": ALL_RECORDS,
+    "read_trace_csv_place": ALL_RECORDS.replace(", activity,", ", activity, concat('at ', activity) AS place,"),
     "read_xyz_csv": with_(T) + f"SELECT {', '.join(r6(a) for a in AXES)} FROM t",
     "read_ticks_csv": with_(T) + "SELECT timestamp, CAST(trunc(x) AS BIGINT) AS value FROM t",
     "conform_traces": ALL_RECORDS,
+    "malformed_traces": with_(FAULTY) + "SELECT coalesce(user, 'none') AS user, coalesce(CAST(dominanthand AS VARCHAR), 'none')"
+    f" AS dominanthand, timestamp, CASE WHEN {GIVEN} THEN 'kept' ELSE 'quarantined' END AS side, count(*) AS n_records FROM raw GROUP BY ALL",
+    "faulty_gap_segments": with_(FAULTY, KEPT_ONCE, seg()) + f"SELECT {RECORD}, seg_id, seg_start FROM seg",
+    "faulty_st_dbscan": _faulty_dbscan(),
+    "faulty_poi_map": with_(FAULTY, KEPT, *PLACES, COORDS, around("coords", 20.0), counts())
+    + f"SELECT {RECORD}, {', '.join(f'coalesce(n_{i}, 0) AS n_{i}' for i in range(8))} FROM t LEFT JOIN counts USING (latitude, longitude)",
+    "faulty_peak_interval": with_(FAULTY, KEPT, seg(), win(), feat()) + f"SELECT {cols(KW)}, {', '.join(r6(f'peak_{a}') for a in AXES)} FROM feat",
     "write_results": with_(T, UNAWARE, seg(REGION, "lab"), win(), feat(REGION))
     + f"SELECT user, CAST({RUN_START - 10000} AS BIGINT) AS timestamp, activity, 'labels' AS model, dominanthand,"
       " false AS locationaware, window_start, window_end FROM feat",
@@ -356,6 +488,18 @@ ORACLE: dict[str, str] = {
         f"avg(CASE WHEN {ACTIVITY_ID} = CASE WHEN cluster_id = -1 AND max_speed > 1 THEN 7 ELSE 0 END THEN 1e0 ELSE 0e0 END)",
         "accuracy") + " FROM feat GROUP BY user",
     "model_path": _model_path(),
+    "train_decision_tree": _test_counts("count(*) AS n_test, 1e0 AS accuracy, 'decisiontree' AS algorithm"),
+    "train_random_forest": _test_counts("count(*) AS n_test, 1e0 AS accuracy, 'randomforest' AS algorithm"),
+    "train_naive_bayes": _bayes(),
+    "confusion_matrix": f"SELECT label, prediction, count(*) AS n FROM ({_predicted()}) GROUP BY label, prediction",
+    "predict_activity": _predicted(),
+    "load_models": _test_counts("count(*) AS n_test, count(*) AS n_same, count(*) AS n_right"),
+    "train_models": _trained(["decisiontree"], True),
+    "run_training": _trained(["decisiontree", "randomforest"], False),
+    "recognise": _recognise(),
+    "recognition_results": _recognised(False, _result(False)),
+    "recognise_all": _results(),
+    "stream_recognise": _results(),
     "stream_segments": with_(T, seg()) + SEGMENTS_OUT.replace("seg_id, min", "min"),
     "stream_windows": with_(T, seg(), win()) + f"SELECT {RECORD}, seg_start, win_id FROM win",
     "stream_features": with_(T, seg(), win(), feat(), "starts AS (SELECT DISTINCT user, dominanthand, seg_id, seg_start FROM seg)")

@@ -56,7 +56,8 @@ def unit_scaler(train: DataFrame, columns: Sequence[str]) -> tuple[SQLTransforme
     for column, name in zip(columns, names):
         lo, hi = ranges[f"lo_{column}"] or 0.0, ranges[f"hi_{column}"] or 0.0
         width = hi - lo
-        value = f"greatest(({column} - {lo!r}D) / {width!r}D, 0D)" if width > 0 else "0D"
+        # As text, for a bound may be infinite or not a number.
+        value = f"greatest(({column} - CAST('{lo!r}' AS DOUBLE)) / CAST('{width!r}' AS DOUBLE), 0D)" if width > 0 else "0D"
         scaled.append(f"{value} AS {name}")
     return SQLTransformer(statement=f"SELECT *, {', '.join(scaled)} FROM __THIS__"), names
 
@@ -112,6 +113,10 @@ def save_model(model: PipelineModel, path: str, overwrite: bool = True) -> None:
     (writer.overwrite() if overwrite else writer).save(path)
 
 
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def load_models(base: str, algorithm: str = RANDOM_FOREST) -> dict[tuple[bool, bool], PipelineModel]:
     """The four variants, keyed ``(location_aware, dominanthand)``."""
-    return {v: PipelineModel.load(model_path(base, algorithm, *v)) for v in VARIANTS}
+    return {v: load_model(model_path(base, algorithm, *v)) for v in VARIANTS}

@@ -23,8 +23,13 @@ def recognition_features(traces: DataFrame, pois: DataFrame | None, location_awa
                          gap_ms: int = SEGMENT_GAP_MS, duration_ms: int = WINDOW_MS,
                          min_records: int = MIN_WINDOW_RECORDS, radius_m: float = POI_RADIUS_M,
                          chunk_ms: int | None = None) -> DataFrame:
-    """Feature rows of all streams: regions, segments, windows, features in one plan."""
+    """Feature rows of all streams: regions, segments, windows, features.
+
+    The regions are written once: segments read them twice, and clustering them is most of the work.
+    """
     regions = recognise_regions(traces, location_aware, chunk_ms=chunk_ms)
+    if location_aware:
+        regions = stage(regions, "regions")
     windowed = windowed_traces(regions, gap_ms, duration_ms, REGION_KEYS, chunk_ms)
     if location_aware:
         return features_location_aware(windowed, pois, REGION_KEYS, min_records, radius_m)

@@ -29,10 +29,12 @@ LABEL_METADATA = {"ml_attr": {"type": "nominal", "vals": [a for a, i in ACTIVITI
 def training_set(traces: DataFrame, pois: DataFrame | None, location_aware: bool = True,
                  dominanthand: bool | None = None, regions: str = "label", gap_ms: int = SEGMENT_GAP_MS,
                  duration_ms: int = WINDOW_MS, min_records: int = MIN_WINDOW_RECORDS,
-                 radius_m: float = POI_RADIUS_M, chunk_ms: int | None = None) -> DataFrame:
+                 radius_m: float = POI_RADIUS_M, chunk_ms: int | None = None,
+                 activity: Column | None = None) -> DataFrame:
     """One labelled feature row per window of all users and activities.
 
     ``regions`` says what tells stays from trips: the "label", or density clustering ("cluster").
+    ``activity`` labels windows by an expression over their features instead of by the records' label.
     """
     rows = training_traces(traces, dominanthand=dominanthand)
     if regions == "cluster":
@@ -46,7 +48,7 @@ def training_set(traces: DataFrame, pois: DataFrame | None, location_aware: bool
         features = features_location_aware(windowed, pois, REGION_KEYS, min_records, radius_m)
     else:
         features = features_basic(windowed, REGION_KEYS, min_records)
-    label = activity_id(F.col("activity")).cast("double").alias("label", metadata=LABEL_METADATA)
+    label = activity_id(F.col("activity") if activity is None else activity).cast("double").alias("label", metadata=LABEL_METADATA)
     return features.select(
         *VECTOR_ID, "window_start", "window_end", "n_records", label, *feature_columns(location_aware)
     )
@@ -74,6 +76,13 @@ def train_models(traces: DataFrame, pois: DataFrame | None, location_aware: bool
     With ``base`` the models are also saved under their variant path.
     """
     vectors = stage(training_set(traces, pois, location_aware, dominanthand, **windows), "vectors")
+    return fit_variant(vectors, location_aware, dominanthand, base, algorithms, seed)
+
+
+def fit_variant(vectors: DataFrame, location_aware: bool, dominanthand: bool, base: str | None = None,
+                algorithms: Sequence[str] = (DECISION_TREE, RANDOM_FOREST), seed: int = 42) -> tuple[dict, DataFrame]:
+    """Fit and measure the classifiers of one hand on written feature rows."""
+    vectors = vectors.where(F.col("dominanthand") == dominanthand)
     train, test = split(vectors, seed=seed)
     models, rows = {}, None
     for algorithm in algorithms:
@@ -94,8 +103,11 @@ def train_models(traces: DataFrame, pois: DataFrame | None, location_aware: bool
 
 def run_training(traces: DataFrame, pois: DataFrame, base: str,
                  algorithms: Sequence[str] = (DECISION_TREE, RANDOM_FOREST), seed: int = 42, **windows) -> DataFrame:
-    """Train, save and evaluate all four variants."""
-    tables = [train_models(traces, pois, *variant, base, algorithms, seed, **windows)[1] for variant in VARIANTS]
+    """Train, save and evaluate all four variants. The features of both hands are computed together."""
+    vectors = {
+        aware: stage(training_set(traces, pois, aware, None, **windows), "vectors") for aware in (False, True)
+    }
+    tables = [fit_variant(vectors[aware], aware, hand, base, algorithms, seed)[1] for aware, hand in VARIANTS]
     out = tables[0]
     for table in tables[1:]:
         out = out.union(table)

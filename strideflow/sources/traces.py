@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strideflow.operators.timeline import chunk_length, tile
+from strideflow.operators.timeline import chunk_length, named_streams, tile
 from strideflow.schemas import (
     LATEST_TRACES, OTHER, POI, RESULT, STREAM_KEYS, TICKS_CSV, TRACE, TRACE_COLUMNS, TRACE_CSV,
     TRACE_CSV_WITH_PLACE, TRAINING_TRACE, XYZ_CSV,
@@ -43,13 +43,18 @@ def read_pois(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame
 
 
 def conform_traces(rows: DataFrame, labelled: bool = False, deduplicate: bool = False) -> DataFrame:
-    """Typed trace columns from any table that has them; a value that does not convert is an error.
+    """Typed trace columns from any table that has them.
+
+    A value that does not convert is an error, and so is a missing user, hand, time or (where
+    labelled) activity; a missing fix or sample is not. ``malformed_traces`` lists just the rows
+    refused here, ``admit_traces`` parts the two.
 
     ``deduplicate`` keeps one record per stream and timestamp. Which one depends on the values
     alone, so a repeated task gives the same result, and copies combine before the shuffle.
     """
     fields = (TRAINING_TRACE if labelled else TRACE).fields
-    typed = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])
+    kept = rows.where(F.when(_faulty(fields), F.raise_error(F.lit("a trace record is malformed")).cast("boolean")).otherwise(True))
+    typed = kept.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])
     if not deduplicate:
         return typed
     key = [*STREAM_KEYS, "timestamp"]
@@ -59,12 +64,24 @@ def conform_traces(rows: DataFrame, labelled: bool = False, deduplicate: bool =
 
 
 def malformed_traces(rows: DataFrame, labelled: bool = False) -> DataFrame:
-    """The rows ``conform_traces`` would refuse: a column that is missing or does not convert."""
-    fields = (TRAINING_TRACE if labelled else TRACE).fields
+    """The rows ``conform_traces`` refuses."""
+    return rows.where(_faulty((TRAINING_TRACE if labelled else TRACE).fields))
+
+
+def _faulty(fields: list[T.StructField]) -> Column:
     bad = F.lit(False)
     for f in fields:
-        bad = bad | F.col(f.name).cast("string").try_cast(f.dataType).isNull()
-    return rows.where(bad)
+        given = F.col(f.name).isNotNull()
+        bad = bad | (given & F.col(f.name).cast("string").try_cast(f.dataType).isNull())
+        if f.name in (*STREAM_KEYS, "timestamp", "activity"):
+            bad = bad | ~given
+    return bad
+
+
+def admit_traces(rows: DataFrame, labelled: bool = False, deduplicate: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The conformed good rows, and the malformed ones as they came; together all rows."""
+    bad = _faulty((TRAINING_TRACE if labelled else TRACE).fields)
+    return conform_traces(rows.where(~bad), labelled, deduplicate), rows.where(bad)
 
 
 def traces_between(traces: DataFrame, user: str, dominanthand: bool, start: int, end: int) -> DataFrame:
@@ -86,7 +103,7 @@ def latest_traces(traces: DataFrame, n: int = LATEST_TRACES, keys: list[str] = S
     in a join by stream and chunk if it is not.
     """
     chunk_ms = chunk_length(chunk_ms)
-    rows = tile(traces, chunk_ms)
+    rows = tile(named_streams(traces, keys), chunk_ms)
     counts = rows.groupBy(*keys, "chunk").agg(F.count("*").alias("n"))
     newer = Window.partitionBy(*keys).orderBy(F.desc("chunk")).rowsBetween(Window.unboundedPreceding, -1)
     wanted = counts.withColumn("newer", F.coalesce(F.sum("n").over(newer), F.lit(0))).where(F.col("newer") < n)

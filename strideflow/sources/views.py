@@ -37,17 +37,32 @@ SELECT p_partkey AS poi_id,
        79e-1 AS longitude,
        {split}(CASE p_partkey % 7 WHEN 0 THEN 'restaurant,bar' WHEN 1 THEN 'school' WHEN 2 THEN 'store,bakery'
                           WHEN 3 THEN 'museum' WHEN 4 THEN 'atm,point_of_interest'
-                          WHEN 5 THEN ' Library ' ELSE 'cafe,store,unknown_type' END, ',') AS types
+                          WHEN 5 THEN concat(chr(9), ' Library', chr(10)) ELSE 'cafe,store,unknown_type' END, ',') AS types
 FROM {part}
 """
 
 
+FAULTY_SQL = """
+SELECT CASE WHEN timestamp % 3700 = 0 THEN NULL ELSE user END AS user,
+       CASE WHEN timestamp % 4100 = 0 THEN NULL ELSE dominanthand END AS dominanthand,
+       timestamp, activity, x, y, z,
+       CASE WHEN timestamp % 900 = 0 THEN NULL ELSE latitude END AS latitude,
+       CASE WHEN timestamp % 900 = 0 THEN NULL ELSE longitude END AS longitude
+FROM (SELECT * FROM ({traces}) a UNION ALL SELECT * FROM ({traces}) b WHERE timestamp % 1100 = 0) s
+"""
+
+
 def traces_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled traces over the whole ``events`` table."""
     events = spark.read.schema("event_id long, user_id long, value double").parquet(f"{sf_dir}/events.parquet")
     return spark.sql(TRACES_SQL.format(events="{events}"), events=events)
 
 
+def faulty_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The traces with records sent twice, missing fixes, and missing users and hands."""
+    return spark.sql(FAULTY_SQL.format(traces="SELECT * FROM {t}"), t=traces_view(spark, sf_dir))
+
+
 def poi_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places over the whole ``part`` table."""
     part = spark.read.schema("p_partkey long").parquet(f"{sf_dir}/part.parquet")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from strideflow.plans.models import RANDOM_FOREST
 from strideflow.plans.recognition import recognise_latest
 from strideflow.schemas import LATEST_TRACES, STREAM_KEYS, TRACE
 from strideflow.session import stage
@@ -47,24 +48,24 @@ def stream_latest(traces: DataFrame, latest: int = LATEST_TRACES) -> DataFrame:
 
 
 def recognise_batch(batch: DataFrame, batch_id: int, pois: DataFrame, models: dict[tuple[bool, bool], PipelineModel],
-                    results_path: str, run_start: int) -> None:
+                    results_path: str, run_start: int, algorithm: str = RANDOM_FOREST) -> None:
     """Recognise one micro-batch and write its results to a folder of its own.
 
     The batch is written once before it is used several times. A repeated batch replaces its
     folder, so nothing is written twice.
     """
-    results = recognise_latest(stage(batch, "latest"), pois, models, run_start)
+    results = recognise_latest(stage(batch, "latest"), pois, models, run_start, algorithm)
     results.write.mode("overwrite").parquet(f"{results_path}/batch_id={batch_id}")
 
 
 def stream_recognise(traces: DataFrame, pois: DataFrame, models: dict[tuple[bool, bool], PipelineModel],
                      results_path: str, checkpoint: str, latest: int = LATEST_TRACES,
                      clock: Callable[[], int] = lambda: int(time.time() * 1000), period: str = "10 seconds",
-                     available_now: bool = False) -> DataStreamWriter:
+                     available_now: bool = False, algorithm: str = RANDOM_FOREST) -> DataStreamWriter:
     """Every ``period``, recognise the latest traces of the users that sent some."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        recognise_batch(batch, batch_id, pois, models, results_path, clock())
+        recognise_batch(batch, batch_id, pois, models, results_path, clock(), algorithm)
 
     writer = stream_latest(traces, latest).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=period)
