@@ -1,6 +1,7 @@
 """Benchmark decontamination with SimHash over item-sized windows. DataFrame functions only.
 
-Words are lower-cased runs of letters and digits; shingles are five words long (a shorter text is one shingle).
+Words are lower-cased runs of letters and digits; shingles are five words long. A shorter text is one shingle, so an item of
+fewer words only matches a document that is the same words.
 
 1. Seeds. A window without a shingle of the item has similarity zero, so only windows that hold one can count.
    Document shingles are looked up among the item shingles; a hit fixes where a window of the item's size starts.

@@ -3,7 +3,8 @@
 Three patterns give the base spans. Every other identifier-like token is scored with two first-order
 Markov models over its characters, one of random strings and one of ordinary words and identifiers; the
 log-likelihood ratio decides. The labelled samples come from the corpus itself: what the base patterns
-match are random strings, all other tokens are ordinary. Both models are counted over all texts.
+match are random strings; ordinary is everything else but the tokens in question, which would vouch for themselves. Both models are counted over all texts; that of random strings is
+mixed half and half with a uniform one, as the samples may all be of one kind.
 
 Defined results: a null text counts as empty; an empty text has no spans and the digest of the empty
 string; repeated rows and rows with a null id are scanned like any other; further columns are ignored.
@@ -72,17 +73,19 @@ def transitions(data: bytes) -> np.ndarray:
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    random, whole = np.zeros(PAIRS, np.int64), np.zeros(PAIRS, np.int64)
+    random, other, whole = np.zeros((3, PAIRS), np.int64)
     for batch in batches:
         texts = filled(batch.column(0))
         for a, b in steps(texts):
             part = texts.slice(a, b - a)
             for i in matching(part, ANY_BASE):
                 random += transitions("\n".join(samples(part[i].as_py())).encode())
+            for i in matching(part, ANY_DIGIT_TOKEN):
+                other += transitions("\n".join(m[0] for m in TOKEN.finditer(part[i].as_py()) if MIXED.match(m[0])).encode())
             whole += transitions("\n".join(part.to_pylist()).encode())
     used = np.flatnonzero(whole + random)
     yield pa.RecordBatch.from_arrays(
-        [pa.array(used, pa.int32()), pa.array(random[used]), pa.array(np.maximum(whole - random, 0)[used])],
+        [pa.array(used, pa.int32()), pa.array(random[used]), pa.array(np.maximum(whole - np.maximum(random, other), 0)[used])],
         ["pair", "random", "ordinary"],
     )
 
@@ -91,12 +94,17 @@ def train(docs: DataFrame) -> np.ndarray:
     """Log-likelihood ratio of each transition. Counts of all texts, summed by Spark; at most 68 x 68 rows come back."""
     counts = docs.select("text").mapInArrow(_count_batches, "pair int, random long, ordinary long")
     rows = counts.groupBy("pair").agg(F.sum("random").alias("random"), F.sum("ordinary").alias("ordinary")).collect()
-    tables = np.ones((2, PAIRS))  # one of each for smoothing
+    tables = np.zeros((2, PAIRS))
     for row in rows:
-        tables[:, row["pair"]] += row["random"], row["ordinary"]
+        tables[:, row["pair"]] = row["random"], row["ordinary"]
     tables = tables.reshape(2, SIZE, SIZE)
-    logs = np.log(tables / tables.sum(axis=2, keepdims=True))
-    return (logs[0] - logs[1]).reshape(-1)
+    # Smoothed by as many characters as there are, dealt as they occur: a digit is rare after an unseen one too.
+    usual = tables.sum(axis=1, keepdims=True) + 1
+    tables += SIZE * usual / usual.sum(axis=2, keepdims=True)
+    shares = tables / tables.sum(axis=2, keepdims=True)
+    # Samples of one kind (all hexadecimal, say) must not rule out other random strings.
+    shares[0] = (shares[0] + 1 / SIZE) / 2
+    return (np.log(shares[0]) - np.log(shares[1])).reshape(-1)
 
 
 def method_spans(text: str, ratio: np.ndarray, least: float, least_mean: float) -> list[tuple[int, int, int]]:
