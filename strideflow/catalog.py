@@ -450,12 +450,23 @@ def recognise_all(spark, sf_dir):
 
 # --- streams ----------------------------------------------------------------------------------
 
-def _trace_stream(spark, sf_dir) -> DataFrame:
-    """The trace table as a stream, followed by one record far in the future that closes the last windows."""
+def _trace_stream(spark, sf_dir, parts: int = 1) -> DataFrame:
+    """The trace table as a stream, followed by one record far in the future that closes the last windows.
+
+    With ``parts`` the records arrive in that many files one after the other, each a micro-batch of its own.
+    """
     t = traces_view(spark, sf_dir).select(*[f for f in TRAINING_TRACE.fieldNames() if f != "activity"])
     end = t.limit(1).withColumn("user", F.lit("end")).withColumn("timestamp", F.lit(4_000_000_000_000))
-    path = _copy(t.union(end), "stream")
-    return spark.readStream.schema(t.schema).parquet(path)
+    if parts == 1:
+        return spark.readStream.schema(t.schema).parquet(_copy(t.union(end), "stream"))
+    path = scratch_path(spark, "stream")
+    first, last = t.agg(F.min("timestamp"), F.max("timestamp")).first()
+    width = (last - first) // parts + 1
+    for k in range(parts):
+        low = first + k * width
+        t.where((F.col("timestamp") >= low) & (F.col("timestamp") < low + width)).coalesce(1).write.mode("append").parquet(path)
+    end.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def _finish(stream: DataFrame, name: str) -> DataFrame:
@@ -470,11 +481,11 @@ def _finish(stream: DataFrame, name: str) -> DataFrame:
 
 
 def stream_segments_(spark, sf_dir):
-    return _finish(stream_segments(_trace_stream(spark, sf_dir)), "segments")
+    return _finish(stream_segments(_trace_stream(spark, sf_dir, 3)), "segments")
 
 
 def stream_windows_(spark, sf_dir):
-    closed = _finish(stream_windows(_trace_stream(spark, sf_dir)), "windows")
+    closed = _finish(stream_windows(_trace_stream(spark, sf_dir, 3)), "windows")
     return closed.select(*RECORD, "seg_start", "win_id")
 
 

@@ -55,9 +55,12 @@ def named_streams(df: DataFrame, keys: list[str]) -> DataFrame:
     Operators join on these columns, and a join would lose such rows without a word;
     ``admit_traces`` puts them aside beforehand.
     """
-    missing = " OR ".join(f"{c} IS NULL" for c in [*keys, "timestamp"])
-    error = f"CAST(raise_error('a record has no {', '.join(keys)} or timestamp') AS BIGINT)"
-    return df.withColumn("timestamp", F.expr(f"CASE WHEN {missing} THEN {error} ELSE timestamp END"))
+    def given(name: str) -> Column:
+        error = F.raise_error(F.lit(f"a record has no {', '.join(keys)} or timestamp: {name} is missing"))
+        # Part of the column itself, so that no filter for missing keys can come before it.
+        return F.coalesce(F.col(name), error.cast(df.schema[name].dataType))
+
+    return df.withColumns({name: given(name) for name in [*keys, "timestamp"]})
 
 
 def in_own_chunk(chunk_ms: int, ts: str = "timestamp") -> Column:

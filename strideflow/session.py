@@ -4,11 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Set while ``scratch`` is in use: the folder that intermediate tables go to.
+SCRATCH = "spark.strideflow.scratch"
+
+
 def build_session(app_name: str = "strideflow", master: str | None = None, **conf: str) -> SparkSession:
     builder = (
         SparkSession.builder.appName(app_name)
@@ -16,6 +22,12 @@ def build_session(app_name: str = "strideflow", master: str | None = None, **con
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        # State of streams on disk, with only what changed written per micro-batch.
+        .config(
+            "spark.sql.streaming.stateStore.providerClass",
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        )
+        .config("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     )
     if master:
         builder = builder.master(master)
@@ -44,7 +56,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/strideflow/{name}-{uuid.uuid4().hex}"
+    folder = spark.conf.get(SCRATCH, None) or f"{shared_dir(spark)}/strideflow"
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[str]:
+    """Intermediate tables staged inside go to one folder, which is deleted at the end.
+
+    Only for work whose results are written inside: what was staged cannot be read afterwards.
+    """
+    outer, path = spark.conf.get(SCRATCH, None), scratch_path(spark, name)
+    spark.conf.set(SCRATCH, path)
+    try:
+        yield path
+    finally:
+        if outer is None:
+            spark.conf.unset(SCRATCH)
+        else:
+            spark.conf.set(SCRATCH, outer)
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

@@ -14,21 +14,26 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from strideflow.plans.models import RANDOM_FOREST
 from strideflow.plans.recognition import recognise_latest
 from strideflow.schemas import LATEST_TRACES, STREAM_KEYS, TRACE
-from strideflow.session import stage
+from strideflow.session import scratch, stage
 
 VALUES = [f for f in TRACE.fields if f.name not in STREAM_KEYS]
 TRACE_DDL = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in TRACE.fields)
+IDLE_MS = 7 * 24 * 3600 * 1000
 HELD_DDL = ", ".join(f"{f.name} array<{f.dataType.simpleString()}>" for f in VALUES)
 
 
-def stream_latest(traces: DataFrame, latest: int = LATEST_TRACES) -> DataFrame:
+def stream_latest(traces: DataFrame, latest: int = LATEST_TRACES, idle_ms: int = IDLE_MS) -> DataFrame:
     """The newest ``latest`` records of every stream that got new ones in this micro-batch.
 
     They are kept in the state store, so a micro-batch costs the same however long the history.
+    A stream that sent nothing for ``idle_ms`` is forgotten.
     """
     names = [f.name for f in VALUES]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         newest = pd.DataFrame(dict(zip(names, state.get))) if state.exists else None
         for batch in batches:
             known = [batch[names]] if newest is None or newest.empty else [newest, batch[names]]
@@ -37,13 +42,14 @@ def stream_latest(traces: DataFrame, latest: int = LATEST_TRACES) -> DataFrame:
             newest = rows.nlargest(latest, "timestamp")
         newest = newest.sort_values("timestamp")
         state.update(tuple(newest[n].tolist() for n in names))
+        state.setTimeoutDuration(idle_ms)
         out = newest.copy()
         for name, value in zip(STREAM_KEYS, key):
             out[name] = value
         yield out[TRACE.fieldNames()]
 
     return traces.groupBy(*STREAM_KEYS).applyInPandasWithState(
-        step, TRACE_DDL, HELD_DDL, "append", GroupStateTimeout.NoTimeout
+        step, TRACE_DDL, HELD_DDL, "append", GroupStateTimeout.ProcessingTimeTimeout
     )
 
 
@@ -52,10 +58,11 @@ def recognise_batch(batch: DataFrame, batch_id: int, pois: DataFrame, models: di
     """Recognise one micro-batch and write its results to a folder of its own.
 
     The batch is written once before it is used several times. A repeated batch replaces its
-    folder, so nothing is written twice.
+    folder, so nothing is written twice; its intermediate tables are deleted with the batch.
     """
-    results = recognise_latest(stage(batch, "latest"), pois, models, run_start, algorithm)
-    results.write.mode("overwrite").parquet(f"{results_path}/batch_id={batch_id}")
+    with scratch(batch.sparkSession, "batch"):
+        results = recognise_latest(stage(batch, "latest"), pois, models, run_start, algorithm)
+        results.write.mode("overwrite").parquet(f"{results_path}/batch_id={batch_id}")
 
 
 def stream_recognise(traces: DataFrame, pois: DataFrame, models: dict[tuple[bool, bool], PipelineModel],

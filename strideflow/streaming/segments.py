@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -20,6 +20,18 @@ def with_event_time(traces: DataFrame, delay: str) -> DataFrame:
     return traces.withColumn("event_time", F.timestamp_millis("timestamp")).withWatermark("event_time", delay)
 
 
+def split_by_clock(traces: DataFrame, ahead_ms: int, now: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Records up to ``ahead_ms`` beyond the clock, and those further ahead.
+
+    The watermark follows the largest time of all streams, so one wrong clock would make the
+    records of every other stream late. Hand only the first part to the operators below and
+    write the second where it can be looked at.
+    """
+    now = F.unix_millis(F.current_timestamp()) if now is None else now
+    ahead = F.coalesce(F.col("timestamp") > now + F.lit(ahead_ms), F.lit(False))
+    return traces.where(~ahead), traces.where(ahead)
+
+
 def stream_segments(traces: DataFrame, gap_ms: int = SEGMENT_GAP_MS, delay: str = "10 seconds") -> DataFrame:
     """Segments that the watermark has closed: records at most ``gap_ms`` apart share one.
 

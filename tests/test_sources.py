@@ -46,7 +46,7 @@ def test_malformed_rows_are_found_and_refused(spark):
     text = rows.select(*[F.col(c).cast("string").alias(c) for c in rows.columns])
     text = text.withColumn("x", F.when(F.col("timestamp") == "2", F.lit("n/a")).otherwise(F.col("x")))
     assert [r.timestamp for r in S.malformed_traces(text).collect()] == ["2"]
-    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+    with pytest.raises(Exception, match="malformed"):
         S.conform_traces(text).collect()
 
 
