@@ -22,11 +22,12 @@ IDLE_MS = 7 * 24 * 3600 * 1000
 HELD_DDL = ", ".join(f"{f.name} array<{f.dataType.simpleString()}>" for f in VALUES)
 
 
-def stream_latest(traces: DataFrame, latest: int = LATEST_TRACES, idle_ms: int = IDLE_MS) -> DataFrame:
+def stream_latest(traces: DataFrame, latest: int = LATEST_TRACES, idle_ms: int | None = None) -> DataFrame:
     """The newest ``latest`` records of every stream that got new ones in this micro-batch.
 
     They are kept in the state store, so a micro-batch costs the same however long the history.
-    A stream that sent nothing for ``idle_ms`` is forgotten.
+    With ``idle_ms``, a stream that sent nothing for so long is forgotten; Spark then runs a
+    micro-batch at every trigger, so a query that is to end by itself must do without.
     """
     names = [f.name for f in VALUES]
 
@@ -42,14 +43,16 @@ def stream_latest(traces: DataFrame, latest: int = LATEST_TRACES, idle_ms: int =
             newest = rows.nlargest(latest, "timestamp")
         newest = newest.sort_values("timestamp")
         state.update(tuple(newest[n].tolist() for n in names))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         out = newest.copy()
         for name, value in zip(STREAM_KEYS, key):
             out[name] = value
         yield out[TRACE.fieldNames()]
 
     return traces.groupBy(*STREAM_KEYS).applyInPandasWithState(
-        step, TRACE_DDL, HELD_DDL, "append", GroupStateTimeout.ProcessingTimeTimeout
+        step, TRACE_DDL, HELD_DDL, "append",
+        GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout,
     )
 
 
@@ -61,7 +64,10 @@ def recognise_batch(batch: DataFrame, batch_id: int, pois: DataFrame, models: di
     folder, so nothing is written twice; its intermediate tables are deleted with the batch.
     """
     with scratch(batch.sparkSession, "batch"):
-        results = recognise_latest(stage(batch, "latest"), pois, models, run_start, algorithm)
+        rows = stage(batch, "latest")
+        if rows.isEmpty():
+            return
+        results = recognise_latest(rows, pois, models, run_start, algorithm)
         results.write.mode("overwrite").parquet(f"{results_path}/batch_id={batch_id}")
 
 
@@ -74,5 +80,6 @@ def stream_recognise(traces: DataFrame, pois: DataFrame, models: dict[tuple[bool
     def run(batch: DataFrame, batch_id: int) -> None:
         recognise_batch(batch, batch_id, pois, models, results_path, clock(), algorithm)
 
-    writer = stream_latest(traces, latest).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    newest = stream_latest(traces, latest, None if available_now else IDLE_MS)
+    writer = newest.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=period)
