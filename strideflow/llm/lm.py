@@ -41,8 +41,8 @@ from strideflow.llm.trie import NgramTrie
 from strideflow.session import stage
 
 SEED = 42
-BLOCK_BYTES = 8_000_000
-SHARD_BYTES = 16_000_000  # text per shard
+BLOCK_BYTES = 12_000_000
+SHARD_BYTES = 5_000_000  # text per shard: several shards to a task, so that tasks are alike
 LEAST_SHARD_BITS = 5
 STRENGTH = 4.0
 # A context seen more often has its followers dealt over several shards.
@@ -55,7 +55,7 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 
 def pack(*arrays: np.ndarray) -> bytes:
     raw = pickle.dumps([a if a.dtype.itemsize == 1 else _planes(a) for a in arrays], protocol=5)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True)
 
 
 def _planes(a: np.ndarray) -> tuple[str, np.ndarray]:

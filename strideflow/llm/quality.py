@@ -3,7 +3,7 @@
 Two histograms describe a text: its characters by class (lower, upper, digit, punctuation, symbol, other, space) and its
 words by common word (one bin for each function word, one for all other words). The reference of a language is the sum
 over all documents with that ``lang`` that pass the base rules; documents without a language are compared with the
-sum over all. The Jensen-Shannon distance (base 2, 0 to 1) to the reference must not exceed a limit. Guards: a
+sum over all, by their characters only. The Jensen-Shannon distance (base 2, 0 to 1) to the reference must not exceed a limit. Guards: a
 histogram is only judged for documents of a minimum length, where an empirical histogram is close enough to its source,
 and against references of a minimum length. DataFrame functions only.
 
@@ -119,7 +119,7 @@ def features(docs: DataFrame) -> DataFrame:
         for w in COMMON
     ]
     df = df.select(
-        "doc_id", "lang", "n_words", "word_chars",
+        "doc_id", "lang", "n_words", "n_chars", "word_chars",
         (F.length("rest4") - F.length("rest5")).cast("long").alias("n_symbols"), "n_dup_lines", "n_repeat_words",
         F.array(*chars).alias("chars"), F.array(*found).alias("listed"),
     )
@@ -135,40 +135,43 @@ def references(rows: DataFrame) -> DataFrame:
     """Summed histograms per language, and one over all rows under no language."""
     sums = [F.sum(F.get("chars", F.lit(i))).alias(f"a{i}") for i in range(len(CLASSES))]
     sums += [F.sum(F.get("common", F.lit(i))).alias(f"b{i}") for i in range(len(COMMON) + 1)]
+    sums += [F.sum("n_chars").alias("ref_n_chars"), F.sum("n_words").alias("ref_n_words")]
     by_lang = stage(rows.where(~base_failed()).groupBy("lang").agg(*sums), "language-sums")
     whole = by_lang.agg(*(F.sum(c).alias(c) for c in by_lang.columns[1:])).select(F.lit(UNKNOWN).alias("lang"), "*")
     each = by_lang.where(F.col("lang") != UNKNOWN).union(whole)
     return each.select(
-        "lang", F.array(*(f"a{i}" for i in range(len(CLASSES)))).alias("ref_chars"),
+        "lang", "ref_n_chars", "ref_n_words", F.array(*(f"a{i}" for i in range(len(CLASSES)))).alias("ref_chars"),
         F.array(*(f"b{i}" for i in range(len(COMMON) + 1))).alias("ref_common"),
     )
 
 
-def distance(counts: str, reference: str) -> Column:
-    """Jensen-Shannon distance of two count arrays; null if one is missing or has no counts."""
-    def total(c: str) -> Column:
-        return F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
-
+def distance(counts: str, total: str, reference: str, reference_total: str) -> Column:
+    """Jensen-Shannon distance of two count arrays with the given sums; null if one is missing or has no counts."""
     def part(a: Column, m: Column) -> Column:
         return F.when(a > 0, a * F.log2(a / m)).otherwise(0.0)
 
     def both(x: Column, y: Column) -> Column:
-        p, q = x / total(counts), y / total(reference)
+        p, q = x / F.col(total), y / F.col(reference_total)
         m = (p + q) / 2
         return (part(p, m) + part(q, m)) / 2
 
     divergence = F.aggregate(F.zip_with(counts, reference, both), F.lit(0.0), lambda a, x: a + x)
-    return F.when((total(counts) > 0) & (total(reference) > 0), F.sqrt(F.greatest(divergence, F.lit(0.0))))
+    return F.when((F.col(total) > 0) & (F.col(reference_total) > 0), F.sqrt(F.greatest(divergence, F.lit(0.0))))
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, lang) in; base counts, base_failed, both distances and kept out, one row per row."""
     rows = stage(features(docs), "quality-features")
     df = rows.join(references(rows), "lang", "left")
-    df = df.withColumn("char_distance", distance("chars", "ref_chars")).withColumn("common_distance", distance("common", "ref_common"))
-    enough = F.aggregate("ref_common", _zero(), lambda a, x: a + x) >= LEAST_REFERENCE_WORDS
+    df = df.withColumns({
+        "char_distance": distance("chars", "n_chars", "ref_chars", "ref_n_chars"),
+        "common_distance": distance("common", "n_words", "ref_common", "ref_n_words"),
+    })
+    enough = F.col("ref_n_words") >= LEAST_REFERENCE_WORDS
     far = (F.col("n_words") >= LEAST_CHAR_WORDS) & (F.col("char_distance") > MOST_CHAR_DISTANCE)
-    far |= (F.col("n_words") >= LEAST_COMMON_WORDS) & (F.col("common_distance") > MOST_COMMON_DISTANCE)
+    # Common words say nothing about a text whose language is unknown.
+    known = (F.col("lang") != UNKNOWN) & (F.col("n_words") >= LEAST_COMMON_WORDS)
+    far |= known & (F.col("common_distance") > MOST_COMMON_DISTANCE)
     return df.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"),
         (~base_failed() & ~F.coalesce(far & enough, F.lit(False))).alias("kept"), "char_distance", "common_distance",

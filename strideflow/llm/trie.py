@@ -84,26 +84,33 @@ class EliasFano:
         high = (self._select(i, True) - i).astype(np.uint64)
         return high << np.uint64(self.bits) | self._low(i)
 
-    def successor(self, x: np.ndarray) -> np.ndarray:
-        """Index of the first element not below each ``x``; ``n`` if there is none."""
-        out = np.full(len(x), self.n, np.int64)
+    def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index of the first element not below each ``x`` (``n`` if there is none), and whether it equals ``x``.
+
+        The bucket of ``x`` lies between two unset bits; a binary search over the low bits of its elements, as a
+        context with very many followers fills whole buckets.
+        """
+        out, equal = np.full(len(x), self.n, np.int64), np.zeros(len(x), bool)
         bucket = (x >> np.uint64(self.bits)).astype(np.int64)
         ask = np.flatnonzero(bucket < self.buckets)
         if not self.n or not len(ask):
-            return out
+            return out, equal
         h = bucket[ask]
-        # elements of bucket h lie between its two unset bits
-        first = np.where(h > 0, self._select(np.maximum(h - 1, 0), False) - np.maximum(h - 1, 0), 0)
+        first = np.where(h > 0, self._select(np.maximum(h - 1, 0), False) + 1 - h, 0)
         last = self._select(h, False) - h
         low = x[ask] & np.uint64((1 << self.bits) - 1)
-        at, open_ = first.copy(), np.flatnonzero(first < last)
+        lo, hi = first, last.copy()
+        open_ = np.flatnonzero(lo < hi)
         while len(open_):
-            below = self._low(at[open_]) < low[open_]
-            open_ = open_[below]
-            at[open_] += 1
-            open_ = open_[at[open_] < last[open_]]
-        out[ask] = at
-        return out
+            middle = (lo[open_] + hi[open_]) >> 1
+            below = self._low(middle) < low[open_]
+            lo[open_] = np.where(below, middle + 1, lo[open_])
+            hi[open_] = np.where(below, hi[open_], middle)
+            open_ = open_[lo[open_] < hi[open_]]
+        there = np.flatnonzero(lo < last)
+        equal[ask[there]] = self._low(lo[there]) == low[there]
+        out[ask] = lo
+        return out, equal
 
 
 class Quantiser:
@@ -142,16 +149,13 @@ class NgramTrie:
         out = np.full(len(words), np.nan)
         if not self.words.n or not len(words):
             return out
-        at = self.contexts.successor(contexts)
-        known = at < self.contexts.n
-        known[known] = self.contexts.get(at[known]) == contexts[known]
+        at, known = self.contexts.successor(contexts)
         at = np.where(known, at, 0)
         start, stop = self.pointers.get(at).astype(np.int64), self.pointers.get(at + 1).astype(np.int64)
         base = np.where(start > 0, self.words.get(np.maximum(start - 1, 0)) + ONE, np.uint64(0))
         ask = np.flatnonzero(np.repeat(known, counts))
         target = np.repeat(base, counts)[ask] + words[ask]
-        place = self.words.successor(target)
-        inside = np.flatnonzero(place < np.repeat(stop, counts)[ask])
-        hit = inside[self.words.get(place[inside]) == target[inside]]
+        place, equal = self.words.successor(target)
+        hit = np.flatnonzero(equal & (place < np.repeat(stop, counts)[ask]))
         out[ask[hit]] = self.quantiser.means[self.codes[place[hit]]]
         return out
