@@ -28,16 +28,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from strideflow.llm.common import filled, steps
+from strideflow.llm.common import filled, release, steps
 
 # Rolling hash: a cut after a character where the hash of the last WINDOW characters ends in CUT_BITS zeros.
 WINDOW, CUT_BITS = 16, 9
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
-# Entries kept between batches in one task: about 40 and 100 MB.
-CHUNKS_KEPT, WORDS_KEPT = 50_000, 400_000
+# Entries kept between batches in one task: about 30 and 40 MB.
+CHUNKS_KEPT, WORDS_KEPT = 20_000, 200_000
 # Texts encoded together.
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 5_000_000
 GAPS = re.compile(r"[ \t\r\n]")
 # Characters below U+0300 never compose with each other.
 NOT_PLAIN = r"[^\x00-\x{2ff}]|<\|"
@@ -198,6 +198,8 @@ def encode_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
                      pa.array(ids_digests, pa.string()), pa.array(text_digests, pa.string())],
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
+        del encoder
+        release()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {kind}, {OUT}")

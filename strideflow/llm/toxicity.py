@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strideflow.llm.common import filled, held_out, matching, steps
+from strideflow.llm.common import filled, held_out, matching, release, steps
 
 # The bounded sample: so many documents of each label, of at most so many characters, by the smallest hash of their id.
 SAMPLE_DOCS, SAMPLE_CHARS = 2_000, 10_000
@@ -42,8 +42,10 @@ DECAY, SPAN, WINDOW, GAMMA = 0.8, 6, 8, 4.0
 STEMS = (5, 6)
 PENALTY, EPOCHS, ROUNDS = 1e-4, 30, 3
 THRESHOLD = 0.3
-# Words kept with their kernels between batches: about 40 MB in a task.
-CACHE_WORDS = 150_000
+# Words kept with their kernels between batches: about 20 MB in a task.
+CACHE_WORDS = 50_000
+# Words compared at a time, and texts scored at a time.
+WORDS_AT_ONCE, SCORE_BYTES = 10_000, 2_000_000
 
 MARK, BEGIN, END = "\x01", "^", "$"
 ALONE = r"(?:^|\s)\S(?:\x20\S){2,}(?:\s|$)"
@@ -142,14 +144,19 @@ def windows(word: str) -> list[str]:
 
 def kernels(words: list[str], landmarks: Landmarks) -> np.ndarray:
     """The sharpened kernel of each word's best window with each landmark."""
+    out = np.zeros((len(words), len(landmarks.strings)), np.float32)
+    for a in range(0, len(words), WORDS_AT_ONCE):
+        out[a:a + WORDS_AT_ONCE] = _kernels(words[a:a + WORDS_AT_ONCE], landmarks)
+    return out
+
+
+def _kernels(words: list[str], landmarks: Landmarks) -> np.ndarray:
     parts: list[str] = []
     counts = np.zeros(len(words), np.int64)
     for i, w in enumerate(words):
         own = windows(w)
         parts += own
         counts[i] = len(own)
-    if not parts:
-        return np.zeros((0, len(landmarks.strings)), np.float32)
     return sharpened(np.maximum.reduceat(landmarks.similarity(parts), np.cumsum(counts) - counts, axis=0))
 
 
@@ -425,9 +432,12 @@ def score_column(docs: DataFrame, model: Model | None, text: str = "text") -> Co
             texts = filled(texts)
             out = np.zeros(len(texts))
             if model is not None:
-                for a, b in steps(texts):
+                for a, b in steps(texts, SCORE_BYTES):
                     out[a:b] = model.scores(texts.slice(a, b - a))
             yield pa.array(out)
+        if model is not None:
+            model.cache.clear()  # the worker lives on and may serve other stages
+        release()
 
     return scored(text)
 
