@@ -26,7 +26,7 @@ from strideflow.llm.common import filled, held_out, steps
 UNKNOWN = "und"
 DIMENSIONS = 1 << 14
 ORDERS = 3
-# The bounded sample: so many documents of at most so many characters, by the smallest hash of their id and text.
+# The bounded sample: about so many documents of at most so many characters, by a hash of their id and text.
 SAMPLE_DOCS, SAMPLE_CHARS = 6_000, 8_000
 CALIBRATION = 5  # every fifth document of the sample
 ROWS = 64
@@ -163,10 +163,10 @@ def train(docs: DataFrame) -> Model | None:
         df[row["feature"]] = row["n"]
     if not df[-1]:
         return None
-    sample = (
-        rows.where(F.length("text") <= SAMPLE_CHARS).select("text", "lang", F.xxhash64("doc_id", "text").alias("h"))
-        .orderBy("h").limit(SAMPLE_DOCS).toPandas()
-    )
+    # A share of all rows by their hash, about SAMPLE_DOCS; the limit is far beyond it. No task hands over more than its part.
+    share = min(1.0, SAMPLE_DOCS / df[-1])
+    chosen = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
+    sample = rows.where(F.length("text") <= SAMPLE_CHARS).where(chosen).select("text", "lang").limit(2 * SAMPLE_DOCS).toPandas()
     if not len(sample):  # only very long texts
         sample = rows.select("text", "lang").orderBy(F.length("text")).limit(ROWS).toPandas()
     idf = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1).astype(np.float32)
