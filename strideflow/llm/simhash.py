@@ -213,14 +213,19 @@ def near_links(distinct: DataFrame, radius: int, shard: int = SHARD) -> DataFram
     return dealt.groupBy("t", "key", "i", "j").applyInPandas(_links_of_group(radius), "hi long, lo long")
 
 
-def components(fps: DataFrame, radius: int = 4) -> DataFrame:
-    """``fp`` and ``component_id``, the smallest doc_id among all rows of ``fps`` (doc_id, fp) it is connected with."""
+def labelled(fps: DataFrame, radius: int = 4) -> DataFrame:
+    """``fp``, ``first_id`` (its smallest doc_id) and ``component`` (a fingerprint) for each fingerprint of ``fps`` (doc_id, fp)."""
     distinct = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fingerprints")
     joined = connected_components(near_links(distinct.select("fp"), radius), [])
     if joined is None:
-        return distinct.select("fp", F.col("first_id").alias("component_id"))
+        return distinct.withColumn("component", F.col("fp"))
     named = distinct.join(joined.withColumnRenamed("node", "fp"), "fp", "left")
-    named = named.withColumn("component", F.coalesce("component", "fp"))
+    return named.withColumn("component", F.coalesce("component", "fp"))
+
+
+def components(fps: DataFrame, radius: int = 4) -> DataFrame:
+    """``fp`` and ``component_id``, the smallest doc_id among all rows of ``fps`` (doc_id, fp) it is connected with."""
+    named = labelled(fps, radius)
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     return named.join(least, "component").select("fp", "component_id")
 
@@ -236,12 +241,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
 def one_of_each(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
     """``docs`` with one document of each component, the one with the smallest id; all columns stay.
 
-    A repeated id stays once. Of rows without an id, in a component where none has one, one per fingerprint stays.
+    A component stays once, so an id stays once for each component its texts are in. Rows without an id come last and
+    are kept where no row of the component has one. Of rows with the same id (or none) the smallest fingerprint stays,
+    of those the smallest hash of the text. Copies are reduced by fingerprint before texts move.
     """
     columns = docs.columns
     marked = with_fingerprint(docs, shingle, "near_fp")
     fps = stage(marked.select("doc_id", F.col("near_fp").alias("fp")), "document-fingerprints")
-    first = fps.join(components(fps, radius), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    first = first.select(F.col("doc_id").alias("near_id"), F.col("fp").alias("near_first")).distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["near_id"]))
-    return kept.dropDuplicates(["near_id", "near_first"]).select(*columns)
+    rank = F.struct(F.col("first_id").isNull(), "first_id", "fp")
+    first = labelled(fps, radius).groupBy("component").agg(F.min(rank).alias("least")).select(F.col("least.fp").alias("near_fp"))
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"))
+    best = marked.groupBy("near_fp").agg(F.min_by(F.struct(*columns), rank).alias("row"))
+    return best.join(first, "near_fp", "left_semi").select("row.*")
