@@ -56,8 +56,9 @@ AT, DOT = "at|arroba|chez", "dot|punkt|punto|point"
 WORD_DIGITS = "|".join(sorted(SPELLED, key=len, reverse=True))
 ONE = {ord(a): b for a, b in LOOKALIKES.items()} | {c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
 SINGLE = "".join(map(chr, ONE)) + INVISIBLE
+# Look-alikes are told by case: without it a dotless i would stand for every i.
 RULES = re.compile(
-    rf"(?P<single>[{SINGLE}])"
+    rf"(?P<single>(?-i:[{SINGLE}]))"
     rf"|(?P<at>\s{{0,3}}[\[({{<]\s{{0,3}}(?:{AT}|@)\s{{0,3}}[\])}}>]\s{{0,3}})"
     rf"|(?P<dot>\s{{0,3}}[\[({{<]\s{{0,3}}(?:{DOT}|\.)\s{{0,3}}[\])}}>]\s{{0,3}})"
     rf"|(?P<bare_at>(?<=[A-Za-z0-9])[\x20]{{1,3}}(?:{AT})[\x20]{{1,3}}(?=[A-Za-z0-9-]{{1,63}}(?:[\x20]{{1,3}}(?:{DOT})[\x20]{{1,3}}|\s?[\[({{<]\s?(?:{DOT})|\.)[A-Za-z0-9-]))"
@@ -67,11 +68,19 @@ RULES = re.compile(
 )
 SPELLED_PART = re.compile(rf"plus|{WORD_DIGITS}", re.IGNORECASE)
 
-# Linear scans that say whether a rule can apply at all.
+# White space, letters and words as RULES takes them: the scans fold no dotted capital I and know ASCII white space only.
+SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+ALNUM = r"[a-z0-9\x{130}]"
+HOST = r"[a-z0-9\x{130}-]"
+SCAN_DOT, SCAN_DIGITS = (words.replace("i", r"[i\x{130}]") for words in (DOT, WORD_DIGITS))
+
+# Linear scans that say whether a rule can apply at all: each branch of RULES without its look-behinds.
 ANY_DISGUISE = (
-    rf"[{SINGLE}]|(?i:[\[({{<]\s{{0,3}}(?:{AT}|{DOT}|@|\.)\s{{0,3}}[\])}}>])"
-    rf"|(?i:[a-z0-9]\x20{{1,3}}(?:{DOT})\x20{{1,3}}[a-z0-9])"
-    rf"|(?i:(?:(?:{WORD_DIGITS})[\x20-]){{3}}(?:{WORD_DIGITS}))"
+    rf"[{SINGLE}]|(?i:[\[({{<]{SPACE}{{0,3}}(?:{AT}|{SCAN_DOT}|@|\.){SPACE}{{0,3}}[\])}}>])"
+    rf"|(?i:{ALNUM}\x20{{1,3}}(?:{AT})\x20{{1,3}}{HOST}+"
+    rf"(?:\x20{{1,3}}(?:{SCAN_DOT})\x20{{1,3}}|{SPACE}?[\[({{<]{SPACE}?(?:{SCAN_DOT})|\.){HOST})"
+    rf"|(?i:{ALNUM}\x20{{1,3}}(?:{SCAN_DOT})\x20{{1,3}}{ALNUM})"
+    rf"|(?i:(?:(?:{SCAN_DIGITS})[\x20-]){{3}}(?:{SCAN_DIGITS}))"
 )
 
 
