@@ -1,10 +1,11 @@
 """Secret scans: character Markov models of random strings and of ordinary identifiers, compared by likelihood.
 
-Three patterns give the base spans. Every other identifier-like token is scored with two first-order
-Markov models over its characters, one of random strings and one of ordinary words and identifiers; the
-log-likelihood ratio decides. The labelled samples come from the corpus itself: what the base patterns
-match are random strings; ordinary is everything else but the tokens in question, which would vouch for themselves. Both models are counted over all texts; that of random strings is
-mixed half and half with a uniform one, as the samples may all be of one kind.
+Three patterns give the base spans. Every other identifier-like token, of any length and any characters, is scored
+with two first-order Markov models over its characters, one of random strings and one of ordinary words and
+identifiers; the log-likelihood ratio alone decides, in all and a character. The labelled samples come from the corpus
+itself: what the base patterns match are random strings; ordinary is everything else but long tokens with a digit or a
+capital, which would vouch for themselves. Both models are counted over all texts; that of random strings is mixed half
+and half with a uniform one, as the samples may all be of one kind.
 
 Defined results: a null text counts as empty; an empty text has no spans and the digest of the empty
 string; repeated rows and rows with a null id are scanned like any other; further columns are ignored.
@@ -32,17 +33,17 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "markov")
 
-# Candidates of the method: long tokens of these characters with a digit and a letter.
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-MIXED = re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])", re.DOTALL)
+# Tokens that are no samples of ordinary text: long ones with a digit or a capital. They are scored like all others.
+DOUBTFUL = re.compile(r"(?=[a-z+/_=-]*[A-Z0-9])[A-Za-z0-9+/_=-]{16,}")
 
 ANY_ASSIGN = r"(?i:passw|secret|token|api_?key)"
 ANY_BASE = rf"{ANY_ASSIGN}|AKIA|[0-9a-f]{{32}}"
-# A token of 16 characters with a digit in it.
-ANY_DIGIT_TOKEN = "|".join(rf"[A-Za-z0-9+/_=-]{{{k}}}[0-9][A-Za-z0-9+/_=-]{{{15 - k}}}" for k in range(16))
+ANY_DOUBTFUL = "|".join(rf"[A-Za-z0-9+/_=-]{{{k}}}[A-Z0-9][A-Za-z0-9+/_=-]{{{15 - k}}}" for k in range(16))
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-."
 SIZE = len(ALPHABET)
+# All characters but the full stop make tokens.
+IN_TOKEN = SIZE - 1
 CODE = np.full(256, SIZE, np.uint8)
 CODE[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(SIZE)
 PAIRS = SIZE * SIZE
@@ -80,8 +81,8 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             part = texts.slice(a, b - a)
             for i in matching(part, ANY_BASE):
                 random += transitions("\n".join(samples(part[i].as_py())).encode())
-            for i in matching(part, ANY_DIGIT_TOKEN):
-                other += transitions("\n".join(m[0] for m in TOKEN.finditer(part[i].as_py()) if MIXED.match(m[0])).encode())
+            for i in matching(part, ANY_DOUBTFUL):
+                other += transitions("\n".join(DOUBTFUL.findall(part[i].as_py())).encode())
             whole += transitions("\n".join(part.to_pylist()).encode())
     used = np.flatnonzero(whole + random)
     yield pa.RecordBatch.from_arrays(
@@ -109,14 +110,27 @@ def train(docs: DataFrame) -> np.ndarray:
 
 def method_spans(text: str, ratio: np.ndarray, least: float, least_mean: float) -> list[tuple[int, int, int]]:
     """Tokens that the random model explains better, by ``least`` in all and ``least_mean`` a character."""
-    found = []
-    for m in TOKEN.finditer(text):
-        token = m[0]
-        if MIXED.match(token):
-            code = CODE[np.frombuffer(token.encode(), np.uint8)].astype(np.int32)
-            score = float(ratio[code[:-1] * SIZE + code[1:]].sum())
-            if score >= least and score >= least_mean * (len(token) - 1):
-                found.append((m.start(), 3, m.end()))
+    data = text.encode()
+    code = CODE[np.frombuffer(data, np.uint8)]
+    edges = np.flatnonzero(np.diff(code < IN_TOKEN, prepend=False, append=False))
+    starts, ends = edges[::2], edges[1::2]
+    # A token of one character has no transition.
+    longer = ends - starts > 1
+    starts, ends = starts[longer], ends[longer]
+    if not len(starts):
+        return []
+    scores = np.zeros(len(code))
+    pairs = code[:-1].astype(np.int32) * SIZE + code[1:]
+    # Transitions are summed from the first character of a token up to its last; what lies between tokens is left out.
+    pairs[pairs >= PAIRS] = 0
+    np.take(ratio, pairs, out=scores[:-1])
+    sums = np.add.reduceat(scores, np.column_stack((starts, ends - 1)).reshape(-1))[::2]
+    hits = np.flatnonzero((sums >= least) & (sums >= least_mean * (ends - starts - 1)))
+    found, at, chars = [], 0, 0
+    for a, b in zip(starts[hits].tolist(), ends[hits].tolist()):
+        chars += len(data[at:a].decode())
+        found.append((chars, 3, chars + b - a))
+        chars, at = chars + b - a, b
     return found
 
 
@@ -124,9 +138,9 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def scan_text(text: str, ratio: np.ndarray, least: float, least_mean: float) -> tuple[list, list]:
+def scan_text(text: str, ratio: np.ndarray, least: float, least_mean: float, may_base: bool = True) -> tuple[list, list]:
     """Base spans, and all spans; a token that overlaps a base span adds nothing."""
-    base = base_spans(text)
+    base = base_spans(text) if may_base else []
     more = method_spans(text, ratio, least, least_mean)
     if base and more:
         more = [x for x in more if not any(x[0] < e and s < x[2] for s, _, e in base)]
@@ -147,8 +161,11 @@ def scan_secrets(docs: DataFrame, least: float = 12.0, least_mean: float = 0.6)
             digests, spans = [nothing] * n, [""] * n
             for a, b in steps(texts):
                 part = texts.slice(a, b - a)
-                for i in sorted({*matching(part, ANY_BASE), *matching(part, ANY_DIGIT_TOKEN)}):
-                    base, every = scan_text(part[i].as_py(), ratio, least, least_mean)
+                may_base = set(matching(part, ANY_BASE))
+                for i, text in enumerate(part.to_pylist()):
+                    base, every = scan_text(text, ratio, least, least_mean, i in may_base)
+                    if not every:
+                        continue
                     for _, k, _ in every:
                         counts[k, a + i] += 1
                     digests[a + i] = hashlib.sha256(joined(base).encode()).hexdigest()
