@@ -10,6 +10,7 @@ from strideflow.llm import lm
 from strideflow.llm.bpe import encode_digests
 from strideflow.llm.common import read_table
 from strideflow.llm.decontaminate import contaminated
+from strideflow.llm.divergence import audit
 from strideflow.llm.langid import identify
 from strideflow.llm.pii import find_pii
 from strideflow.llm.quality import judge
@@ -77,7 +78,50 @@ def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(read_table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(read_table(spark, sf_dir, "documents"))
+
+
 ORACLE: dict[str, str] = {
+    "op11_source_divergence": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+            FROM documents
+        ), t AS (
+            SELECT doc, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+        ), kept AS (
+            SELECT lang, term, count(*)::HUGEINT AS n_term FROM t GROUP BY lang, term HAVING count(DISTINCT doc) >= 10
+        ), langs AS (
+            SELECT lang, count(*) AS v, sum(n_term) AS n_lang FROM kept GROUP BY lang
+        ), counts AS (
+            SELECT lang, source, term, count(*)::HUGEINT AS n FROM t JOIN kept USING (lang, term) GROUP BY lang, source, term
+        ), groups AS (
+            SELECT DISTINCT lang, source FROM d
+        ), totals AS (
+            SELECT lang, source, coalesce(sum(n), 0) AS n_group FROM groups LEFT JOIN counts USING (lang, source) GROUP BY lang, source
+        ), cells AS (
+            SELECT lang, source, term, coalesce(n, 0) AS n,
+                   1 + (1000000000::HUGEINT * (coalesce(n, 0) + 2)) // (n_group + 2 * v) AS p,
+                   1 + (1000000000::HUGEINT * (n_term + 2)) // (n_lang + 2 * v) AS q
+            FROM totals JOIN kept USING (lang) JOIN langs USING (lang) LEFT JOIN counts USING (lang, source, term)
+        ), pair_sums AS (
+            SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+            FROM cells a JOIN cells b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+            GROUP BY a.lang, a.source, b.source
+        ), every_value AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+            FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN pair_sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+            UNION ALL
+            SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM cells WHERE n > 0 AND p > q
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM every_value
+        )
+        SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank
+        FROM ranked WHERE part = 'pair' OR rank <= 10
+    """,
     "op6_warc": """
         WITH p AS (
             SELECT page_id, coalesce(html, '') AS html FROM pages
