@@ -17,6 +17,7 @@ from strideflow.llm.quality import judge
 from strideflow.llm.secrets import scan_secrets
 from strideflow.llm.simhash import near_duplicates
 from strideflow.llm.toxicity import score
+from strideflow.llm.variants import group_variants
 from strideflow.llm.warc import archive_round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,6 +84,11 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(read_table(spark, sf_dir, "documents"))
 
 
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_variants(read_table(spark, sf_dir, "documents"))
+
+
 ORACLE: dict[str, str] = {
     "op11_source_divergence": r"""
         WITH d AS (
