@@ -11,6 +11,7 @@ from strideflow.llm.bpe import encode_digests
 from strideflow.llm.common import read_table
 from strideflow.llm.decontaminate import contaminated
 from strideflow.llm.divergence import audit
+from strideflow.llm.htmltext import extract
 from strideflow.llm.langid import identify
 from strideflow.llm.pii import find_pii
 from strideflow.llm.quality import judge
@@ -84,6 +85,11 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(read_table(spark, sf_dir, "documents"))
 
 
+@query
+def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(read_table(spark, sf_dir, "pages"))
+
+
 @query
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_variants(read_table(spark, sf_dir, "documents"))
@@ -141,4 +147,22 @@ ORACLE: dict[str, str] = {
                CASE WHEN page_id <> first_id THEN first_id END AS refers_to
         FROM d LEFT JOIN f USING (payload_digest)
     """,
+    # For pages that mark their article and hold no other element in it but headings, paragraphs, breaks and bold text.
+    "op12_html_text": r"""
+        WITH a AS (
+            SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS inner_html FROM pages
+        ), lines AS (
+            SELECT page_id, url, string_split(
+                regexp_replace(regexp_replace(regexp_replace(inner_html, '\s+', ' ', 'g'), '</?(p|h1)>|<br><br>', chr(10), 'g'), '<br>', ' ', 'g'), chr(10)
+            ) AS parts
+            FROM a
+        ), decoded AS (
+            SELECT page_id, url, list_transform(parts, lambda x: trim(regexp_replace(regexp_replace(replace(replace(replace(
+                regexp_replace(x, '</?b>', '', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS parts
+            FROM lines
+        ), texts AS (
+            SELECT page_id, url, coalesce(list_aggregate(list_filter(parts, lambda x: x <> ''), 'string_agg', chr(10)), '') AS text FROM decoded
+        )
+        SELECT page_id, url, text, length(text) AS n_chars FROM texts
+    """,
 }
