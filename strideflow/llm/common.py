@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import pickle
 from collections.abc import Iterator
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import cloudpickle
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,9 +57,23 @@ def steps(texts: pa.Array, most: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
 
 
 def release() -> None:
-    """Hand unused memory back: a Python worker lives on after its task."""
+    """Hand unused memory back: a Python worker lives on after its task, beside those of later stages."""
     gc.collect()
     pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
+def share(spark: SparkSession, value: Any) -> Broadcast:
+    """Broadcast an object of a class of this package: with its code, as executors may lack the package."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def shared(broadcast: Broadcast) -> Any:
+    """The object that ``share`` handed out."""
+    return pickle.loads(broadcast.value)
 
 
 def matching(texts: pa.Array, pattern: str) -> list[int]:

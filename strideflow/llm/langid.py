@@ -7,7 +7,8 @@ most weights at zero), and a temperature fitted on a held-back part of that samp
 
 Defined results: a null text and a text without a letter get ``und`` and score 0; so does every text if nothing can be
 learnt (no document with a language). Rows without an id are learnt from and predicted. Ties between
-languages go to the first in alphabetical order. Repeated rows are predicted alike; further columns are ignored.
+languages go to the first in alphabetical order. Repeated rows are predicted alike, and learnt from as often as they occur; texts of
+any length are counted and predicted whole; further columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,14 +21,19 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from strideflow.llm.common import filled, held_out, steps
+from strideflow.llm.common import filled, held_out, release, share, shared, steps
 
 UNKNOWN = "und"
 DIMENSIONS = 1 << 14
 ORDERS = 3
-# The bounded sample: about so many documents of at most so many characters, by a hash of their id and text.
-SAMPLE_DOCS, SAMPLE_CHARS = 6_000, 8_000
+# The bounded sample: about so many documents of all languages, and about LANGUAGE_DOCS of each language at least (or all it has), by a
+# hash of id and text. Of languages beyond MOST_LANGUAGES the most frequent are learnt. Texts of at most SAMPLE_CHARS
+# characters come first; of a language that has too few of them the shortest longer ones are learnt too.
+SAMPLE_DOCS, SAMPLE_CHARS, LANGUAGE_DOCS, MOST_LANGUAGES = 6_000, 8_000, 100, 300
+# Longer texts that fill up: so many of a language, and so many characters of all together.
+LONG_DOCS, LONG_TEXT = 16, 20_000_000
 CALIBRATION = 5  # every fifth document of the sample
 ROWS = 64
 # Per-coordinate step, and the elastic net.
@@ -163,23 +169,54 @@ def train(docs: DataFrame) -> Model | None:
         df[row["feature"]] = row["n"]
     if not df[-1]:
         return None
-    # A share of all rows by their hash, about SAMPLE_DOCS; the limit is far beyond it. No task hands over more than its part.
-    share = min(1.0, SAMPLE_DOCS / df[-1])
-    chosen = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
-    sample = rows.where(F.length("text") <= SAMPLE_CHARS).where(chosen).select("text", "lang").limit(2 * SAMPLE_DOCS).toPandas()
-    if not len(sample):  # only very long texts
-        sample = rows.select("text", "lang").orderBy(F.length("text")).limit(ROWS).toPandas()
     idf = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1).astype(np.float32)
-    return fit(normal(pa.array(sample["text"].tolist(), pa.string())).to_pylist(), sample["lang"].tolist(), idf)
+    sample = _sample(rows, df[-1])
+    return fit(normal(pa.array([t for t, _ in sample], pa.string())).to_pylist(), [x for _, x in sample], idf)
+
+
+def _sample(rows: DataFrame, n: float) -> list[tuple[str, str]]:
+    """Texts and languages of the bounded sample, in an order that depends on the rows alone."""
+    short = F.length("text") <= SAMPLE_CHARS
+    by_language = (
+        rows.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(short).alias("short"))
+        .orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    )
+    # Of each language a share of its rows by their hash; no task hands over more than its part.
+    h = F.xxhash64("doc_id", "text")
+    parts, long = [], []
+    for r in by_language:
+        want = max(SAMPLE_DOCS * r["n"] / n, min(LANGUAGE_DOCS, r["n"]))
+        share_ = min(1.0, want / max(1, r["short"]))
+        if share_ == 1 and r["n"] > r["short"] and r["short"] < LANGUAGE_DOCS:
+            long.append((r["lang"], min(LONG_DOCS, LANGUAGE_DOCS - r["short"])))
+        parts.append((r["lang"], int(share_ * (1 << 30))))
+    spark = rows.sparkSession
+    limits = F.broadcast(spark.createDataFrame(parts, "lang string, below long"))  # at most MOST_LANGUAGES rows
+    chosen = rows.where(short).join(limits, "lang").where(F.pmod(h, F.lit(1 << 30)) < F.col("below"))
+    most = 2 * SAMPLE_DOCS + 2 * LANGUAGE_DOCS * len(parts)  # far beyond what the shares give
+    sample = chosen.select(h.alias("h"), "text", "lang").limit(most).collect()
+    if long:
+        few = F.broadcast(spark.createDataFrame(long, "lang string, wanted int"))  # at most MOST_LANGUAGES rows
+        sizes = rows.where(~short).join(few, "lang").select("lang", "wanted", F.length("text").alias("size"), h.alias("h"))
+        rank = F.row_number().over(Window.partitionBy("lang").orderBy("size", "h"))
+        nearest = sizes.withColumn("rank", rank).where((F.col("rank") <= LONG_DOCS) & (F.col("rank") <= F.col("wanted")))
+        held, wanted = 0, []
+        for r in sorted(nearest.collect(), key=lambda r: (r["rank"], r["size"], r["lang"])):  # the shortest of each language first
+            if held == 0 or held + r["size"] <= LONG_TEXT:
+                held += r["size"]
+                wanted.append((r["lang"], r["h"]))
+        picked = F.broadcast(spark.createDataFrame(wanted, "lang string, h long"))  # at most LONG_DOCS per language
+        sample += rows.where(~short).withColumn("h", h).join(picked, ["lang", "h"]).select("h", "text", "lang").limit(len(wanted)).collect()
+    return [(r["text"], r["lang"]) for r in sorted(sample, key=lambda r: (r["h"], r["lang"], r["text"]))]
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred and score of each row of ``docs`` (doc_id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # DIMENSIONS x languages
+    sent = share(docs.sparkSession, model)  # DIMENSIONS x languages
 
     @F.arrow_udf("lang_pred string, score double")
     def predicted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model = shared.value
+        model = shared(sent)
         for texts in batches:
             texts = filled(texts)
             names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
@@ -191,6 +228,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                         if text.strip():
                             names[start + i], scores[start + i] = model.languages[best[i]], p[i, best[i]]
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores)], ["lang_pred", "score"])
+        release()
 
     return docs.select("doc_id", predicted("text").alias("p")).select("doc_id", "p.lang_pred", "p.score")
 

@@ -12,11 +12,12 @@ Landmarks are word beginnings whose presence speaks for the label, greedily chos
 ordinary words. Labels are per document, so in a toxic document the sentences with a telling string are the positive
 examples; their telling words are also learnt with characters inserted and left out. The negative examples are sentences of
 other documents, among them those that the machine takes for the worst.
-Everything is fitted on a bounded sample of labelled documents (``SAMPLE_DOCS``); every text is scored whole.
+Everything is fitted on a bounded sample of those labelled documents that are in the table (``SAMPLE_DOCS``); every text is scored whole.
 
 Defined results: null and empty texts have no sentence and get the score of a sentence without words; without both kinds
 of label all scores are 0; rows without an id are scored and never learnt from; a document labelled twice is toxic if
-one label says so; repeated rows are scored alike; further columns are ignored by the scores and kept by the filter.
+one label says so, and of several texts with its id the shortest is learnt; repeated rows and equal texts are scored alike; a text of any
+length is one step of its own, scored whole; further columns are ignored by the scores and kept by the filter.
 """
 
 from __future__ import annotations
@@ -32,18 +33,20 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strideflow.llm.common import filled, held_out, matching, release, steps
+from strideflow.llm.common import filled, held_out, matching, release, share, shared, steps
+from strideflow.session import stage
 
-# The bounded sample: so many documents of each label, of at most so many characters, by the smallest hash of their id.
-SAMPLE_DOCS, SAMPLE_CHARS = 2_000, 10_000
+# The bounded sample: so many documents of each label, by the smallest hash of their id. Texts of at most SAMPLE_CHARS come
+# first, then the shortest longer ones, whole, as long as a label's texts have SAMPLE_TEXT characters together (or one text).
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_TEXT = 2_000, 10_000, 30_000_000
 LANDMARKS, ORDINARY, COVER, ALIKE = 40, 8, 3, 0.6
 # Subsequences of three symbols within SPAN characters of a window of WINDOW characters.
 DECAY, SPAN, WINDOW, GAMMA = 0.8, 6, 8, 4.0
 STEMS = (5, 6)
 PENALTY, EPOCHS, ROUNDS = 1e-4, 30, 3
 THRESHOLD = 0.3
-# Words kept with their kernels between batches: about 20 MB in a task.
-CACHE_WORDS = 50_000
+# Windows kept with their similarities between batches: about 25 MB in a task.
+KNOWN_WINDOWS = 150_000
 # Words compared at a time, and texts scored at a time.
 WORDS_AT_ONCE, SCORE_BYTES = 10_000, 2_000_000
 
@@ -109,9 +112,13 @@ class Landmarks:
 
     def similarity(self, strings: list[str]) -> np.ndarray:
         """The normalised subsequence kernel of each string with each landmark."""
-        out = np.zeros((len(strings), len(self.strings)), np.float32)
-        for a in range(0, len(strings), 8192):
-            keys = subsequences(symbols(strings[a:a + 8192]))
+        return self.compare(symbols(strings))
+
+    def compare(self, x: np.ndarray) -> np.ndarray:
+        """The same for strings given by their symbols."""
+        out = np.zeros((len(x), len(self.strings)), np.float32)
+        for a in range(0, len(x), 8192):
+            keys = subsequences(x[a:a + 8192])
             own = norms(keys)
             at = np.where(keys >= 0, self.row_of[keys >> 2], 0)
             rows, cols = np.nonzero(at)
@@ -142,22 +149,70 @@ def windows(word: str) -> list[str]:
     return whole + [marked[:n] for n in STEMS if n < len(marked) - 1]
 
 
-def kernels(words: list[str], landmarks: Landmarks) -> np.ndarray:
+def window_symbols(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of all ``windows`` of each word, one after the other, and how many each word has."""
+    plain = pc.replace_substring_regex(pa.array(words, pa.string()), r"[^\pL\pN]", "").to_pylist()
+    flat = np.frombuffer("".join([f"{BEGIN}{w}{END}" for w in plain] + ["\0" * WINDOW]).encode("utf-32-le"), np.uint32)
+    flat = np.where(flat < 128, ASCII[np.minimum(flat, 127)], 39 + flat % 25).astype(np.int32)
+    size = np.fromiter(map(len, plain), np.int64, len(plain)) + 2
+    start = np.cumsum(size) - size
+    # the windows at 0, 2, 4 ... and the last one, then the short beginnings
+    last = np.maximum(size - WINDOW, 0)
+    sliding = (last + 1) // 2 + 1
+    stems = [(n < size - 1).astype(np.int64) for n in STEMS]
+    count = sliding + sum(stems)
+    word = np.repeat(np.arange(len(size)), count)
+    place = np.arange(len(word)) - np.repeat(np.cumsum(count) - count, count)
+    stem = place - sliding[word]
+    at = np.where(stem < 0, np.minimum(2 * place, last[word]), 0)
+    # a word has the second stem only if it has the first
+    length = np.where(stem < 0, np.minimum(size[word] - at, WINDOW), np.array(STEMS)[np.maximum(stem, 0)])
+    places = np.arange(WINDOW)
+    inside = places < length[:, None]
+    return np.where(inside, flat[(start[word] + at)[:, None] + places], 0), count
+
+
+def kernels(words: list[str], landmarks: Landmarks, known: KnownWindows | None = None) -> np.ndarray:
     """The sharpened kernel of each word's best window with each landmark."""
     out = np.zeros((len(words), len(landmarks.strings)), np.float32)
     for a in range(0, len(words), WORDS_AT_ONCE):
-        out[a:a + WORDS_AT_ONCE] = _kernels(words[a:a + WORDS_AT_ONCE], landmarks)
+        x, count = window_symbols(words[a:a + WORDS_AT_ONCE])
+        best = np.maximum.reduceat(window_similarity(x, landmarks, known), np.cumsum(count) - count, axis=0)
+        out[a:a + WORDS_AT_ONCE] = sharpened(best)
     return out
 
 
-def _kernels(words: list[str], landmarks: Landmarks) -> np.ndarray:
-    parts: list[str] = []
-    counts = np.zeros(len(words), np.int64)
-    for i, w in enumerate(words):
-        own = windows(w)
-        parts += own
-        counts[i] = len(own)
-    return sharpened(np.maximum.reduceat(landmarks.similarity(parts), np.cumsum(counts) - counts, axis=0))
+@dataclass
+class KnownWindows:
+    """Similarities of windows met before, by their symbols packed into one number; a bounded number of them."""
+
+    packed: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    rows: np.ndarray | None = None
+
+
+def window_similarity(x: np.ndarray, landmarks: Landmarks, known: KnownWindows | None) -> np.ndarray:
+    """The similarity of each window with each landmark; equal windows are compared once."""
+    packed = np.zeros(len(x), np.int64)
+    for c in range(WINDOW):
+        packed = packed << 6 | x[:, c]
+    distinct, first, place = np.unique(packed, return_index=True, return_inverse=True)
+    if known is None:
+        return landmarks.compare(x[first])[place]
+    rows = np.empty((len(distinct), len(landmarks.strings)), np.float32)
+    at = np.searchsorted(known.packed, distinct)
+    met = np.zeros(len(distinct), bool)
+    there = np.flatnonzero(at < len(known.packed))
+    met[there] = known.packed[at[there]] == distinct[there]
+    if met.any():
+        rows[met] = known.rows[at[met]]
+    if not met.all():
+        rows[~met] = landmarks.compare(x[first[~met]])
+        if len(known.packed) + int((~met).sum()) <= KNOWN_WINDOWS:
+            merged = np.concatenate([known.packed, distinct[~met]])
+            order = np.argsort(merged)
+            known.rows = np.concatenate([rows[:0] if known.rows is None else known.rows, rows[~met]])[order]
+            known.packed = merged[order]
+    return rows[place]
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
@@ -204,27 +259,12 @@ class Model:
     bias: float
     slope: float
     offset: float
-    cache: dict = field(default_factory=dict)
-
-    def word_kernels(self, words: list[str]) -> np.ndarray:
-        out = np.zeros((len(words), len(self.landmarks.strings)), np.float32)
-        new = []
-        for i, w in enumerate(words):
-            row = self.cache.get(w)
-            if row is None:
-                new.append(i)
-            else:
-                out[i] = row
-        if new:
-            out[new] = kernels([words[i] for i in new], self.landmarks)
-            for i in new[:max(0, CACHE_WORDS - len(self.cache))]:
-                self.cache[words[i]] = out[i].copy()
-        return out
+    known: KnownWindows = field(default_factory=KnownWindows)
 
     def margins(self, texts: pa.Array) -> np.ndarray:
         index, words, offsets = tokens(texts)
         bounds, first = sentence_bounds(index, offsets)
-        values = pooled(index, self.word_kernels(words), bounds) @ self.mapping + self.bias
+        values = pooled(index, kernels(words, self.landmarks, self.known), bounds) @ self.mapping + self.bias
         out = np.full(len(texts), self.bias, np.float64)
         some = np.flatnonzero(np.diff(first) > 0)
         if len(some):
@@ -398,36 +438,45 @@ def fit(texts: list[str], labels: np.ndarray, share: float) -> Model | None:
     rate = target.mean()
     weight = np.where(target > 0, share / rate, (1 - share) / (1 - rate))
     model.slope, model.offset = logistic_fit(model.margins(docs.take(pa.array(check))), target, weight)
-    model.cache = {}
+    model.known = KnownWindows()
     return model
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     """Learn from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic). Only the bounded sample comes to the driver."""
-    marked = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    counts = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
+    marked = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    # Labels of documents that are there, each with the length of its text; texts are not moved for it.
+    lengths = docs.where("text IS NOT NULL").groupBy("doc_id").agg(F.min(F.length("text")).alias("length"))
+    usable = stage(marked.join(lengths, "doc_id"), "labelled")
+    counts = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
     if not counts.get(0) or not counts.get(1):
         return None
-    order = F.xxhash64("doc_id")
-    picked = marked.where("toxic = 1").orderBy(order).limit(SAMPLE_DOCS).union(
-        marked.where("toxic = 0").orderBy(order).limit(SAMPLE_DOCS)
-    )
+    # Of each label by hash; where too few texts are short, the shortest of the long ones fill up.
+    order = [F.greatest(F.col("length"), F.lit(SAMPLE_CHARS)), F.xxhash64("doc_id"), F.col("doc_id")]
+    picked = usable.where("toxic = 1").orderBy(*order).limit(SAMPLE_DOCS).union(
+        usable.where("toxic = 0").orderBy(*order).limit(SAMPLE_DOCS)
+    ).collect()  # at most 2 x SAMPLE_DOCS ids
+    wanted, held = [], {0: 0, 1: 0}
+    for row in sorted(picked, key=lambda r: r["length"]):
+        if held[row["toxic"]] == 0 or held[row["toxic"]] + row["length"] <= SAMPLE_TEXT:
+            held[row["toxic"]] += row["length"]
+            wanted.append((row["doc_id"], row["toxic"]))
+    kinds = ", ".join(f"{c} {usable.schema[c].dataType.simpleString()}" for c in ("doc_id", "toxic"))
     sample = (
-        docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS)
-        .join(F.broadcast(picked), "doc_id")  # at most 2 x SAMPLE_DOCS ids
-        .groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
-        .orderBy(order).limit(2 * SAMPLE_DOCS).toPandas()
+        docs.select("doc_id", "text").join(F.broadcast(docs.sparkSession.createDataFrame(wanted, kinds)), "doc_id")
+        .groupBy("doc_id").agg(F.min_by("text", F.struct(F.length("text"), "text")).alias("text"), F.max("toxic").alias("toxic"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * SAMPLE_DOCS).toPandas()
     )
     return fit(sample["text"].tolist(), sample["toxic"].to_numpy(np.int64), counts[1] / (counts[0] + counts[1]))
 
 
 def score_column(docs: DataFrame, model: Model | None, text: str = "text") -> Column:
     """The score of each text of ``docs``, from 0 to 1."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # two dozen strings and numbers
+    sent = share(docs.sparkSession, model)  # two dozen strings and numbers
 
     @F.arrow_udf("double")
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model = shared.value
+        model = shared(sent)
         for texts in batches:
             texts = filled(texts)
             out = np.zeros(len(texts))
@@ -435,8 +484,6 @@ def score_column(docs: DataFrame, model: Model | None, text: str = "text") -> Co
                 for a, b in steps(texts, SCORE_BYTES):
                     out[a:b] = model.scores(texts.slice(a, b - a))
             yield pa.array(out)
-        if model is not None:
-            model.cache.clear()  # the worker lives on and may serve other stages
         release()
 
     return scored(text)
