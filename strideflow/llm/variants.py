@@ -16,7 +16,9 @@ Pivotal bigrams (Deng, Li and Feng, "A Pivotal Prefix Based Filtering Algorithm
    pivot is the same in both words, or everything from the pivot to the end. Pivots are indexed by a hash of each of these two
    sides and looked up by the same sides of the prefix bigrams of other words. A bigram that stands in a word many times is
    looked up at its first five places: a pivot is one of the first three, and an edit adds at most two before it.
-5. Candidates are verified by their edit distance.
+5. A pivot near the start or end of its word leaves a short side that many words share. Words under such a key get longer ones:
+   the edit leaves one half of what the key does not hold yet as it is, so each half is added to the key once.
+6. Candidates are verified by their edit distance.
 
 The frequent form of a word is its near word of largest ``n``, if that is at least ten times its own; ``n`` grows tenfold along a
 chain of forms, so a number of pointer doublings that follows from the largest ``n`` reaches every root.
@@ -48,6 +50,8 @@ LEAST_LENGTH, LEAST_COUNT, TIMES, EVERY = 7, 2, 10, 31
 GRAM, PREFIX, PLACES = 2, 3, 5
 # Longer words are not compared by the built-in edit distance, whose time grows with the square.
 LONG_WORD = 1_000
+# Keys that would make more pairs are made longer, so many times; each time halves what the key does not hold.
+HOT_KEY, SPLITS = 1_000, 6
 # Distinct words a task holds before it hands its counts on; words keyed at a time; characters split at a time.
 WORDS_HELD, WORDS_KEYED, PIECE = 300_000, 20_000, 4_000_000
 
@@ -157,7 +161,19 @@ def _sides(word: str, i: int) -> tuple[int, int]:
     return xxhash.xxh64_intdigest(f"<{left}"), xxhash.xxh64_intdigest(f">{right}")
 
 
-KEYED = "word string, n long, last int, pivot boolean, key long"
+# A row is looked up where ``asks``, is found where ``pivot``; ``lo`` and ``hi`` characters at its start and end are part of the key.
+KEYED = "word string, n long, last int, pivot boolean, asks boolean, lo int, hi int, key long"
+
+
+def _keyed_batch(words: pa.Array, n: pa.Array, rows: list[tuple[int, int, bool, bool, int, int, int]]) -> pa.RecordBatch:
+    """``rows`` of (place of the word, last, pivot, asks, lo, hi, key)."""
+    at, last, pivot, asks, lo, hi, key = zip(*rows) if rows else ((),) * 7
+    take = pa.array(at, pa.int32())
+    return pa.RecordBatch.from_arrays(
+        [words.take(take), n.take(take), pa.array(last, pa.int32()), pa.array(pivot, pa.bool_()), pa.array(asks, pa.bool_()),
+         pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(np.array(key, np.uint64).view(np.int64))],
+        [c.split()[0] for c in KEYED.split(", ")],
+    )
 
 
 def keyed(words: DataFrame, order: dict[str, tuple[int, int]]) -> DataFrame:
@@ -168,26 +184,46 @@ def keyed(words: DataFrame, order: dict[str, tuple[int, int]]) -> DataFrame:
         known = shared.value
         for batch in batches:
             for a in range(0, batch.num_rows, WORDS_KEYED):
-                part = batch.slice(a, WORDS_KEYED)
-                at, last, pivot, key = [], [], [], []
+                part, rows = batch.slice(a, WORDS_KEYED), []
                 for k, word in enumerate(part.column("word").to_pylist()):
                     first, places, end = prefix(word, known)
                     two = pivots(word, first, known)
                     for i in places:
-                        at += [k, k]
-                        last += [end, end]
-                        pivot += [i in two] * 2
-                        key += _sides(word, i)
-                take = pa.array(at, pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("word").take(take), part.column("n").take(take), pa.array(last, pa.int32()),
-                     pa.array(pivot, pa.bool_()), pa.array(np.array(key, np.uint64).view(np.int64))],
-                    [c.split()[0] for c in KEYED.split(", ")],
-                )
+                        left, right = _sides(word, i)
+                        rows.append((k, end, i in two, True, i + GRAM, 0, left))
+                        rows.append((k, end, i in two, True, 0, len(word) - i, right))
+                yield _keyed_batch(part.column("word"), part.column("n"), rows)
 
     return words.select("word", "n").mapInArrow(keys, KEYED)
 
 
+def halved(rows: DataFrame) -> DataFrame:
+    """The same rows under longer keys: one edit leaves one half of what the key does not hold yet as it is.
+
+    The row of a pivot gets the key of each half of its rest. A row that asks does not know how long the other word's
+    rest is, so it asks for the halves of a rest that is a character shorter, as long, or one longer.
+    """
+
+    def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, WORDS_KEYED):
+                part, rows = batch.slice(a, WORDS_KEYED), []
+                columns = (part.column(c).to_pylist() for c in ("word", "last", "pivot", "asks", "lo", "hi", "key"))
+                for k, (word, last, pivot, asks, lo, hi, key) in enumerate(zip(*columns)):
+                    rest = word[lo:len(word) - hi]
+                    own = {(x, y) for x, y in [((len(rest) + 1) // 2, len(rest) // 2)] if pivot}
+                    for role, some in (("pivot", own), ("asks", {((m + 1) // 2, m // 2) for m in range(len(rest) - 1, len(rest) + 2) if asks and m >= 0})):
+                        for x in {x for x, _ in some if x <= len(rest)}:
+                            h = xxhash.xxh64_intdigest(f"{key}<{rest[:x]}")
+                            rows.append((k, last, role == "pivot", role == "asks", lo + x, hi, h))
+                        for y in {y for _, y in some if y <= len(rest)}:
+                            h = xxhash.xxh64_intdigest(f"{key}>{rest[len(rest) - y:]}")
+                            rows.append((k, last, role == "pivot", role == "asks", lo, hi + y, h))
+                yield _keyed_batch(part.column("word"), part.column("n"), rows)
+
+    return rows.mapInArrow(halves, KEYED)
+
+
 def one_edit(a: str, b: str) -> bool:
     """Whether one inserted, deleted or replaced code point tells the words apart; in about linear time."""
     if len(a) > len(b):
@@ -201,11 +237,9 @@ def one_edit(a: str, b: str) -> bool:
     return len(b) == len(a) + 1 and a[same:] == b[same + 1:]
 
 
-def near_pairs(words: DataFrame) -> DataFrame:
-    """Each pair of near words once: a, n_a, b, n_b."""
-    order = gram_order(words)
-    rows = stage(keyed(words, order), "pivots")
-    s, r = rows.where("pivot").alias("s"), rows.alias("r")
+def _meeting(rows: DataFrame) -> DataFrame:
+    """Pairs of words that share a key and may be near; long ones are not compared yet."""
+    s, r = rows.where("pivot").alias("s"), rows.where("asks").alias("r")
     # Where both prefixes end at the same bigram each has a pivot in the other; one of them is enough.
     earlier = (F.col("s.last") < F.col("r.last")) | ((F.col("s.last") == F.col("r.last")) & (F.col("s.word") < F.col("r.word")))
     long = F.length("s.word") > LONG_WORD
@@ -214,11 +248,27 @@ def near_pairs(words: DataFrame) -> DataFrame:
         & F.when(long, True).otherwise(F.levenshtein(F.col("s.word"), F.col("r.word"), 1) == 1)
     )
     ends = [F.struct(f"{x}.word", f"{x}.n") for x in "sr"]
-    pairs = stage(
-        s.join(r, close).select(F.least(*ends).alias("a"), F.greatest(*ends).alias("b"), long.alias("long")).distinct()
-        .select(F.col("a.word").alias("a"), F.col("a.n").alias("n_a"), F.col("b.word").alias("b"), F.col("b.n").alias("n_b"), "long"),
-        "near-words",
-    )
+    return s.join(r, close).select(F.least(*ends).alias("a"), F.greatest(*ends).alias("b"), long.alias("long"))
+
+
+def near_pairs(words: DataFrame, hot: int = HOT_KEY) -> DataFrame:
+    """Each pair of near words once: a, n_a, b, n_b.
+
+    Words under a key that would make more than ``hot`` pairs get longer keys, again and again.
+    """
+    rows = stage(keyed(words, gram_order(words)), "pivots")
+    found = None
+    for left in reversed(range(SPLITS + 1)):
+        pairs = F.count_if("pivot") * F.count_if("asks")
+        large = stage(rows.groupBy("key").agg(pairs.alias("pairs")).where(F.col("pairs") > hot).select("key"), "hot-keys")
+        last = left == 0 or large.isEmpty()
+        met = _meeting(rows if last else rows.join(large, "key", "left_anti"))
+        found = met if found is None else found.union(met)
+        if last:
+            break
+        rows = stage(halved(rows.join(large, "key", "left_semi").select(*rows.columns)), "halves")
+    columns = [F.col("a.word").alias("a"), F.col("a.n").alias("n_a"), F.col("b.word").alias("b"), F.col("b.n").alias("n_b"), "long"]
+    pairs = stage(found.distinct().select(*columns), "near-words")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -121,3 +121,13 @@ def test_odd_rows_and_empty_table(odd, nothing):
     out = V.group_variants(odd)
     assert {r.word for r in out.collect()} <= {"ünïcödé", "x" * 50_000}
     assert V.group_variants(nothing).count() == 0
+
+
+@pytest.mark.parametrize(("seed", "letters", "hot"), [(3, "ab", 0), (4, "abc", 5), (5, "abcdeÀéÿ×", 1)])
+def test_hot_keys_are_split_without_losing_pairs(spark, seed, letters, hot):
+    rng = random.Random(seed)
+    words = {"".join(rng.choices(letters, k=rng.randrange(7, 13))) for _ in range(300)}
+    words |= {v for w in sorted(words)[:60] for v in [variants_of(rng, w, letters)] if len(v) >= 7}
+    table = spark.createDataFrame([(w, 2 + i) for i, w in enumerate(sorted(words))], "word string, n long")
+    got = {(r.a, r.b) for r in V.near_pairs(table, hot).collect()}
+    assert got == {(a, b) for a, b in combinations(sorted(words), 2) if one_edit(a, b)} and len(got) > 50
