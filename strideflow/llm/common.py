@@ -5,7 +5,8 @@ from __future__ import annotations
 import ctypes
 import gc
 import pickle
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 from typing import Any
 
 import pyarrow as pa
@@ -76,6 +77,24 @@ def shared(broadcast: Broadcast) -> Any:
     return pickle.loads(broadcast.value)
 
 
+class Covered:
+    """Whether a span overlaps one of a list of spans ``(start, end)``; sorted and merged once, looked up by bisection."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for start, end in sorted(spans):
+            if self.ends and start < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def overlaps(self, start: int, end: int) -> bool:
+        i = bisect_right(self.ends, start)
+        return i < len(self.starts) and self.starts[i] < end
+
+
 def matching(texts: pa.Array, pattern: str) -> list[int]:
     """Indices of the texts in which the pattern is found; a linear scan outside Python."""
     return pc.indices_nonzero(pc.match_substring_regex(texts, pattern)).to_pylist()

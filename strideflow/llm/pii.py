@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideflow.llm.common import filled, matching, steps
+from strideflow.llm.common import Covered, filled, matching, steps
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -53,6 +53,8 @@ SPELLED = {
     "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
 }
 AT, DOT = "at|arroba|chez", "dot|punkt|punto|point"
+# Blanks and hyphens that are none in ASCII, between digits.
+BLANKS, HYPHENS = "\u00a0\u2007\u2009\u202f", "\u2010\u2011\u2012\u2013\u2212"
 WORD_DIGITS = "|".join(sorted(SPELLED, key=len, reverse=True))
 ONE = {ord(a): b for a, b in LOOKALIKES.items()} | {c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
 SINGLE = "".join(map(chr, ONE)) + INVISIBLE
@@ -61,12 +63,20 @@ RULES = re.compile(
     rf"(?P<single>(?-i:[{SINGLE}]))"
     rf"|(?P<at>\s{{0,3}}[\[({{<]\s{{0,3}}(?:{AT}|@)\s{{0,3}}[\])}}>]\s{{0,3}})"
     rf"|(?P<dot>\s{{0,3}}[\[({{<]\s{{0,3}}(?:{DOT}|\.)\s{{0,3}}[\])}}>]\s{{0,3}})"
+    rf"|(?P<quad>(?<![^\W_])(?:(?:{WORD_DIGITS})[\x20-]){{0,2}}(?:{WORD_DIGITS})"
+    rf"(?:\x20(?:{DOT})\x20(?:(?:{WORD_DIGITS})[\x20-]){{0,2}}(?:{WORD_DIGITS})){{3}}(?![^\W_]))"
     rf"|(?P<bare_at>(?<=[A-Za-z0-9])[\x20]{{1,3}}(?:{AT})[\x20]{{1,3}}(?=[A-Za-z0-9-]{{1,63}}(?:[\x20]{{1,3}}(?:{DOT})[\x20]{{1,3}}|\s?[\[({{<]\s?(?:{DOT})|\.)[A-Za-z0-9-]))"
     rf"|(?P<bare_dot>(?<=[A-Za-z0-9])[\x20]{{1,3}}(?:{DOT})[\x20]{{1,3}}(?=[A-Za-z0-9]))"
+    rf"|(?P<ref>&(?:#0*64|#x0*40|commat|#0*46|#x0*2e|period);)"
+    rf"|(?P<stop>(?<=[A-Za-z0-9])[\u3002\uff61](?=[A-Za-z0-9]))"
+    rf"|(?P<gap>(?<=[0-9])[{HYPHENS}{BLANKS}](?=[0-9]))"
     rf"|(?P<spelled>(?<![^\W_])(?:plus[\x20-])?(?:(?:{WORD_DIGITS})[\x20-]){{3,}}(?:{WORD_DIGITS})(?![^\W_]))",
     re.IGNORECASE,
 )
-SPELLED_PART = re.compile(rf"plus|{WORD_DIGITS}", re.IGNORECASE)
+SPELLED_PART = re.compile(rf"plus|{DOT}|{WORD_DIGITS}", re.IGNORECASE)
+DOTS = frozenset(DOT.split("|"))
+
+AT_REF = re.compile("64|40|commat", re.IGNORECASE)
 
 # White space, letters and words as RULES takes them: the scans fold no dotted capital I and know ASCII white space only.
 SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -81,6 +91,7 @@ ANY_DISGUISE = (
     rf"(?:\x20{{1,3}}(?:{SCAN_DOT})\x20{{1,3}}|{SPACE}?[\[({{<]{SPACE}?(?:{SCAN_DOT})|\.){HOST})"
     rf"|(?i:{ALNUM}\x20{{1,3}}(?:{SCAN_DOT})\x20{{1,3}}{ALNUM})"
     rf"|(?i:(?:(?:{SCAN_DIGITS})[\x20-]){{3}}(?:{SCAN_DIGITS}))"
+    rf"|(?i:&(?:#0*64|#x0*40|commat|#0*46|#x0*2e|period);)|[A-Za-z0-9][\x{{3002}}\x{{ff61}}][A-Za-z0-9]|[0-9][{HYPHENS}{BLANKS}][0-9]"
 )
 
 
@@ -155,9 +166,16 @@ def rewrite(text: str) -> tuple[str, np.ndarray, np.ndarray]:
             made("@", m.start(), m.end())
         elif m.lastgroup in ("dot", "bare_dot"):
             made(".", m.start(), m.end())
+        elif m.lastgroup == "stop":
+            made(".", m.start(), m.end())
+        elif m.lastgroup == "ref":
+            made("@" if AT_REF.search(m[0]) else ".", m.start(), m.end())
+        elif m.lastgroup == "gap":
+            made(" " if m[0] in BLANKS else "-", m.start(), m.end())
         else:
             for p in SPELLED_PART.finditer(text, m.start(), m.end()):
-                made(SPELLED.get(p[0].lower(), "+"), p.start(), p.end())
+                word = p[0].lower()
+                made("." if word in DOTS else SPELLED.get(word, "+"), p.start(), p.end())
     plain(done, len(text))
     if not out:
         return "", np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -170,10 +188,10 @@ def disguised(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, in
     twice, s2, e2 = rewrite(once)
     if twice == text:
         return []
-    found = []
+    found, covered = [], Covered((s, e) for _, s, e in base)
     for kind, a, b in detect(twice):
         start, end = int(s1[s2[a]]), int(e1[e2[b - 1] - 1])
-        if not any(start < e and s < end for _, s, e in base):
+        if not covered.overlaps(start, end):
             found.append((kind, start, end))
     return found
 

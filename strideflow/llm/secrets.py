@@ -8,7 +8,8 @@ capital, which would vouch for themselves. Both models are counted over all text
 and half with a uniform one, as the samples may all be of one kind.
 
 Defined results: a null text counts as empty; an empty text has no spans and the digest of the empty
-string; repeated rows and rows with a null id are scanned like any other; further columns are ignored.
+string; repeated rows and rows with a null id are scanned like any other; of spans that start together the kind listed first comes first;
+texts of any length are scanned whole in about linear time; digits are scored like letters, so a long number can be a span. Further columns are ignored.
 An empty table gives an empty result (the random model is then uniform).
 """
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideflow.llm.common import filled, matching, steps
+from strideflow.llm.common import Covered, filled, matching, steps
 
 # The base patterns.
 ASSIGN = re.compile(
@@ -143,7 +144,8 @@ def scan_text(text: str, ratio: np.ndarray, least: float, least_mean: float, may
     base = base_spans(text) if may_base else []
     more = method_spans(text, ratio, least, least_mean)
     if base and more:
-        more = [x for x in more if not any(x[0] < e and s < x[2] for s, _, e in base)]
+        covered = Covered((s, e) for s, _, e in base)
+        more = [x for x in more if not covered.overlaps(x[0], x[2])]
     return base, sorted(base + more)
 
 

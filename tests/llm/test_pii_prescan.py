@@ -1,5 +1,6 @@
 """The scan that selects texts for rewriting selects every text that rewriting changes."""
 
+import pyarrow as pa
 import random
 import re
 
@@ -39,3 +40,19 @@ def test_every_changed_text_is_selected(docs_of):
     changed = {i for i, t in rows if pii.rewrite(t)[0] != t}
     assert len(changed) > 1000 and changed <= selected, [rows[i][1] for i in sorted(changed - selected)][:10]
     assert pii.rewrite("ill-fitting with У")[0] == "ill-fitting with У"
+
+
+def test_further_disguises_are_mapped_back():
+    cases = {
+        "write to jane@example。com now": ("email", "jane@example。com"),
+        "write to jane&#64;example&period;com now": ("email", "jane&#64;example&period;com"),
+        "card 4111‑1111 1111–1111 ok": ("card", "4111‑1111 1111–1111"),
+        "host one two seven dot zero dot zero dot one up": ("ip", "one two seven dot zero dot zero dot one"),
+    }
+    for text, (kind, part) in cases.items():
+        hits, hidden = pii._hits(pa.array([text]))
+        assert hits == [0] and hidden == {0}, text
+        base, every = pii.find_text(text, True)
+        assert base == [] and [(pii.KINDS[k], text[s:e]) for k, s, e in every] == [(kind, part)], text
+    for text in ("1990–1995 and 12 000 Euro", "a。b", "R&amp;D 50", "one dot two"):
+        assert pii.find_text(text, True)[1] == []
