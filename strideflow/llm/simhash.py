@@ -243,13 +243,17 @@ def one_of_each(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame
 
     A component stays once, so an id stays once for each component its texts are in. Rows without an id come last and
     are kept where no row of the component has one. Of rows with the same id (or none) the smallest fingerprint stays,
-    of those the smallest hash of the text. Copies are reduced by fingerprint before texts move.
+    of those the smallest hash of the text.
     """
     columns = docs.columns
-    marked = with_fingerprint(docs, shingle, "near_fp")
-    fps = stage(marked.select("doc_id", F.col("near_fp").alias("fp")), "document-fingerprints")
+    # Written once, with the fingerprint of each text: hashing all shingles costs far more than reading a table again.
+    numbered = with_fingerprint(docs, shingle, "near_fp").withColumn("near_row", F.monotonically_increasing_id())
+    marked = stage(numbered, "marked-documents")
+    fps = marked.select("doc_id", F.col("near_fp").alias("fp"))
     rank = F.struct(F.col("first_id").isNull(), "first_id", "fp")
     first = labelled(fps, radius).groupBy("component").agg(F.min(rank).alias("least")).select(F.col("least.fp").alias("near_fp"))
-    rank = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"))
-    best = marked.groupBy("near_fp").agg(F.min_by(F.struct(*columns), rank).alias("row"))
-    return best.join(first, "near_fp", "left_semi").select("row.*")
+    # The row that stays is chosen among narrow rows, and its number, unique once written, picks it from the table.
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "near_row")
+    best = marked.groupBy("near_fp").agg(F.min_by("near_row", order).alias("near_row"))
+    chosen = stage(best.join(first, "near_fp", "left_semi").select("near_row"), "chosen-rows")
+    return marked.join(chosen, "near_row", "left_semi").select(*columns)
