@@ -34,10 +34,10 @@ from strideflow.llm.common import filled, release, steps
 WINDOW, CUT_BITS = 16, 9
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
-# Entries kept between batches in one task: about 30 and 40 MB.
-CHUNKS_KEPT, WORDS_KEPT = 20_000, 200_000
+# Entries kept between batches in one task: about 15 and 30 MB.
+CHUNKS_KEPT, WORDS_KEPT = 10_000, 150_000
 # Texts encoded together.
-BLOCK_BYTES = 5_000_000
+BLOCK_BYTES = 1_500_000
 GAPS = re.compile(r"[ \t\r\n]")
 # Characters below U+0300 never compose with each other.
 NOT_PLAIN = r"[^\x00-\x{2ff}]|<\|"
