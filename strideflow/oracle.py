@@ -276,9 +276,8 @@ def _lagging():
 
 
 def _training_set():
-    hand = LABELLED.replace("<> 'Other'", "<> 'Other' AND dominanthand")
     ctes, select = aware(REGION, f", CAST({ACTIVITY_ID} AS DOUBLE) AS label")
-    return with_(T, hand, seg(REGION, "lab"), win(), feat(REGION), *ctes) + select
+    return with_(T, LABELLED, seg(REGION, "lab"), win(), feat(REGION), *ctes) + select
 
 
 def _model_path():
@@ -320,6 +319,7 @@ BUCKET = (
     + ")), 1, 8) AS BIGINT) % 1000"
 )
 LABEL = f"CAST({ACTIVITY_ID} AS DOUBLE)"
+PERIOD_ID = "CASE " + " ".join(f"WHEN peak_z < {most} THEN {ACTIVITIES[name]}e0" for most, name in PERIODS) + " END"
 PERIOD = "CASE " + " ".join(f"WHEN peak_z < {most} THEN '{name}'" for most, name in PERIODS) + " END"
 
 
@@ -333,7 +333,7 @@ def _per_variant(select):
 
 def _predicted():
     return _per_variant(
-        f"SELECT {cols(VECTOR_ID)}, {LABEL} AS label, {LABEL} AS prediction, activity AS predicted, LOCATED AS locationaware"
+        f"SELECT {cols(VECTOR_ID)}, {PERIOD_ID} AS label, {PERIOD_ID} AS prediction, {PERIOD} AS predicted, LOCATED AS locationaware"
         f" FROM feat WHERE {BUCKET} >= 700"
     )
 
@@ -344,11 +344,14 @@ def _test_counts(columns):
     )
 
 
-def _trained(algorithms, accuracy):
+def _trained(found):
+    """A row for each hand, also for one that nobody wears; such a variant has no model."""
+    hands = "(SELECT unnest([true, false]) AS hand) LEFT JOIN feat ON dominanthand = hand"
+    value = f"CASE WHEN count(user) FILTER ({BUCKET} < 700) > 0 THEN true END AS {found}"
     parts = []
-    for name in algorithms:
-        shown = f"'{name}' AS algorithm, LOCATED AS locationaware, dominanthand, count(*) AS n_vectors, count(*) FILTER ({BUCKET} >= 700) AS n_test"
-        parts.append(_per_variant(f"SELECT {shown}{', 1e0 AS accuracy' if accuracy else ''} FROM feat GROUP BY dominanthand"))
+    for name in ("decisiontree", "randomforest"):
+        shown = f"'{name}' AS algorithm, LOCATED AS locationaware, hand AS dominanthand, count(user) AS n_vectors, count(user) FILTER ({BUCKET} >= 700) AS n_test"
+        parts.append(_per_variant(f"SELECT {shown}, {value} FROM {hands} GROUP BY hand"))
     return "\nUNION ALL\n".join(parts)
 
 
@@ -488,14 +491,15 @@ ORACLE: dict[str, str] = {
         f"avg(CASE WHEN {ACTIVITY_ID} = CASE WHEN cluster_id = -1 AND max_speed > 1 THEN 7 ELSE 0 END THEN 1e0 ELSE 0e0 END)",
         "accuracy") + " FROM feat GROUP BY user",
     "model_path": _model_path(),
-    "train_decision_tree": _test_counts("count(*) AS n_test, 1e0 AS accuracy, 'decisiontree' AS algorithm"),
-    "train_random_forest": _test_counts("count(*) AS n_test, 1e0 AS accuracy, 'randomforest' AS algorithm"),
+    "train_decision_tree": _test_counts("count(*) AS n_test, 1e0 AS accuracy"),
+    "train_random_forest": _test_counts("count(*) AS n_test, true AS learnt"),
     "train_naive_bayes": _bayes(),
     "confusion_matrix": f"SELECT label, prediction, count(*) AS n FROM ({_predicted()}) GROUP BY label, prediction",
     "predict_activity": _predicted(),
-    "load_models": _test_counts("count(*) AS n_test, count(*) AS n_same, count(*) AS n_right"),
-    "train_models": _trained(["decisiontree"], True),
-    "run_training": _trained(["decisiontree", "randomforest"], False),
+    "load_models": _test_counts("count(*) AS n_test, count(*) AS n_same, true AS learnt"),
+    "compiled_forest": _per_variant("SELECT LOCATED AS locationaware, dominanthand, count(*) AS n_rows, count(*) AS n_same FROM feat GROUP BY dominanthand"),
+    "train_models": _trained("learnt"),
+    "run_training": _trained("measured"),
     "recognise": _recognise(),
     "recognition_results": _recognised(False, _result(False)),
     "recognise_all": _results(),

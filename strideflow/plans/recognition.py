@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from strideflow.operators.clustering import recognise_regions
 from strideflow.operators.features import features_basic, features_location_aware
 from strideflow.operators.segments import windowed_traces
-from strideflow.plans.models import RANDOM_FOREST, VARIANTS, model_path, predict_activity
+from strideflow.plans.models import RANDOM_FOREST, VARIANTS, model_path, predict_activity, predict_compiled
 from strideflow.schemas import (
     LATEST_TRACES, MIN_WINDOW_RECORDS, POLL_PERIOD_MS, POI_RADIUS_M, RESULT, SEGMENT_GAP_MS, STREAM_KEYS, WINDOW_MS,
 )
@@ -57,24 +57,40 @@ def recognition_results(predictions: DataFrame, model_name: str, location_aware:
     )
 
 
-def recognise_latest(rows: DataFrame, pois: DataFrame, models: dict[tuple[bool, bool], PipelineModel],
+def recognise_latest(rows: DataFrame, pois: DataFrame, models: dict[tuple[bool, bool], PipelineModel] | DataFrame,
                      run_start: int, algorithm: str = RANDOM_FOREST, base: str = "models") -> DataFrame:
-    """Results of all four variants for traces already cut to the latest of each stream.
+    """Results of the trained variants for traces already cut to the latest of each stream.
 
-    Each kind of feature is computed once for both hands; each hand is scored by its own model.
+    Each kind of feature is computed once for both hands. ``models`` are the fitted ones, each of which scores the rows of
+    its variant, or ``compiled_trees``, which score the rows of all variants in one pass.
     """
     features = {aware: stage(recognition_features(rows, pois, aware), "features") for aware in (False, True)}
+    if isinstance(models, DataFrame):
+        return _with_compiled(features, models, run_start, algorithm, base)
     out = None
-    for aware, hand in VARIANTS:
-        scored = predict_activity(models[aware, hand], features[aware].where(F.col("dominanthand") == hand))
+    for (aware, hand), model in models.items():
+        scored = predict_activity(model, features[aware].where(F.col("dominanthand") == hand))
         part = recognition_results(scored, model_path(base, algorithm, aware, hand), aware, run_start)
         out = part if out is None else out.unionByName(part)
     return out.select(*RESULT.fieldNames(), "window_start", "window_end")
 
 
-def recognise_all(traces: DataFrame, pois: DataFrame, models: dict[tuple[bool, bool], PipelineModel],
+def _with_compiled(features: dict[bool, DataFrame], trees: DataFrame, run_start: int, algorithm: str, base: str) -> DataFrame:
+    both = features[False].withColumn("locationaware", F.lit(False)).unionByName(
+        features[True].withColumn("locationaware", F.lit(True)), allowMissingColumns=True
+    )
+    path = F.lit(None)
+    for aware, hand in VARIANTS:
+        path = F.when((F.col("locationaware") == aware) & (F.col("dominanthand") == hand), F.lit(model_path(base, algorithm, aware, hand))).otherwise(path)
+    return predict_compiled(both, trees).select(
+        "user", F.lit(run_start - POLL_PERIOD_MS).cast("bigint").alias("timestamp"), F.col("predicted").alias("activity"),
+        path.alias("model"), "dominanthand", "locationaware", "window_start", "window_end",
+    )
+
+
+def recognise_all(traces: DataFrame, pois: DataFrame, models: dict[tuple[bool, bool], PipelineModel] | DataFrame,
                   run_start: int, latest: int = LATEST_TRACES, algorithm: str = RANDOM_FOREST,
                   base: str = "models") -> DataFrame:
-    """Recognise the latest traces of all users with all four variants."""
+    """Recognise the latest traces of all users with the trained variants."""
     rows = stage(latest_traces(traces, latest), "latest")
     return recognise_latest(rows, pois, models, run_start, algorithm, base)

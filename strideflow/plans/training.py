@@ -81,24 +81,29 @@ def train_models(traces: DataFrame, pois: DataFrame | None, location_aware: bool
 
 def fit_variant(vectors: DataFrame, location_aware: bool, dominanthand: bool, base: str | None = None,
                 algorithms: Sequence[str] = (DECISION_TREE, RANDOM_FOREST), seed: int = 42) -> tuple[dict, DataFrame]:
-    """Fit and measure the classifiers of one hand on written feature rows."""
+    """Fit and measure the classifiers of one hand on written feature rows.
+
+    A variant without training rows (nobody wears that hand, say) has no model; its row in the table has no accuracy.
+    """
     vectors = vectors.where(F.col("dominanthand") == dominanthand)
     train, test = split(vectors, seed=seed)
+    n_vectors, untrained = vectors.count(), train.isEmpty()
     models, rows = {}, None
     for algorithm in algorithms:
-        model = TRAINERS[algorithm](train, location_aware)
-        if base:
-            save_model(model, model_path(base, algorithm, location_aware, dominanthand))
-        models[algorithm] = model
-        measured = accuracy(model.transform(test)).select(
-            F.lit(algorithm).alias("algorithm"), F.lit(location_aware).alias("locationaware"),
-            F.lit(dominanthand).alias("dominanthand"), "n_test", "accuracy",
+        if untrained:
+            measured = test.agg(F.count("*").alias("n_test"), F.lit(None).cast("double").alias("accuracy"))
+        else:
+            model = TRAINERS[algorithm](train, location_aware)
+            if base:
+                save_model(model, model_path(base, algorithm, location_aware, dominanthand))
+            models[algorithm] = model
+            measured = accuracy(model.transform(test))
+        measured = measured.select(
+            F.lit(location_aware).alias("locationaware"), F.lit(dominanthand).alias("dominanthand"),
+            F.lit(algorithm).alias("algorithm"), "n_test", "accuracy", F.lit(n_vectors).cast("long").alias("n_vectors"),
         )
         rows = measured if rows is None else rows.union(measured)
-    n_vectors = vectors.groupBy(F.lit(location_aware).alias("locationaware"), "dominanthand").agg(
-        F.count("*").alias("n_vectors")
-    )
-    return models, rows.join(n_vectors, ["locationaware", "dominanthand"])
+    return models, rows
 
 
 def run_training(traces: DataFrame, pois: DataFrame, base: str,

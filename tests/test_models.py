@@ -115,3 +115,37 @@ def test_unknown_regions_are_refused(separable):
     with pytest.raises(ValueError):
         Tr.training_set(separable, None, False, regions="guess")
 
+
+
+def test_a_hand_that_nobody_wears_is_left_out(spark, separable, pois, tmp_path):
+    base = str(tmp_path / "m")
+    one = separable.where("dominanthand")
+    report = Tr.run_training(one, pois, base, (M.DECISION_TREE, M.RANDOM_FOREST)).collect()
+    assert len(report) == 8
+    for r in report:
+        assert (r.n_vectors > 0) == (r.n_test > 0) == (r.accuracy is not None) == r.dominanthand
+    forests = M.load_models(base)
+    assert set(forests) == {(False, True), (True, True)}
+    rows = separable.select(*TRACE_COLUMNS)
+    found = R.recognise_all(rows, pois, forests, 50_000).collect()
+    assert found and all(r.dominanthand for r in found)
+    by_data = R.recognise_all(rows, pois, M.compiled_trees(spark, base), 50_000).collect()
+    assert sorted(map(tuple, by_data)) == sorted(map(tuple, found))
+    with pytest.raises(FileNotFoundError):
+        M.load_models(str(tmp_path / "none"))
+
+
+def test_trees_as_data_predict_what_the_models_do(spark, separable, pois, trained):
+    base, _ = trained
+    for algorithm in (M.DECISION_TREE, M.RANDOM_FOREST):
+        trees = M.compiled_trees(spark, base, algorithm)
+        for (aware, hand), model in M.load_models(base, algorithm).items():
+            rows = Tr.training_set(separable, pois, aware, hand).withColumn("locationaware", M.F.lit(aware))
+            # values between and beyond those trained on
+            rows = rows.withColumns({c: M.F.expr(f"{c} * (1 + (hash(seg_id, win_id, '{c}') % 100) / 80D)") for c in M.feature_columns(aware)})
+            cols = [*Tr.VECTOR_ID, "prediction", "predicted"]
+            want = sorted(map(tuple, M.predict_activity(model, rows).select(*cols).collect()))
+            got = sorted(map(tuple, M.predict_compiled(rows, trees, (aware,)).select(*cols).collect()))
+            assert got == want and len({r[-2] for r in want}) > 1
+    plan = M.predict_compiled(rows, trees, (aware,))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "BroadcastHashJoin" in plan
