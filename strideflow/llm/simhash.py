@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strideflow.llm.common import filled, steps
@@ -254,6 +254,40 @@ def one_of_each(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame
     first = labelled(fps, radius).groupBy("component").agg(F.min(rank).alias("least")).select(F.col("least.fp").alias("near_fp"))
     # The row that stays is chosen among narrow rows, and its number, unique once written, picks it from the table.
     order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "near_row")
-    best = marked.groupBy("near_fp").agg(F.min_by("near_row", order).alias("near_row"))
-    chosen = stage(best.join(first, "near_fp", "left_semi").select("near_row"), "chosen-rows")
-    return marked.join(chosen, "near_row", "left_semi").select(*columns)
+    best = stage(marked.groupBy("near_fp").agg(F.min_by("near_row", order).alias("near_row"), F.count("*").alias("rows")), "best-rows")
+    kept = stage(best.join(first.withColumn("stays", F.lit(True)), "near_fp", "left"), "kept-rows")
+    contested = _bits(kept.where("rows > 1 OR stays IS NULL").select("near_fp"))
+    # A row whose fingerprint no other row has, and no near one either, stays where it is; only the others move.
+    sure = marked.where(~contested(marked["near_fp"])).select(*columns)
+    moved = marked.where(contested(marked["near_fp"])).join(kept.where("stays").select("near_row").hint("merge"), "near_row", "left_semi")
+    return sure.union(moved.select(*columns))
+
+
+FILTER_BITS = 1 << 25
+
+
+def _bits(fps: DataFrame):
+    """A test that holds for every fingerprint of ``fps`` and for few others: a Bloom filter of fixed size (4 MB)."""
+
+    def places(fp: Column) -> list[Column]:
+        return [F.pmod(F.xxhash64(fp, F.lit(k)), F.lit(FILTER_BITS)) for k in (1, 2)]
+
+    place = F.explode(F.array(*places(F.col("near_fp")))).alias("place")
+    word = F.shiftright("place", 6).cast("int").alias("word")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place").bitwiseAND(F.lit(63)).cast("int"))
+    rows = fps.select(place).groupBy(word).agg(F.bit_or(bit).alias("bits")).toArrow()  # at most FILTER_BITS / 64 rows
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    bits[rows["word"].to_numpy()] = rows["bits"].to_numpy()
+    sent = fps.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+    @F.arrow_udf("boolean")
+    def inside(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        words = np.frombuffer(sent.value, np.uint64)
+        for both in batches:
+            found = np.ones(len(both[0]), bool)
+            for p in both:
+                at = p.to_numpy(zero_copy_only=False)
+                found &= (words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0
+            yield pa.array(found)
+
+    return lambda fp: inside(*places(fp))
