@@ -18,7 +18,7 @@ from strideflow.session import scratch_path, stage
 from strideflow.sources import traces as src
 from strideflow.sources.views import faulty_view, poi_view, traces_view
 from strideflow.streaming.recognition import stream_recognise
-from strideflow.streaming.segments import stream_segments, stream_windows
+from strideflow.streaming.segments import stream_features, stream_segments, stream_windows
 
 RECORD = [*STREAM_KEYS, "timestamp"]
 SUMMARY_GRID = [(30, 40.0, 800), (60, 45.0, 1200), (80, 60.0, 1600)]
@@ -483,23 +483,28 @@ def recognise_all(spark, sf_dir):
 
 # --- streams ----------------------------------------------------------------------------------
 
-def _trace_stream(spark, sf_dir, parts: int = 1) -> DataFrame:
-    """The trace table as a stream, followed by one record far in the future that closes the last windows.
+# Files per micro-batch, and micro-batches of the records.
+FILES, BATCHES = 4, 3
+FIRST_TIME, END_TIME, AHEAD = 1_500_000_000_000, 1_575_000_000_000, 300_000_000_000
 
-    With ``parts`` the records arrive in that many files one after the other, each a micro-batch of its own.
+
+def _trace_stream(spark, sf_dir, columns=None, traces=None, turn=None) -> DataFrame:
+    """The trace table as a stream of several micro-batches, by time, and then one record far in the future that closes what is open.
+
+    ``turn`` says otherwise which micro-batch (0, 1, 2) a record comes with. Each is several files, so it is read in parallel.
     """
-    t = traces_view(spark, sf_dir).select(*[f for f in TRAINING_TRACE.fieldNames() if f != "activity"])
-    end = t.limit(1).withColumn("user", F.lit("end")).withColumn("timestamp", F.lit(4_000_000_000_000))
-    if parts == 1:
-        return spark.readStream.schema(t.schema).parquet(_copy(t.union(end), "stream"))
+    t = traces_view(spark, sf_dir) if traces is None else traces
+    t = t.select(*(columns or [f for f in TRAINING_TRACE.fieldNames() if f != "activity"]))
+    end = t.limit(1).withColumn("user", F.lit("end")).withColumn("timestamp", F.lit(END_TIME))
     path = scratch_path(spark, "stream")
-    first, last = t.agg(F.min("timestamp"), F.max("timestamp")).first()
-    width = (last - first) // parts + 1
-    for k in range(parts):
-        low = first + k * width
-        t.where((F.col("timestamp") >= low) & (F.col("timestamp") < low + width)).coalesce(1).write.mode("append").parquet(path)
+    if turn is None:
+        first, last = t.agg(F.min("timestamp"), F.max("timestamp")).first()
+        turn = F.expr(f"(timestamp - {first}L) div {(last - first) // BATCHES + 1}L")
+    marked = t.withColumn("turn", turn)
+    for k in range(BATCHES):
+        marked.where(F.col("turn") == k).drop("turn").repartition(FILES).write.mode("append").parquet(path)
     end.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return spark.readStream.schema(t.schema).option("maxFilesPerTrigger", FILES).parquet(path)
 
 
 def _finish(stream: DataFrame, name: str) -> DataFrame:
@@ -514,29 +519,75 @@ def _finish(stream: DataFrame, name: str) -> DataFrame:
 
 
 def stream_segments_(spark, sf_dir):
-    return _finish(stream_segments(_trace_stream(spark, sf_dir, 3)), "segments")
+    return _finish(stream_segments(_trace_stream(spark, sf_dir)), "segments")
 
 
 def stream_windows_(spark, sf_dir):
-    closed = _finish(stream_windows(_trace_stream(spark, sf_dir, 3)), "windows")
+    closed = _finish(stream_windows(_trace_stream(spark, sf_dir)), "windows")
     return closed.select(*RECORD, "seg_start", "win_id")
 
 
-def stream_features(spark, sf_dir):
-    """Features of closed windows of a stream."""
-    closed = _finish(stream_windows(_trace_stream(spark, sf_dir)), "windows").withColumnRenamed("seg_start", "seg_id")
-    out = features.features_basic(closed)
-    return rounded(out.withColumnRenamed("seg_id", "seg_start"))
+def _disturbed_stream(spark, sf_dir) -> DataFrame:
+    """Some records of the first minute come last of all, and the clock of some others is years ahead."""
+    t = traces_view(spark, sf_dir)
+    late = (F.col("timestamp") < FIRST_TIME + 60_000) & (F.col("timestamp") % 1300 == 0)
+    wrong = ~late & (F.col("timestamp") % 1700 == 0)
+    first, last = t.agg(F.min("timestamp"), F.max("timestamp")).first()
+    turn = F.expr(f"(timestamp - {first}L) div {(last - first) // BATCHES + 1}L")
+    marked = t.withColumn("turn", F.when(late, BATCHES - 1).otherwise(turn))
+    marked = marked.withColumn("timestamp", F.when(wrong, F.col("timestamp") + AHEAD).otherwise(F.col("timestamp")))
+    return _trace_stream(spark, sf_dir, [*RECORD, "x", "y", "z", "latitude", "longitude", "turn"], marked, F.col("turn")).drop("turn")
+
+
+def _sides(spark, sf_dir, operator) -> DataFrame:
+    """Records per stream and side: what went in comes out, in results, late, or ahead of the clock."""
+    now = F.lit(FIRST_TIME + AHEAD // 2).cast("long")
+    stream = operator(_disturbed_stream(spark, sf_dir), sides=True, ahead_ms=60_000, now=now)
+    out = _finish(stream, "sides")
+    n = F.sum("n_records") if "n_records" in out.columns else F.count("*")
+    return out.groupBy(*STREAM_KEYS, "side").agg(n.cast("long").alias("n_records"))
+
+
+def stream_window_sides(spark, sf_dir):
+    return _sides(spark, sf_dir, stream_windows)
+
+
+def stream_segment_sides(spark, sf_dir):
+    return _sides(spark, sf_dir, stream_segments)
+
+
+def _written(spark, start) -> DataFrame:
+    """What a query that writes a folder per micro-batch has written."""
+    path = scratch_path(spark, "batches")
+    start(path, scratch_path(spark, "batches-checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(path)
+
+
+def stream_features_(spark, sf_dir):
+    """The 16 basic features of closed windows of a stream."""
+    stream = _trace_stream(spark, sf_dir)
+    return rounded(_written(spark, lambda path, checkpoint: stream_features(stream, None, path, checkpoint)).drop("batch_id"))
+
+
+def stream_features_located(spark, sf_dir):
+    """The 28 features of closed windows of a stream of labelled records: each region of a user is a stream."""
+    traces = clustering.label_regions(traces_view(spark, sf_dir))
+    stream = _trace_stream(spark, sf_dir, [*TRAINING_TRACE.fieldNames(), "cluster_id"], traces)
+    out = _written(spark, lambda path, checkpoint: stream_features(stream, poi_view(spark, sf_dir), path, checkpoint, training.REGION_KEYS))
+    return rounded(out.drop("batch_id"))
 
 
 def stream_recognise_(spark, sf_dir):
+    """Results of several micro-batches; of a stream those of the last one in which it sent records."""
     results = scratch_path(spark, "results")
     query = stream_recognise(
         _trace_stream(spark, sf_dir), poi_view(spark, sf_dir), _period_trees_as_data(spark, sf_dir), results,
         scratch_path(spark, "recognise-checkpoint"), clock=lambda: RUN_START, available_now=True, algorithm=M.DECISION_TREE,
     ).start()
     query.awaitTermination()
-    return src.read_results(spark, results).select(*RESULT.fieldNames(), "window_start", "window_end")
+    found = spark.read.parquet(results)
+    last = found.groupBy(*STREAM_KEYS).agg(F.max("batch_id").alias("batch_id"))
+    return found.join(last, [*STREAM_KEYS, "batch_id"]).select(*RESULT.fieldNames(), "window_start", "window_end")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -606,5 +657,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_recognise": stream_recognise_,
     "stream_segments": stream_segments_,
     "stream_windows": stream_windows_,
-    "stream_features": stream_features,
+    "stream_features": stream_features_,
+    "stream_features_located": stream_features_located,
+    "stream_window_sides": stream_window_sides,
+    "stream_segment_sides": stream_segment_sides,
 }

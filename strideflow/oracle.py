@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strideflow.catalog import HOME, LATEST, OFF_TIES, PERIODS, RUN_START, SUMMARY_GRID
+from strideflow.catalog import FIRST_TIME, HOME, LATEST, OFF_TIES, PERIODS, RUN_START, SUMMARY_GRID
 from strideflow.plans.models import DECISION_TREE, RANDOM_FOREST, VARIANTS, model_path
 from strideflow.schemas import ACTIVITIES, EARTH_RADIUS_KM, OTHER_ID, PLACE_TYPES, TRIP_ACTIVITIES
 from strideflow.sources.views import FAULTY_SQL, POI_SQL, TRACES_SQL
@@ -418,6 +418,22 @@ def _results():
     return "\nUNION ALL\n".join(_recognised(located, _result(located)) for located in (False, True))
 
 
+def _located_stream():
+    starts = with_(T, LABELLED, seg(REGION, "lab")) + f"SELECT DISTINCT {cols(REGION)}, seg_id, seg_start FROM seg"
+    return (
+        f"SELECT a.* EXCLUDE (seg_id), s.seg_start FROM ({_aware_query([LABELLED], REGION, 'lab')}) a JOIN ({starts}) s"
+        f" ON {same([*REGION, 'seg_id'], 'a', 's')}"
+    )
+
+
+def _stream_sides(kept):
+    late = f"timestamp < {FIRST_TIME + 60_000} AND timestamp % 1300 = 0"
+    return (
+        with_(T) + f"SELECT {cols(K)}, CASE WHEN {late} THEN 'late' WHEN timestamp % 1700 = 0 THEN 'ahead' ELSE '{kept}' END AS side,"
+        " count(*) AS n_records FROM t GROUP BY ALL"
+    )
+
+
 LATEST_ALL = f"recent AS (SELECT * EXCLUDE (rn) FROM {LAST} WHERE rn <= 2500)"
 SEGMENTS_OUT = f"SELECT {cols(K)}, seg_id, min(timestamp) AS start_ts, max(timestamp) AS end_ts, count(*) AS n_records FROM seg GROUP BY {cols(K)}, seg_id"
 
@@ -506,6 +522,9 @@ ORACLE: dict[str, str] = {
     "stream_recognise": _results(),
     "stream_segments": with_(T, seg()) + SEGMENTS_OUT.replace("seg_id, min", "min"),
     "stream_windows": with_(T, seg(), win()) + f"SELECT {RECORD}, seg_start, win_id FROM win",
+    "stream_features_located": _located_stream(),
+    "stream_window_sides": _stream_sides("window"),
+    "stream_segment_sides": _stream_sides("segment"),
     "stream_features": with_(T, seg(), win(), feat(), "starts AS (SELECT DISTINCT user, dominanthand, seg_id, seg_start FROM seg)")
     + f"SELECT {cols(K)}, seg_start, win_id, {BOUNDS}, {', '.join(r6(c) for c in ACCEL)} FROM feat JOIN starts USING (user, dominanthand, seg_id)",
 }

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Set while ``scratch`` is in use: the folder that intermediate tables go to.
 SCRATCH = "spark.strideflow.scratch"
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def build_session(app_name: str = "strideflow", master: str | None = None, **conf: str) -> SparkSession:
@@ -23,10 +25,7 @@ def build_session(app_name: str = "strideflow", master: str | None = None, **con
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         # State of streams on disk, with only what changed written per micro-batch.
-        .config(
-            "spark.sql.streaming.stateStore.providerClass",
-            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-        )
+        .config(STATE_STORE, ROCKSDB)
         .config("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     )
     if master:

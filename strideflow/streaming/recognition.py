@@ -7,57 +7,90 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
 from strideflow.plans.models import RANDOM_FOREST
 from strideflow.plans.recognition import recognise_latest
 from strideflow.schemas import LATEST_TRACES, STREAM_KEYS, TRACE
 from strideflow.session import scratch, stage
+from strideflow.streaming.segments import batch_of, milliseconds, split_by_clock, with_clock
 
-VALUES = [f for f in TRACE.fields if f.name not in STREAM_KEYS]
+VALUES = [f for f in TRACE.fields if f.name not in STREAM_KEYS and f.name != "timestamp"]
 TRACE_DDL = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in TRACE.fields)
-IDLE_MS = 7 * 24 * 3600 * 1000
-HELD_DDL = ", ".join(f"{f.name} array<{f.dataType.simpleString()}>" for f in VALUES)
+IDLE = "7 days"
 
 
-def stream_latest(traces: DataFrame, latest: int = LATEST_TRACES, idle_ms: int | None = None) -> DataFrame:
-    """The newest ``latest`` records of every stream that got new ones in this micro-batch.
+class Latest(StatefulProcessor):
+    """The newest records of a stream, one state entry each, keyed by their time.
 
-    They are kept in the state store, so a micro-batch costs the same however long the history.
-    With ``idle_ms``, a stream that sent nothing for so long is forgotten; Spark then runs a
-    micro-batch at every trigger, so a query that is to end by itself must do without.
+    A micro-batch writes the entries that are new and removes those that are no longer among the newest. The value is the
+    timer at which a stream that sent nothing more is forgotten; it is set again with each record and goes by event
+    time, so it costs no micro-batches of its own and works in runs that end by themselves.
     """
-    names = [f.name for f in VALUES]
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        newest = pd.DataFrame(dict(zip(names, state.get))) if state.exists else None
-        for batch in batches:
-            known = [batch[names]] if newest is None or newest.empty else [newest, batch[names]]
-            # A record sent twice stays one record.
-            rows = pd.concat(known).drop_duplicates("timestamp", keep="first")
-            newest = rows.nlargest(latest, "timestamp")
-        newest = newest.sort_values("timestamp")
-        state.update(tuple(newest[n].tolist() for n in names))
-        if idle_ms is not None:
-            state.setTimeoutDuration(idle_ms)
-        out = newest.copy()
+    def __init__(self, latest: int, idle_ms: int):
+        self.latest, self.idle_ms = latest, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.records = handle.getMapState("records", "timestamp long", ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in VALUES))
+        self.expiry = handle.getValueState("expiry", "at long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        names = ["timestamp", *[f.name for f in VALUES]]
+        new = batch_of(rows, names).drop_duplicates("timestamp").nlargest(self.latest, "timestamp")
+        known = pd.DataFrame([(*k, *v) for k, v in self.records.iterator()], columns=names)
+        # A record sent twice stays one record.
+        new = new[~new["timestamp"].isin(known["timestamp"])]
+        newest = (pd.concat([known, new]) if len(known) else new).nlargest(self.latest, "timestamp")
+        added = new[new["timestamp"].isin(newest["timestamp"])]
+        plain = added.astype(object).where(added.notna(), None)
+        for timestamp, *values in plain.itertuples(index=False, name=None):
+            self.records.updateValue((timestamp,), tuple(values))
+        for timestamp in known["timestamp"][~known["timestamp"].isin(newest["timestamp"])].tolist():
+            self.records.removeKey((timestamp,))
+        self.wake(int(newest["timestamp"].max()), timerValues.getCurrentWatermarkInMs())
+        out = newest.sort_values("timestamp")
         for name, value in zip(STREAM_KEYS, key):
             out[name] = value
         yield out[TRACE.fieldNames()]
 
-    return traces.groupBy(*STREAM_KEYS).applyInPandasWithState(
-        step, TRACE_DDL, HELD_DDL, "append",
-        GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout,
+    def wake(self, last: int, watermark: int) -> None:
+        at, held = max(last + self.idle_ms, watermark) + 1, self.expiry.get()
+        if held is not None and held[0] == at:
+            return
+        if held is not None and held[0] > watermark:
+            self.handle.deleteTimer(held[0])
+        self.handle.registerTimer(at)
+        self.expiry.update((at,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = self.expiry.get()
+        # A timer of before the last records is not the stream's any more.
+        if held is not None and held[0] <= timerValues.getCurrentWatermarkInMs():
+            self.records.clear()
+            self.expiry.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def stream_latest(traces: DataFrame, latest: int = LATEST_TRACES, idle: str = IDLE) -> DataFrame:
+    """The newest ``latest`` records of every stream that got new ones in this micro-batch.
+
+    They are kept in the state store, so what a micro-batch writes follows its own records, however long the history.
+    A stream is forgotten when others are ahead of its last record by ``idle``.
+    """
+    return with_clock(traces.select(*TRACE.fieldNames())).groupBy(*STREAM_KEYS).transformWithStateInPandas(
+        Latest(latest, milliseconds(idle)), TRACE_DDL, "append", "EventTime"
     )
 
 
-def recognise_batch(batch: DataFrame, batch_id: int, pois: DataFrame, models: dict[tuple[bool, bool], PipelineModel],
-                    results_path: str, run_start: int, algorithm: str = RANDOM_FOREST) -> None:
+def recognise_batch(batch: DataFrame, batch_id: int, pois: DataFrame, models: dict[tuple[bool, bool], PipelineModel] | DataFrame,
+                    results_path: str, run_start: int, algorithm: str = RANDOM_FOREST, ahead_path: str | None = None) -> None:
     """Recognise one micro-batch and write its results to a folder of its own.
 
     The batch is written once before it is used several times. A repeated batch replaces its
@@ -65,21 +98,33 @@ def recognise_batch(batch: DataFrame, batch_id: int, pois: DataFrame, models: di
     """
     with scratch(batch.sparkSession, "batch"):
         rows = stage(batch, "latest")
+        if ahead_path is not None:
+            ahead, rows = rows.where("side = 'ahead'").drop("side"), rows.where("side = 'latest'").drop("side")
+            if not ahead.isEmpty():
+                ahead.write.mode("overwrite").parquet(f"{ahead_path}/batch_id={batch_id}")
         if rows.isEmpty():
             return
         results = recognise_latest(rows, pois, models, run_start, algorithm)
         results.write.mode("overwrite").parquet(f"{results_path}/batch_id={batch_id}")
 
 
-def stream_recognise(traces: DataFrame, pois: DataFrame, models: dict[tuple[bool, bool], PipelineModel],
+def stream_recognise(traces: DataFrame, pois: DataFrame, models: dict[tuple[bool, bool], PipelineModel] | DataFrame,
                      results_path: str, checkpoint: str, latest: int = LATEST_TRACES,
                      clock: Callable[[], int] = lambda: int(time.time() * 1000), period: str = "10 seconds",
-                     available_now: bool = False, algorithm: str = RANDOM_FOREST) -> DataStreamWriter:
-    """Every ``period``, recognise the latest traces of the users that sent some."""
+                     available_now: bool = False, algorithm: str = RANDOM_FOREST, ahead_path: str | None = None,
+                     ahead_ms: int = 60_000, now: Column | None = None) -> DataStreamWriter:
+    """Every ``period``, recognise the latest traces of the users that sent some.
+
+    With ``ahead_path`` records more than ``ahead_ms`` beyond the clock take no part; they are written there.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        recognise_batch(batch, batch_id, pois, models, results_path, clock(), algorithm)
+        recognise_batch(batch, batch_id, pois, models, results_path, clock(), algorithm, ahead_path)
 
-    newest = stream_latest(traces, latest, None if available_now else IDLE_MS)
+    if ahead_path is None:
+        newest = stream_latest(traces, latest)
+    else:
+        on_time, ahead = split_by_clock(traces.select(*TRACE.fieldNames()), ahead_ms, now)
+        newest = stream_latest(on_time, latest).withColumn("side", F.lit("latest")).union(ahead.withColumn("side", F.lit("ahead")))
     writer = newest.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=period)
