@@ -77,3 +77,49 @@ def test_cluster_summary(spark):
     got = C.cluster_summary(frame(spark, data), [(2, 40.0, 10), (9, 40.0, 10)]).collect()
     sizes = {(r.min_points, r.cluster): (r["size"], r.duration, r.start_time, r.end_time, r.end_lat) for r in got}
     assert sizes == {(2, "0"): (4, 3, 0, 3, 3e-9), (2, "noise"): (1, 0, 50, 50, 5e-8), (9, "noise"): (5, 50, 0, 50, 5e-8)}
+
+
+def summarised(rows, clusters_of, grid):
+    """The report from labelled records, row by row."""
+    out = []
+    for p, d, ms in grid:
+        for user, g in by_user(rows).items():
+            points = list(zip(g["timestamp"], g["latitude"], g["longitude"]))
+            label = clusters_of(points, p, d, ms)
+            for c in set(label):
+                own = [x for x, k in zip(points, label) if k == c]
+                out.append((p, d, ms, user, "noise" if c == -1 else str(c), len(own), own[-1][0] - own[0][0], own[0][0], own[-1][0]))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("chunk_ms", [70, 1000])
+def test_a_grid_in_one_pass_equals_single_runs(spark, chunk_ms):
+    grid = [(4, 40.0, 30), (9, 40.0, 30), (6, 25.0, 35), (6, 60.0, 12), (500, 40.0, 30)]
+    data = random_streams(21, users=25, n=80, max_step=9, spread_m=20.0, jump=0.2)
+    got = C.cluster_summary(frame(spark, data), grid, chunk_ms=chunk_ms).collect()
+    got = sorted((r.min_points, r.distance_m, r.time_ms, r.user, r.cluster, r["size"], r.duration, r.start_time, r.end_time) for r in got)
+    assert got == summarised(data, clusters, grid)
+
+
+def test_clustering_shuffles_samples_once_and_writes_two_tables(spark, monkeypatch):
+    staged, written = [], []
+    stage = C.stage
+    monkeypatch.setattr(C, "stage", lambda df, name: (staged.append(name), written.append(df), stage(df, name))[-1])
+    data = random_streams(22, users=5, n=80, max_step=9, spread_m=20.0)
+    for run, tables in ((lambda: C.st_dbscan(frame(spark, data), 4, 40.0, 30), 2),
+                        (lambda: C.cluster_summary(frame(spark, data), [(4, 40.0, 30)] * 3), 2),
+                        (lambda: C.cluster_summary(frame(spark, data), [(4 + i, 40.0, 30) for i in range(30)]), 2)):
+        staged.clear(), written.clear()
+        run()
+        assert len(staged) == tables, staged
+        text = written[0]._jdf.queryExecution().executedPlan().toString()
+        assert text.count("Exchange hashpartitioning") == 1 and text.count("Scan ExistingRDD") == 1
+
+
+def test_odd_records_and_columns_that_clash(spark):
+    rows = [("a", True, t, 47.0, 8.0, "n") for t in range(0, 40, 4)] + [("a", True, 4, None, 8.0, "m"), ("a", True, 4, 47.0, 8.0, "n"), ("a", True, 500, None, None, None)]
+    t = spark.createDataFrame(rows, "user string, dominanthand boolean, timestamp long, latitude double, longitude double, names_of string")
+    got = C.st_dbscan(t, 3, 40.0, 30).collect()
+    assert len(got) == len(rows) and t.columns + ["cluster_id"] == C.st_dbscan(t, 3, 40.0, 30).columns
+    assert {(r.timestamp, r.cluster_id) for r in got} == {(t, 0) for t in range(0, 40, 4)} | {(500, -1)}
+    assert C.st_dbscan(t.limit(0), 3, 40.0, 30).count() == C.cluster_summary(t.limit(0), [(3, 40.0, 30)]).count() == 0
