@@ -37,7 +37,7 @@ INVERSE = pow(BASE, -1, 1 << 64)
 # Entries kept between batches in one task: about 15 and 30 MB.
 CHUNKS_KEPT, WORDS_KEPT = 10_000, 150_000
 # Texts encoded together.
-BLOCK_BYTES = 1_500_000
+BLOCK_BYTES = 2_500_000
 GAPS = re.compile(r"[ \t\r\n]")
 # Characters below U+0300 never compose with each other.
 NOT_PLAIN = r"[^\x00-\x{2ff}]|<\|"
