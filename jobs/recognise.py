@@ -1,7 +1,7 @@
 """Recognise the latest traces of all users: ``spark-submit jobs/recognise.py --traces … --pois … --models … --results … --run …``.
 
-On a cluster set ``spark.checkpoint.dir`` to a folder that all executors share. The results of a run have a folder of their
-own, ``run=<start in ms>``, so a repeated run replaces them. Malformed records go to ``--quarantine``.
+On a cluster set ``spark.checkpoint.dir`` to a folder that all executors share. The results of a run become
+visible as a whole (``read_results`` reads them), and a repeated run replaces them. Malformed records go to ``--quarantine``.
 """
 
 import argparse
@@ -30,7 +30,7 @@ def main(argv: list[str] | None = None) -> None:
     models = load_models(args.models, args.algorithm)
     with scratch(spark, "recognise"):
         found = recognise_all(traces, read_pois(spark, args.pois), models, args.run, algorithm=args.algorithm, base=args.models)
-        write_results(found, f"{args.results}/run={args.run}", mode="overwrite")
+        write_results(found, args.results, f"run-{args.run}")
 
 
 if __name__ == "__main__":

@@ -13,11 +13,13 @@ from strideflow.functions.geo import double, haversine_m
 from strideflow.operators import clustering, features, neighbours, poi, segments
 from strideflow.plans import models as M
 from strideflow.plans import recognition, training
-from strideflow.schemas import RESULT, STREAM_KEYS, TRACE_CSV_WITH_PLACE, TRAINING_TRACE
+from strideflow.schemas import RESULT, STREAM_KEYS, TRACE, TRACE_CSV_WITH_PLACE, TRAINING_TRACE
 from strideflow.session import scratch_path, stage
+from strideflow.sources import place_cache, zones
 from strideflow.sources import traces as src
 from strideflow.sources.views import faulty_view, poi_view, traces_view
 from strideflow.streaming.recognition import stream_recognise
+from strideflow.streaming.regions import stream_regions
 from strideflow.streaming.segments import stream_features, stream_segments, stream_windows
 
 RECORD = [*STREAM_KEYS, "timestamp"]
@@ -119,15 +121,34 @@ def faulty_peak_interval(spark, sf_dir):
 
 
 def write_results(spark, sf_dir):
-    """The labels of the training windows, written and read back as results."""
+    """The labels of the training windows, written as a run, written again, and read back once."""
     windows = training.training_set(traces_view(spark, sf_dir), None, location_aware=False).withColumn(
         "predicted", F.col("activity")
     )
     path = scratch_path(spark, "results")
-    src.write_results(recognition.recognition_results(windows, "labels", False, RUN_START), path)
+    found = stage(recognition.recognition_results(windows, "labels", False, RUN_START), "results")
+    for rows in (found.where("window_start % 2 = 0"), found):
+        src.write_results(rows, path, "labels")
     return src.read_results(spark, path)
 
 
+def _indexed(spark, sf_dir) -> str:
+    """The traces in an indexed table of two runs."""
+    path, t = scratch_path(spark, "indexed"), traces_view(spark, sf_dir).select(*TRACE.fieldNames())
+    half = F.pmod(F.xxhash64(*RECORD), F.lit(2))
+    for k in range(2):
+        zones.write_indexed(t.where(half == k), path, f"part-{k}")
+    return path
+
+
+def indexed_between(spark, sf_dir):
+    return rounded(zones.indexed_between(spark, _indexed(spark, sf_dir), "u0", True, 1500000005000, 1500000090000))
+
+
+def indexed_latest(spark, sf_dir):
+    return zones.indexed_latest(spark, _indexed(spark, sf_dir), LATEST).select(*RECORD)
+
+
 def traces_between(spark, sf_dir):
     return rounded(src.traces_between(traces_view(spark, sf_dir), "u0", True, 1500000005000, 1500000090000))
 
@@ -238,6 +259,13 @@ def poi_counts(spark, sf_dir):
     return poi.poi_counts(traces_view(spark, sf_dir), poi_view(spark, sf_dir), include_other=True)
 
 
+def poi_counts_cached(spark, sf_dir):
+    """Counts after two polls, the first for half of the streams; ``run`` is the poll that looked a coordinate up."""
+    path, t, pois = scratch_path(spark, "place-cache"), traces_view(spark, sf_dir), poi_view(spark, sf_dir)
+    place_cache.cached_poi_counts(t.where("dominanthand"), pois, path, run="poll-1")
+    return place_cache.cached_poi_counts(t, pois, path, run="poll-2")
+
+
 def poi_map(spark, sf_dir):
     return poi.poi_map(traces_view(spark, sf_dir), poi_view(spark, sf_dir))
 
@@ -577,6 +605,22 @@ def stream_features_located(spark, sf_dir):
     return rounded(out.drop("batch_id"))
 
 
+def stream_regions_(spark, sf_dir):
+    """Of each stream, the regions after the last micro-batch in which it sent records."""
+    kept = {}
+
+    def write(batch, batch_id):
+        kept[batch_id] = stage(batch.withColumn("batch_id", F.lit(batch_id)), "regions")
+
+    query = stream_regions(_trace_stream(spark, sf_dir)).writeStream.foreachBatch(write)
+    query.option("checkpointLocation", scratch_path(spark, "regions-checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    found = None
+    for part in kept.values():
+        found = part if found is None else found.union(part)
+    last = found.groupBy(*STREAM_KEYS).agg(F.max("batch_id").alias("batch_id"))
+    return found.join(last, [*STREAM_KEYS, "batch_id"]).where("user <> 'end'").select(*RECORD, "cluster_id")
+
+
 def stream_recognise_(spark, sf_dir):
     """Results of several micro-batches; of a stream those of the last one in which it sent records."""
     results = scratch_path(spark, "results")
@@ -585,9 +629,9 @@ def stream_recognise_(spark, sf_dir):
         scratch_path(spark, "recognise-checkpoint"), clock=lambda: RUN_START, available_now=True, algorithm=M.DECISION_TREE,
     ).start()
     query.awaitTermination()
-    found = spark.read.parquet(results)
-    last = found.groupBy(*STREAM_KEYS).agg(F.max("batch_id").alias("batch_id"))
-    return found.join(last, [*STREAM_KEYS, "batch_id"]).select(*RESULT.fieldNames(), "window_start", "window_end")
+    found = src.read_results(spark, results, with_run=True)
+    last = found.groupBy(*STREAM_KEYS).agg(F.max("run").alias("run"))
+    return found.join(last, [*STREAM_KEYS, "run"]).select(*RESULT.fieldNames(), "window_start", "window_end")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -599,6 +643,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "conform_traces": conform_traces,
     "malformed_traces": malformed_traces,
     "write_results": write_results,
+    "indexed_between": indexed_between,
+    "indexed_latest": indexed_latest,
     "traces_between": traces_between,
     "latest_traces": latest_traces,
     "distinct_users": distinct_users,
@@ -631,6 +677,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "poi_within": poi_within,
     "poi_type_to_activity": poi_type_to_activity,
     "poi_counts": poi_counts,
+    "poi_counts_cached": poi_counts_cached,
     "poi_map": poi_map,
     "poi_tf": poi_tf,
     "poi_tfidf": poi_tfidf,
@@ -655,6 +702,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "recognition_results": recognition_results,
     "recognise_all": recognise_all,
     "stream_recognise": stream_recognise_,
+    "stream_regions": stream_regions_,
     "stream_segments": stream_segments_,
     "stream_windows": stream_windows_,
     "stream_features": stream_features_,

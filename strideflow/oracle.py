@@ -457,6 +457,9 @@ ORACLE: dict[str, str] = {
     "traces_between": with_(T) + f"SELECT {RECORD}, {', '.join(r6(c) for c in NUMBERS)} FROM t"
     " WHERE user = 'u0' AND dominanthand AND timestamp > 1500000005000 AND timestamp < 1500000090000",
     "latest_traces": with_(T) + f"SELECT {RECORD} FROM {LAST} WHERE rn <= {LATEST}",
+    "indexed_between": with_(T) + f"SELECT {RECORD}, {', '.join(r6(c) for c in NUMBERS)} FROM t"
+    " WHERE user = 'u0' AND dominanthand AND timestamp > 1500000005000 AND timestamp < 1500000090000",
+    "indexed_latest": with_(T) + f"SELECT {RECORD} FROM {LAST} WHERE rn <= {LATEST}",
     "distinct_users": with_(T) + "SELECT DISTINCT user FROM t",
     "training_traces": ALL_RECORDS + " WHERE activity <> 'Other'",
     "activity_dim": with_(T) + f"SELECT activity, count(*) AS n_records, CAST({ACTIVITY_ID} AS INTEGER) AS activity_id,"
@@ -491,6 +494,9 @@ ORACLE: dict[str, str] = {
     "poi_type_to_activity": with_(POIS, TYPES) + "SELECT poi_id, place_type, activity_id FROM types",
     "poi_counts": with_(T, *PLACES, COORDS, around("coords", 20.0), counts(wanted=range(9)))
     + f"SELECT latitude, longitude, {cols([f'n_{i}' for i in range(9)])} FROM counts",
+    "poi_counts_cached": with_(T, *PLACES, COORDS, around("coords", 20.0), counts(wanted=range(9)),
+                               "first AS (SELECT DISTINCT latitude, longitude, 'poll-1' AS run FROM t WHERE dominanthand)")
+    + f"SELECT latitude, longitude, {cols([f'n_{i}' for i in range(9)])}, coalesce(run, 'poll-2') AS run FROM counts LEFT JOIN first USING (latitude, longitude)",
     "poi_map": with_(T, *PLACES, COORDS, around("coords", 20.0), counts())
     + f"SELECT {RECORD}, {cols([f'n_{i}' for i in range(8)])} FROM t JOIN counts USING (latitude, longitude)",
     "poi_tf": with_(T, *PLACES, COORDS, around("coords", 20.0), counts())
@@ -520,6 +526,7 @@ ORACLE: dict[str, str] = {
     "recognition_results": _recognised(False, _result(False)),
     "recognise_all": _results(),
     "stream_recognise": _results(),
+    "stream_regions": with_(T, LATEST_ALL, *dbscan(source="recent"), recursive=True) + f"SELECT {RECORD}, cluster_id FROM clus",
     "stream_segments": with_(T, seg()) + SEGMENTS_OUT.replace("seg_id, min", "min"),
     "stream_windows": with_(T, seg(), win()) + f"SELECT {RECORD}, seg_start, win_id FROM win",
     "stream_features_located": _located_stream(),

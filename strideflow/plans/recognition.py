@@ -25,11 +25,15 @@ def recognition_features(traces: DataFrame, pois: DataFrame | None, location_awa
                          chunk_ms: int | None = None) -> DataFrame:
     """Feature rows of all streams: regions, segments, windows, features.
 
-    The regions are written once: segments read them twice, and clustering them is most of the work.
+    The regions are written once: segments read them twice, and clustering them is most of the work. Traces that
+    have their ``cluster_id`` already are not clustered again.
     """
-    regions = recognise_regions(traces, location_aware, chunk_ms=chunk_ms)
-    if location_aware:
-        regions = stage(regions, "regions")
+    if location_aware and "cluster_id" in traces.columns:
+        regions = traces
+    else:
+        regions = recognise_regions(traces, location_aware, chunk_ms=chunk_ms)
+        if location_aware:
+            regions = stage(regions, "regions")
     windowed = windowed_traces(regions, gap_ms, duration_ms, REGION_KEYS, chunk_ms)
     if location_aware:
         return features_location_aware(windowed, pois, REGION_KEYS, min_records, radius_m)

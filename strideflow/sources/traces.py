@@ -12,6 +12,7 @@ from strideflow.schemas import (
     TRACE_CSV_WITH_PLACE, TRAINING_TRACE, XYZ_CSV,
 )
 from strideflow.session import stage
+from strideflow.sources.committed import read_runs, write_run
 
 
 def read_traces(spark: SparkSession, path: str, labelled: bool = False, fmt: str = "parquet") -> DataFrame:
@@ -136,10 +137,15 @@ def conform_results(results: DataFrame) -> DataFrame:
     return results.select(*fixed, *extra)
 
 
-def write_results(results: DataFrame, path: str, fmt: str = "parquet", mode: str = "append") -> None:
-    conform_results(results).write.format(fmt).mode(mode).save(path)
+RESULTS = T.StructType(RESULT.fields + [T.StructField("window_start", T.LongType()), T.StructField("window_end", T.LongType())])
 
 
-def read_results(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    extra = [T.StructField("window_start", T.LongType()), T.StructField("window_end", T.LongType())]
-    return spark.read.format(fmt).schema(T.StructType(RESULT.fields + extra)).load(path)
+def write_results(results: DataFrame, path: str, run: str, fmt: str = "parquet") -> None:
+    """The results of one run. A repeated run replaces its rows; a failed one leaves none."""
+    write_run(conform_results(results), path, run, fmt)
+
+
+def read_results(spark: SparkSession, path: str, fmt: str = "parquet", with_run: bool = False) -> DataFrame:
+    """The results of all runs that were written to the end."""
+    rows = read_runs(spark, path, RESULTS, fmt)
+    return rows if with_run else rows.drop("run")

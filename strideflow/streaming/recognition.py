@@ -15,6 +15,9 @@ from strideflow.plans.models import RANDOM_FOREST
 from strideflow.plans.recognition import recognise_latest
 from strideflow.schemas import LATEST_TRACES, STREAM_KEYS, TRACE
 from strideflow.session import scratch, stage
+from strideflow.sources.committed import write_run
+from strideflow.sources.traces import write_results
+from strideflow.streaming.regions import stream_regions
 from strideflow.streaming.segments import batch_of, milliseconds, split_by_clock, with_clock
 
 VALUES = [f for f in TRACE.fields if f.name not in STREAM_KEYS and f.name != "timestamp"]
@@ -89,23 +92,28 @@ def stream_latest(traces: DataFrame, latest: int = LATEST_TRACES, idle: str = ID
     )
 
 
+def batch_run(batch_id: int) -> str:
+    """The run of a micro-batch; names sort as the batches do."""
+    return f"batch-{batch_id:012d}"
+
+
 def recognise_batch(batch: DataFrame, batch_id: int, pois: DataFrame, models: dict[tuple[bool, bool], PipelineModel] | DataFrame,
                     results_path: str, run_start: int, algorithm: str = RANDOM_FOREST, ahead_path: str | None = None) -> None:
-    """Recognise one micro-batch and write its results to a folder of its own.
+    """Recognise one micro-batch and write its results as a run of their own.
 
     The batch is written once before it is used several times. A repeated batch replaces its
-    folder, so nothing is written twice; its intermediate tables are deleted with the batch.
+    run, so nothing is written twice; its intermediate tables are deleted with the batch.
     """
     with scratch(batch.sparkSession, "batch"):
         rows = stage(batch, "latest")
         if ahead_path is not None:
             ahead, rows = rows.where("side = 'ahead'").drop("side"), rows.where("side = 'latest'").drop("side")
             if not ahead.isEmpty():
-                ahead.write.mode("overwrite").parquet(f"{ahead_path}/batch_id={batch_id}")
+                write_run(ahead.drop("cluster_id"), ahead_path, batch_run(batch_id))
         if rows.isEmpty():
             return
         results = recognise_latest(rows, pois, models, run_start, algorithm)
-        results.write.mode("overwrite").parquet(f"{results_path}/batch_id={batch_id}")
+        write_results(results, results_path, batch_run(batch_id))
 
 
 def stream_recognise(traces: DataFrame, pois: DataFrame, models: dict[tuple[bool, bool], PipelineModel] | DataFrame,
@@ -115,6 +123,7 @@ def stream_recognise(traces: DataFrame, pois: DataFrame, models: dict[tuple[bool
                      ahead_ms: int = 60_000, now: Column | None = None) -> DataStreamWriter:
     """Every ``period``, recognise the latest traces of the users that sent some.
 
+    Their density regions are part of the state and kept up to date with the records.
     With ``ahead_path`` records more than ``ahead_ms`` beyond the clock take no part; they are written there.
     """
 
@@ -122,9 +131,10 @@ def stream_recognise(traces: DataFrame, pois: DataFrame, models: dict[tuple[bool
         recognise_batch(batch, batch_id, pois, models, results_path, clock(), algorithm, ahead_path)
 
     if ahead_path is None:
-        newest = stream_latest(traces, latest)
+        newest = stream_regions(traces, latest)
     else:
         on_time, ahead = split_by_clock(traces.select(*TRACE.fieldNames()), ahead_ms, now)
-        newest = stream_latest(on_time, latest).withColumn("side", F.lit("latest")).union(ahead.withColumn("side", F.lit("ahead")))
+        early = ahead.withColumns({"cluster_id": F.lit(None).cast("int"), "side": F.lit("ahead")})
+        newest = stream_regions(on_time, latest).withColumn("side", F.lit("latest")).union(early)
     writer = newest.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=period)

@@ -5,6 +5,8 @@ import os
 
 from pyspark.sql import functions as F
 
+from strideflow.sources.traces import read_results
+
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -31,6 +33,6 @@ def test_jobs_can_be_repeated(spark, traces, pois, tmp_path):
     results = []
     for _ in range(2):
         job("recognise")([*args, "--results", at("results"), "--quarantine", at("bad2"), "--run", "50000"])
-        results.append(spark.read.parquet(at("results")).count())
+        results.append(read_results(spark, at("results")).count())
     assert results[0] == results[1] > 0
     assert spark.read.parquet(at("bad2")).count() == n_bad

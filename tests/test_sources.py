@@ -88,6 +88,8 @@ def test_results_round_trip(spark, tmp_path):
     df = spark.createDataFrame(
         [row], "user string, timestamp int, activity string, model string, dominanthand boolean, locationaware boolean, window_start long, window_end long")
     path = str(tmp_path / "r")
-    S.write_results(df, path)
-    S.write_results(df, path)
-    assert [tuple(r) for r in S.read_results(spark, path).collect()] == [row, row]
+    S.write_results(df, path, "a")
+    S.write_results(df, path, "a")
+    assert [tuple(r) for r in S.read_results(spark, path).collect()] == [row]
+    S.write_results(df, path, "b")
+    assert sorted(tuple(r) for r in S.read_results(spark, path, with_run=True).collect()) == [(*row, "a"), (*row, "b")]

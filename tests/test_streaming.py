@@ -6,6 +6,7 @@ from strideflow.plans import models as M
 from strideflow.plans import recognition as R
 from strideflow.plans import training as Tr
 from strideflow.schemas import RESULT, TRACE_COLUMNS
+from strideflow.sources.committed import read_runs
 from strideflow.sources.traces import read_results
 from strideflow.streaming.recognition import stream_latest, stream_recognise
 from strideflow.streaming.segments import milliseconds, stream_features, stream_segments, stream_windows
@@ -187,7 +188,7 @@ def test_wrong_clocks_take_no_part_in_recognition(spark, traces, pois, tmp_path)
     stream = spark.readStream.schema(TRACE_DDL).parquet(str(tmp_path / "in"))
     stream_recognise(stream, pois, models, str(tmp_path / "out"), str(tmp_path / "cp"), clock=lambda: 50_000, available_now=True,
                      ahead_path=str(tmp_path / "ahead"), now=M.F.lit(1_500_001_000_000).cast("long")).start().awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "ahead")).count() == 3
+    assert read_runs(spark, str(tmp_path / "ahead"), rows.schema).count() == 3
     cols = [*RESULT.fieldNames(), "window_start", "window_end"]
     got, want = read_results(spark, str(tmp_path / "out")).select(*cols), R.recognise_all(rows, pois, models, 50_000).select(*cols)
     assert got.count() == want.count() > 0 and got.exceptAll(want).isEmpty()
