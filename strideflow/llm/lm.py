@@ -9,7 +9,7 @@ is one entry of a block however often it occurs there.
 2. With the counts a block knows its base scores, and sends its distinct bigrams to bigram shards (a hash of the
    context). The followers of a very frequent context are dealt over as many shards as its count asks for.
 3. A bigram shard adds up the counts, builds its trie of quantised smoothed probabilities and answers every bigram of
-   every block; each block's answer is a sum per document, and the sums of all shards are added.
+   every block; each block's answer is a sum per document with a bigram there, and the sums of all shards are added.
 
 ``p(w | v) = (c(v, w) + STRENGTH * p(w)) / (c(v) + STRENGTH)`` with ``p(w) = (c(w) + 1) / (N + V + 1)``, a proper
 distribution over the known words and one unknown word; the context of the first token is a begin sign. Seen bigrams are read
@@ -36,13 +36,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideflow.llm.common import filled, held_out, steps
+from strideflow.llm.common import filled, held_out, release, steps
 from strideflow.llm.trie import NgramTrie
 from strideflow.session import stage
 
 SEED = 42
 BLOCK_BYTES = 12_000_000
-SHARD_BYTES = 5_000_000  # text per shard: several shards to a task, so that tasks are alike
+SHARD_BYTES = 10_000_000  # text per shard: several shards to a task, so that tasks are alike
 LEAST_SHARD_BITS = 5
 STRENGTH = 4.0
 # A context seen more often has its followers dealt over several shards.
@@ -212,6 +212,7 @@ def _bigram_messages(bits: int, n: int, v: int):
                 word[part], c2[part].astype(np.uint32), trained[part].astype(np.uint32), times[part].astype(np.uint32),
                 docs[until[part.start]:until[part.stop]].astype(small), np.array([len(sizes)]),
             )))
+        release()
         return pd.DataFrame(rows, columns=["shard", "block", "data"])
 
     return messages
@@ -248,20 +249,32 @@ def _answers(n: int, v: int):
                 value = trie.find(contexts, counts.astype(np.int64), words.astype(np.uint64))
                 unseen = np.log10(probability(np.zeros(len(words)), np.repeat(c1, counts), c2.astype(np.int64), n, v))
                 value = np.where(np.isnan(value), unseen, value)
-                out.append(pack(np.bincount(docs, weights=np.repeat(value, times), minlength=int(n_docs[0]))))
-        return pd.DataFrame({"shard": group["shard"], "block": group["block"], "data": out})
+                out.append(_sums(np.bincount(docs, weights=np.repeat(value, times), minlength=int(n_docs[0]))))
+        answered = pd.DataFrame({"shard": group["shard"], "block": group["block"], "data": out})
+        del parts, trie, value, unseen
+        release()
+        return answered
 
     return answers
 
 
+def _sums(values: np.ndarray) -> bytes:
+    """Sums of the documents of a block; only those that are not zero if they are few, so that answers follow the bigrams."""
+    some = np.flatnonzero(values)
+    if 2 * len(some) < len(values):
+        return pack(values[some].astype(np.float32), some.astype(np.uint32))
+    return pack(values.astype(np.float32))
+
+
 def _documents(n: int):
     def documents(blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        score = 0.0
+        score = np.zeros(len(blocks["doc_ids"].iloc[0]))
         for shard, data in sorted(zip(answers["shard"], answers["data"]), key=lambda x: x[0]):
             if shard < 0:
                 base, known, sizes, held = unpack(data)
             else:
-                score = score + unpack(data)[0]
+                sums, *at = unpack(data)
+                score[at[0] if at else slice(None)] += sums
         return pd.DataFrame({
             "doc_id": pd.Series(list(blocks["doc_ids"].iloc[0]), dtype=object), "held_out": held > 0,
             "n_tokens": sizes.astype(np.int64), "n_known": known, "train_tokens": n, "base_score": base, "score": score,
