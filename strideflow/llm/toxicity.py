@@ -45,10 +45,10 @@ DECAY, SPAN, WINDOW, GAMMA = 0.8, 6, 8, 4.0
 STEMS = (5, 6)
 PENALTY, EPOCHS, ROUNDS = 1e-4, 30, 3
 THRESHOLD = 0.3
-# Windows kept with their similarities between batches: about 25 MB in a task.
-KNOWN_WINDOWS = 150_000
+# Windows kept with their similarities between batches: about 20 MB in a task.
+KNOWN_WINDOWS = 100_000
 # Words compared at a time, and texts scored at a time.
-WORDS_AT_ONCE, SCORE_BYTES = 10_000, 2_000_000
+WORDS_AT_ONCE, SCORE_BYTES = 10_000, 1_200_000
 
 MARK, BEGIN, END = "\x01", "^", "$"
 ALONE = r"(?:^|\s)\S(?:\x20\S){2,}(?:\s|$)"
@@ -483,7 +483,9 @@ def score_column(docs: DataFrame, model: Model | None, text: str = "text") -> Co
             if model is not None:
                 for a, b in steps(texts, SCORE_BYTES):
                     out[a:b] = model.scores(texts.slice(a, b - a))
+                release()
             yield pa.array(out)
+        model = None
         release()
 
     return scored(text)
