@@ -48,7 +48,7 @@ def test_a_new_record_changes_few_entries(spark, tmp_path):
     times(spark, range(0, 20_000, 10)).coalesce(1).write.parquet(path)
     times(spark, [20_000]).coalesce(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema(TRACE_DDL).option("maxFilesPerTrigger", 1).parquet(path)
-    query = stream_regions(stream, 5000, 4, 40.0, 30, 100).writeStream.foreachBatch(lambda b, i: None) \
+    query = stream_regions(stream, 5000, 4, 40.0, 30, 100).writeStream.foreachBatch(lambda b, i: b.count()) \
         .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination()
     written = [sum(s["numRowsUpdated"] for s in p["stateOperators"]) for p in query.recentProgress if p["numInputRows"]]
