@@ -22,7 +22,7 @@ cloudpickle.register_pickle_by_value(strideflow.llm)
 
 # Texts handed to one vectorised step hold about so many bytes together; a longer text is a step of its own.
 STEP_BYTES = 4_000_000
-# A table of at most so many narrow rows is broadcast: tens of megabytes. Beyond it Spark joins by shuffle.
+# A table of at most so many narrow rows or array entries is broadcast: tens of megabytes. Beyond it Spark joins by shuffle.
 BROADCAST_ROWS = 500_000
 
 
@@ -100,6 +100,7 @@ def matching(texts: pa.Array, pattern: str) -> list[int]:
     return pc.indices_nonzero(pc.match_substring_regex(texts, pattern)).to_pylist()
 
 
-def bounded(staged: DataFrame) -> DataFrame:
-    """A staged table as a broadcast side if its counted rows are few."""
-    return F.broadcast(staged) if staged.count() <= BROADCAST_ROWS else staged
+def bounded(staged: DataFrame, entries: Column | None = None) -> DataFrame:
+    """A staged table as a broadcast side if it is small: its counted rows, or the ``entries`` of their arrays, together."""
+    n = staged.agg(F.count("*").alias("n") if entries is None else F.sum(1 + entries).alias("n")).first()["n"] or 0
+    return F.broadcast(staged) if n <= BROADCAST_ROWS else staged

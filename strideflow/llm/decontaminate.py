@@ -4,10 +4,10 @@ Words are lower-cased runs of letters and digits; shingles are five words long.
 fewer words only matches a document that is the same words.
 
 1. Seeds. A window without a shingle of the item has similarity zero, so only windows that hold one can count.
-   Document shingles are looked up among the item shingles; a hit fixes where a window of the item's size starts.
+   Document shingles are looked up among the item shingles; a hit fixes an item and where a window of its size starts.
 2. Fingerprints. Each such window and each item gets a 64-bit SimHash over its shingles.
 3. Multi-index Hamming blocks. Cut into ``radius + 1`` blocks, two fingerprints within the radius agree in at least
-   one, so an equi-join on (size, block, value) finds all of them; the distance is checked in the join.
+   one, so an equi-join on (item, block, value) finds all of them among the seeded pairs, each once; the distance is checked in the join.
 4. Exact check. Weighted Jaccard similarity of the shingle multisets, ``sum(w * min) / sum(w * max)``, must reach the
    threshold. ``w = ln(1 + items / items with the shingle)``, so wording that many items share counts less; a shingle
    the item lacks weighs as much as one of a single item.
@@ -16,7 +16,7 @@ The default radius of 18 is where a window of about 35 shingles at similarity 0.
 its expected distance is 10 bits with a deviation of 3.
 
 Defined results: null and wordless texts are never contaminated and never contaminate; items with equal texts all
-report; repeated documents all report; a document without an id is reported with a null id, and rows are told apart by id
+report, items without an id with a null one; texts of any length are searched whole; of windows as similar the first is reported; repeated documents all report; a document without an id is reported with a null id, and rows are told apart by id
 and text. Empty tables give an empty result; further columns are ignored by the search and kept by the filter.
 """
 
@@ -73,20 +73,32 @@ def _blocks(fingerprint: str, radius: int) -> Column:
     return F.explode(F.array(*pieces))
 
 
+def first_agreeing(differing: Column, radius: int) -> Column:
+    """The first block in which two fingerprints agree, from the bits in which they differ."""
+    edges = [BITS * i // (radius + 1) for i in range(radius + 2)]
+    found = F.lit(None).cast("int")
+    for k, (a, b) in reversed(list(enumerate(zip(edges, edges[1:])))):
+        mask = ((1 << (b - a)) - 1) << a
+        signed = mask - (1 << 64) if mask >= 1 << 63 else mask
+        found = F.when(differing.bitwiseAND(F.lit(signed).cast("long")) == 0, k).otherwise(found)
+    return found
+
+
 def item_table(benchmark: DataFrame, size: int) -> DataFrame:
-    """item_id, shingle hashes, their weights, number of shingles and fingerprint, one row per item with a word."""
+    """item_no, item_id, shingle hashes, their weights, number of shingles and fingerprint, one row per item with a word."""
     items = benchmark.select("item_id", words(F.col("text")).alias("w")).where("size(w) > 0")
-    items = stage(items.select("item_id", shingle_hashes("w", size).alias("hashes")), "items")
+    items = items.select(F.monotonically_increasing_id().alias("item_no"), "item_id", shingle_hashes("w", size).alias("hashes"))
+    items = stage(items, "items")
     n_items = items.count()
-    held = items.select("item_id", F.explode(F.array_distinct("hashes")).alias("h"))
+    held = items.select("item_no", F.explode(F.array_distinct("hashes")).alias("h"))
     spread = held.groupBy("h").agg(F.count("*").alias("df"))
     weight = F.log(1 + F.lit(float(max(1, n_items))) / F.col("df"))
-    weights = held.join(spread, "h").groupBy("item_id").agg(
+    weights = held.join(spread, "h").groupBy("item_no").agg(
         F.map_from_entries(F.collect_list(F.struct("h", weight))).alias("weights")
     )
     return stage(
-        items.join(weights, "item_id").select(
-            "item_id", "hashes", "weights", F.size("hashes").alias("length"), simhash(F.col("hashes")).alias("item_fp"),
+        items.join(weights, "item_no").select(
+            "item_no", "item_id", "hashes", "weights", F.size("hashes").alias("length"), simhash(F.col("hashes")).alias("item_fp"),
             F.log(F.lit(1.0 + max(1, n_items))).alias("full_weight"),
         ),
         "item-table",
@@ -117,51 +129,57 @@ def contaminated(
     The most similar window is reported, the first one on a tie. ``text_hash`` tells rows with one id apart.
     """
     items = item_table(benchmark.select("item_id", "text"), size)
-    seeds = items.select("length", F.posexplode("hashes").alias("item_pos", "h"))
-    seeds = bounded(stage(seeds.groupBy("h", "length").agg(F.min("item_pos").alias("item_pos")), "seeds"))
+    seeds = items.select("item_no", "length", F.posexplode("hashes").alias("item_pos", "h"))
+    seeds = bounded(stage(seeds.groupBy("h", "item_no", "length").agg(F.min("item_pos").alias("item_pos")), "seeds"))
 
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w"))
     placed = texts.select("doc_id", "text_hash", F.posexplode(shingle_hashes("w", size)).alias("pos", "h"))
-    hits = placed.join(seeds, "h").select("doc_id", "text_hash", "length", (F.col("pos") - F.col("item_pos")).alias("start"))
+    hits = placed.join(seeds, "h").select(
+        F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "item_no", "length", (F.col("pos") - F.col("item_pos")).alias("start")
+    )
+    seeded = stage(hits.distinct(), "seeded-windows")
     # Windows of one text: a handful of numbers, gathered to meet the text once.
-    windows = hits.distinct().groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("length", "start")).alias("windows"))
-    windows = stage(windows.withColumnRenamed("doc_id", "id").withColumnRenamed("text_hash", "hash"), "windows")
-    few = bounded(windows)
+    windows = seeded.select("id", "hash", "length", "start").distinct().groupBy("id", "hash").agg(
+        F.collect_list(F.struct("length", "start")).alias("windows")
+    )
+    few = bounded(stage(windows, "windows"), F.size("windows"))
     same = docs["doc_id"].eqNullSafe(few["id"]) & (F.xxhash64(docs["text"]) == few["hash"])
-    chosen = docs.select("doc_id", "text").join(few, same)
-    shingled = chosen.select(
-        F.col("id").alias("doc_id"), F.col("hash").alias("text_hash"), "windows", words(F.col("text")).alias("w")
-    ).withColumn("all", shingle_hashes("w", size)).select("doc_id", "text_hash", "all", F.explode("windows").alias("at"))
+    chosen = docs.select("doc_id", "text").join(few, same).select("id", "hash", "windows", "text").dropDuplicates(["id", "hash"])
+    shingled = chosen.select("id", "hash", "windows", words(F.col("text")).alias("w")).withColumn("all", shingle_hashes("w", size))
+    shingled = shingled.select("id", "hash", "all", F.explode("windows").alias("at"))
     first = F.greatest(F.col("at.start"), F.lit(0))
     past = F.least(F.col("at.start") + F.col("at.length"), F.size("all"))
     cut = shingled.select(
-        "doc_id", "text_hash", first.alias("start_word"), F.col("at.length").alias("length"),
-        F.slice("all", first + 1, past - first).alias("window"),
-    ).distinct()
+        "id", "hash", F.col("at.start").alias("start"), F.col("at.length").alias("length"), F.slice("all", first + 1, past - first).alias("window"),
+    )
     printed = stage(cut.withColumn("window_fp", simhash(F.col("window"))), "window-fingerprints")
 
-    index = items.select("item_id", "length", "item_fp", _blocks("item_fp", radius).alias("b"))
-    index = index.select("item_id", "length", "item_fp", "b.block", "b.value")
-    asked = printed.select("doc_id", "text_hash", "start_word", "length", "window_fp", _blocks("window_fp", radius).alias("b"))
-    asked = asked.select("doc_id", "text_hash", "start_word", "length", "window_fp", "b.block", "b.value")
-    apart = F.bit_count(F.col("window_fp").bitwiseXOR(F.col("item_fp")))
-    pairs = asked.join(bounded(stage(index, "item-blocks")), ["length", "block", "value"]).where(apart <= radius)
-    pairs = pairs.select("doc_id", "text_hash", "start_word", "length", "item_id", apart.alias("distance")).distinct()
-
-    chosen_windows = printed.select(
-        F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), F.col("start_word").alias("s"),
-        F.col("length").alias("l"), "window",
+    def of_window(df: DataFrame) -> Column:
+        return (
+            df["id"].eqNullSafe(printed["id"]) & (df["hash"] == printed["hash"])
+            & (df["start"] == printed["start"]) & (df["length"] == printed["length"])
+        )
+
+    # A window meets the items that it shares a shingle with, and a pair comes out once, by the first block it agrees in.
+    index = items.select("item_no", "item_fp", _blocks("item_fp", radius).alias("b")).select("item_no", "item_fp", "b.block", "b.value")
+    index = bounded(stage(index, "item-blocks"))
+    asked = seeded.join(printed, of_window(seeded)).select(
+        seeded["id"], seeded["hash"], seeded["start"], seeded["length"], "item_no", "window_fp", _blocks("window_fp", radius).alias("b")
+    ).select("id", "hash", "start", "length", "item_no", "window_fp", "b.block", "b.value")
+    differing = F.col("window_fp").bitwiseXOR(F.col("item_fp"))
+    apart = F.bit_count(differing)
+    same_block = (asked["item_no"] == index["item_no"]) & (asked["block"] == index["block"]) & (asked["value"] == index["value"])
+    pairs = asked.join(index, same_block & (first_agreeing(differing, radius) == asked["block"]) & (apart <= radius)).select(
+        "id", "hash", "start", "length", asked["item_no"], apart.alias("distance")
     )
-    with_window = pairs.join(
-        chosen_windows,
-        F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))
-        & (F.col("start_word") == F.col("s")) & (F.col("length") == F.col("l")),
+    with_window = pairs.join(printed, of_window(pairs)).select(
+        pairs["id"], pairs["hash"], pairs["start"], "item_no", "distance", "window"
     )
-    held = bounded(items.select(F.col("item_id").alias("of"), "hashes", "weights", "full_weight"))
+    held = bounded(items.select(F.col("item_no").alias("of"), "item_id", "hashes", "weights", "full_weight"), F.size("hashes") * 3)
     value = similarity(F.col("window"), F.col("hashes"), F.col("weights"), F.col("full_weight"))
-    checked = with_window.join(held, F.col("item_id").eqNullSafe(F.col("of"))).select(
-        "doc_id", "text_hash", "item_id", "start_word", "distance", value.alias("similarity"),
-        (F.size("window") + F.lit(size - 1)).alias("n_words"),
+    checked = with_window.join(held, F.col("item_no") == F.col("of")).select(
+        F.col("id").alias("doc_id"), F.col("hash").alias("text_hash"), "item_id", F.greatest("start", F.lit(0)).alias("start_word"),
+        "distance", value.alias("similarity"), (F.size("window") + F.lit(size - 1)).alias("n_words"),
     ).where(F.col("similarity") >= least)
     best = checked.groupBy("doc_id", "text_hash", "item_id").agg(
         F.min(F.struct((-F.col("similarity")).alias("m"), "start_word", "distance", "n_words")).alias("best")

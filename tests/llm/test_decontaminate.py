@@ -71,3 +71,39 @@ def test_no_python_in_the_plan(spark, docs_of):
     benchmark = spark.createDataFrame(ITEMS, "item_id long, text string")
     plan = D.contaminated(docs_of([(1, prose(20))]), benchmark)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_recall_near_the_threshold(spark, docs_of):
+    """Windows with a few words changed, of similarity 0.8 and a little more: the Hamming radius hardly loses one."""
+    local = random.Random(5)
+    items = [(i, " ".join(f"v{local.randrange(3000)}" for _ in range(40 + i % 25))) for i in range(60)]
+    rows = []
+    for k in range(400):
+        words = items[k % 60][1].split()
+        cut = local.randrange(1, max(2, len(words) // 9))
+        words = words[cut:] if k % 2 else [*words[:-cut], "zz"]
+        rows.append((k, " ".join([*(f"u{local.randrange(99)}" for _ in range(8)), *words, *(f"u{local.randrange(99)}" for _ in range(8))])))
+    want = {(d, d % 60) for d, text in rows if 0.8 <= best(text, items[d % 60][1], items) < 0.95}
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in D.contaminated(docs_of(rows), benchmark).collect()}
+    assert len(want) > 100 and len(want & got) >= 0.99 * len(want)
+    # each pair of a window and the item that seeded it is one row at most
+    plan = D.contaminated(docs_of(rows), benchmark)
+    assert plan.count() == len(got)
+
+
+def test_items_without_an_id_are_found(spark, docs_of):
+    benchmark = spark.createDataFrame([(None, "one two three four five six"), (2, "seven eight nine ten eleven twelve")], "item_id long, text string")
+    found = D.contaminated(docs_of([(1, "x one two three four five six y"), (2, "seven eight nine ten eleven twelve")]), benchmark).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(1, None), (2, 2)}
+
+
+def test_the_first_agreeing_block(spark):
+    from pyspark.sql import functions as F
+
+    values = [0, -1, 1, 1 << 62, -(1 << 63), *[rng.randrange(-(1 << 63), 1 << 63) for _ in range(200)]]
+    edges = [64 * i // 19 for i in range(20)]
+    got = {r.v: r.k for r in spark.createDataFrame([(v,) for v in values], "v long").withColumn("k", D.first_agreeing(F.col("v"), 18)).collect()}
+    for v in values:
+        agree = [k for k, (a, b) in enumerate(zip(edges, edges[1:])) if ((v % (1 << 64)) >> a) % (1 << (b - a)) == 0]
+        assert got[v] == (agree[0] if agree else None)
