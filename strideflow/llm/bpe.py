@@ -8,10 +8,14 @@ that what stands between two white spaces is always encoded whole. The tokenizer
 space (its pre-tokenizer drops it, and no normalisation composes across it), so this agrees exactly
 with encoding the whole text. Inside a chunk, distinct words are encoded once too.
 
+A tokenizer that does look across white space (one that keeps blanks in its tokens, say) is found out by a few probes and
+applied to whole texts, without chunks; one that keeps cases gets its words as they are.
+
 Chunks are shared within a task, not across tasks: one table of distinct chunks for all would move every text through a
 shuffle and its ids back, about three times the input. Memory in a task is bounded: both stores start anew when full.
 
-Defined results: a null text counts as empty; an empty text has no ids, and the digests are those of nothing; repeated rows
+Defined results: a null text counts as empty; an empty text has no ids, and the digests are those of nothing; equal texts have equal
+digests; a text of any length is encoded whole, in steps of its own; repeated rows
 and rows without an id are encoded like any other; further columns are ignored. An empty table gives an empty result.
 """
 
@@ -40,6 +44,8 @@ CHUNKS_KEPT, WORDS_KEPT = 10_000, 150_000
 BLOCK_BYTES = 2_500_000
 GAPS = re.compile(r"[ \t\r\n]")
 # Characters below U+0300 never compose with each other.
+# Words, letter cases, marks and white spaces that a tokenizer is tried with.
+PROBES = ("alpha Beta gamma", "one  two\tthree\nfour", "Hello, World. It's 12,5 % (x-y) Żółć ÉTÉ", " lead and trail ", "a.b c,d ... e")
 NOT_PLAIN = r"[^\x00-\x{2ff}]|<\|"
 
 
@@ -88,10 +94,18 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        # What the chunks and ``plain`` take for granted is asked of the tokenizer itself.
+        self.by_words = all(self._ids(t) == [i for w in t.split() for i in self._ids(w)] for t in PROBES)
+        self.plain = all(self._ids(t) == self._ids(t.lower()) for t in PROBES) and all(
+            self._ids(w + end) == [*self._ids(w), *self._ids(end)] for w in PROBES[0].split() for end in ".,"
+        )
         self.pieces = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size(True))]
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, tuple] = {}
 
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def learn_words(self, words: list[str]) -> None:
         """Encode the words that are not known yet; ids are kept as little-endian bytes."""
         new = [w for w in words if w not in self.words]
@@ -120,7 +134,8 @@ class Encoder:
             tails.append(chunk[last + 1:])
         if not heads:
             return
-        lists = pc.split_pattern(plain(pa.array(inners, pa.string())), " ")
+        between = pa.array(inners, pa.string())
+        lists = pc.split_pattern(plain(between) if self.plain else pc.replace_substring_regex(between, r"[\t\r\n]", " "), " ")
         words = lists.flatten().dictionary_encode()
         index = words.indices.to_numpy(zero_copy_only=False)
         distinct = words.dictionary.to_pylist()
@@ -150,6 +165,10 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
+        if not self.by_words:
+            for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+                yield np.array(e.ids, "<u4").tobytes()
+            return
         chunked = []
         for text in texts:
             ends = cuts(text)

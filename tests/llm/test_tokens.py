@@ -55,3 +55,26 @@ def test_table(odd, nothing):
 
     assert sorted(map(tuple, out), key=str) == sorted(map(row, odd.collect()), key=str)
     assert bpe.encode_digests(nothing).count() == 0
+
+
+def test_other_tokenizers_are_found_out(tmp_path):
+    import json
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    texts = ["Hello World, it IS.\n\n  Two  blanks", "", " ", "ABC abc. Abc, x\ty", "ünï CÖDÉ 漢字 😀 end."] * 3
+    lower = public_tokenizers.path("word_bpe_49k.json")
+    cased = json.load(open(lower))
+    cased["normalizer"] = {"type": "NFC"}
+    other = str(tmp_path / "cased.json")
+    json.dump(cased, open(other, "w"))
+    for path, by_words, plain in ((lower, True, True), (other, True, False), (public_tokenizers.path("byte_bpe_50k.json"), False, False)):
+        encoder = bpe.Encoder(path)
+        assert (encoder.by_words, encoder.plain) == (by_words, plain), path
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.no_truncation()
+        got = [np.frombuffer(ids, "<u4").tolist() for ids in encoder.encode(texts)]
+        assert got == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert [encoder.decode(ids) for ids in encoder.encode(texts)] == [tokenizer.decode(i, skip_special_tokens=False) for i in got]
