@@ -38,6 +38,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RANGE_BYTES, GAP_BYTES = 8 << 20, 64 << 10
 # Index rows are dealt to tasks by stretches of so many bytes of an archive.
 STRETCH_BYTES = 32 << 20
+# A header is read with so many bytes, or with so many after short records.
+AHEAD_BYTES = 2 << 20
 HEADER_BYTES = 16 << 10
 
 INDEX = "archive string, offset long, length long, url string, digest string, page_id string, record_type string"
@@ -123,16 +125,20 @@ def _digest(head: dict[str, str]) -> str:
 
 
 def walk(file: pa.NativeFile, size: int) -> Iterator[tuple[int, int, dict[str, str]]]:
-    """Offset, length and header of each record; blocks are skipped, not read."""
-    offset = 0
+    """Offset, length and header of each record. Short records come many to a read; the blocks of long ones are skipped."""
+    end_of_header = END.encode()
+    offset, base, held, length = 0, 0, b"", 0
     while offset < size:
-        want = HEADER_BYTES
-        while (stop := (raw := file.read_at(min(want, size - offset), offset)).find(END.encode())) < 0:
-            if want >= size - offset:
+        want = HEADER_BYTES if 4 * length > AHEAD_BYTES else AHEAD_BYTES
+        stop = held.find(end_of_header, offset - base) if offset < base + len(held) else -1
+        while stop < 0:
+            base, held = offset, file.read_at(min(want, size - offset), offset)
+            stop = held.find(end_of_header)
+            if stop < 0 and want >= size - offset:
                 raise ValueError(f"unfinished record at {offset}")
             want *= 4
-        head = _header(raw[:stop])
-        length = stop + 4 + int(head["Content-Length"]) + 4
+        head = _header(held[offset - base:stop])
+        length = base + stop - offset + 4 + int(head["Content-Length"]) + 4
         yield offset, length, head
         offset += length
 

@@ -41,3 +41,39 @@ def test_ranges_are_coalesced():
 
 def test_empty_table(spark):
     assert warc.archive_round_trip(pages(spark, [])).count() == 0
+
+
+def test_the_walk_reads_short_records_together_and_skips_long_ones():
+    import io
+    import random
+
+    class Counted(io.BytesIO):
+        reads, amount = 0, 0
+
+        def read_at(self, n, offset):
+            self.reads, self.amount = self.reads + 1, self.amount + n
+            self.seek(offset)
+            return self.read(n)
+
+    def record(n, extra=0):
+        return f"WARC/1.1\r\nX: {'y' * extra}\r\nContent-Length: {n}\r\n\r\n".encode() + b"z" * n + b"\r\n\r\n"
+
+    rng = random.Random(3)
+    for sizes in ([(rng.randrange(3000), 0) for _ in range(5000)], [(6_000_000, 0)] * 8, [(0, 0)],
+                  [(rng.choice([0, 10, 700_000, 3_000_000]), rng.choice([0, 40_000])) for _ in range(60)]):
+        records = [record(*x) for x in sizes]
+        file = Counted(b"".join(records))
+        total = sum(map(len, records))
+        found = list(warc.walk(file, total))
+        assert [n for _, n, _ in found] == list(map(len, records))
+        assert [o for o, _, _ in found] == [sum(map(len, records[:i])) for i in range(len(records))]
+        if sizes[0] == (6_000_000, 0):
+            assert file.amount < total / 10
+        elif len(sizes) == 5000:
+            assert file.reads < 10
+    try:
+        list(warc.walk(Counted(b"WARC/1.1\r\nContent-Length: 3"), 28))
+    except ValueError as e:
+        assert "unfinished" in str(e)
+    else:
+        raise AssertionError
