@@ -17,7 +17,7 @@ from the trie (one of 256 values per shard), unseen ones follow from the counts
 Within a context words are told apart by 32 bits of their hash.
 
 Defined results: null and empty texts have one token, the end; rows without an id are learnt from; repeated rows are learnt
-from as often as they occur. If nothing can be learnt, N is 0 and every token is unknown. An empty table gives an
+from as often as they occur; equal texts have equal scores; a text of any length is whole in a block, of its own if it is long. If nothing can be learnt, N is 0 and every token is unknown. An empty table gives an
 empty result; further columns are ignored.
 """
 

@@ -9,7 +9,7 @@ and against references of a minimum length. DataFrame functions only.
 
 Defined results: null and empty texts have no words and fail the base rules; rows without an id are judged like any
 other; repeated rows stay repeated (and count twice in the reference, as they do in the corpus). An empty table gives an
-empty result; further columns are ignored.
+empty result; further columns are ignored. A distance equal to its limit passes; texts of any length are counted whole.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@
 
 Defined results: a null text counts as empty; a text without words has fingerprint zero and is linked like any other;
 rows without an id are linked and get the component id of the others, or null if none has an id; repeated rows stay
-repeated. An empty table gives an empty result; further columns are ignored.
+repeated. A bit that exactly half of the hashes have is not set; all fingerprints at the same distance are linked alike; texts of any
+length are hashed whole, in bounded steps. An empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ HDFS, S3 and GCS paths.
 
 Defined results: a null html is an empty payload; a null or odd URL is written percent-encoded or left out; a null
 page id is written as no id and read back as null; rows that tie for the largest id of a payload (repeated rows) are
-all responses; copies whose ids are all null are all responses. An empty table gives an empty result; further
+all responses; copies whose ids are all null are all responses; a payload of any length is one record, read by one range. An empty table gives an empty result; further
 columns are ignored.
 """
 
@@ -38,9 +38,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RANGE_BYTES, GAP_BYTES = 8 << 20, 64 << 10
 # Index rows are dealt to tasks by stretches of so many bytes of an archive.
 STRETCH_BYTES = 32 << 20
-# A header is read with so many bytes, or with so many after short records.
-AHEAD_BYTES = 2 << 20
-HEADER_BYTES = 16 << 10
+# A header is read with so many bytes, or with so many after a short record.
+HEADER_BYTES, AHEAD_BYTES = 16 << 10, 2 << 20
 
 INDEX = "archive string, offset long, length long, url string, digest string, page_id string, record_type string"
 RECORD = "archive string, offset long, page_id string, url string, record_type string, refers_to string, payload_bytes long, payload_digest string, payload binary"
