@@ -61,3 +61,26 @@ def test_latest_filters_samples_before_they_are_shuffled(traces):
     text = plan(latest_traces(traces, 10))
     assert "BroadcastHashJoin" in text and "LeftSemi" in text
     assert len(exchanges(text)) == 1
+
+
+def test_recognition_features_shuffle_samples_for_clusters_and_for_windows_only(traces, pois, monkeypatch):
+    from strideflow.operators import clustering
+    from strideflow.plans import recognition
+
+    staged = []
+    for module in (clustering, recognition):
+        stage = module.stage
+        monkeypatch.setattr(module, "stage", lambda df, name, stage=stage: (staged.append((name, plan(df))), stage(df, name))[-1])
+    text = plan(recognition.recognition_features(traces, pois, True))
+    assert [n for n, _ in staged] == ["chunk-clusters", "local-clusters", "regions"]
+    # once to the chunks; once, from the table of that step, to meet the cluster numbers of their chunk
+    assert len(exchanges(staged[0][1])) == 1
+    assert len(re.findall(r"FileScan parquet .*chunk-clusters", staged[2][1])) == 1
+    assert "CartesianProduct" not in text and "NestedLoop" not in text
+
+
+def test_shares_are_weighted_without_a_task_for_a_whole_scope(traces, pois):
+    text = plan(P.poi_tfidf(P.poi_map(traces, pois), ["user", "dominanthand"]))
+    assert "CartesianProduct" not in text and "NestedLoop" not in text
+    # Rows meet the weights of their scope by a salt too.
+    assert any("salt" in e for e in exchanges(text)) or "BroadcastHashJoin" in text
