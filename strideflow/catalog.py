@@ -509,6 +509,25 @@ def recognise_all(spark, sf_dir):
     )
 
 
+def recognise_forest(spark, sf_dir):
+    """Recognition with forests trained on the records' own labels, by the models and by their trees as data.
+
+    Per variant, the windows, those that both call the same, and those called by a label that the forest was taught.
+    """
+    base = scratch_path(spark, "models")
+    traces, pois = traces_view(spark, sf_dir), poi_view(spark, sf_dir)
+    training.run_training(traces, pois, base, (M.RANDOM_FOREST,))
+    rows = stage(src.latest_traces(traces), "latest")
+    called = [recognition.recognise_latest(rows, pois, m, RUN_START) for m in (M.load_models(base), M.compiled_trees(spark, base))]
+    same = ["user", "dominanthand", "locationaware", "model", "window_start", "window_end"]
+    both = called[0].join(called[1].withColumnRenamed("activity", "again").drop("timestamp"), same)
+    taught = [r["activity"] for r in traces.select("activity").distinct().collect()]  # eight at most
+    return both.groupBy("locationaware", "dominanthand").agg(
+        F.count("*").alias("n_windows"), F.count_if(F.col("activity") == F.col("again")).alias("n_same"),
+        F.count_if(F.col("activity").isin(taught)).alias("n_taught"),
+    )
+
+
 # --- streams ----------------------------------------------------------------------------------
 
 # Files per micro-batch, and micro-batches of the records.
@@ -701,6 +720,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "recognise": recognise,
     "recognition_results": recognition_results,
     "recognise_all": recognise_all,
+    "recognise_forest": recognise_forest,
     "stream_recognise": stream_recognise_,
     "stream_regions": stream_regions_,
     "stream_segments": stream_segments_,

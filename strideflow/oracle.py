@@ -525,6 +525,8 @@ ORACLE: dict[str, str] = {
     "recognise": _recognise(),
     "recognition_results": _recognised(False, _result(False)),
     "recognise_all": _results(),
+    "recognise_forest": "SELECT locationaware, dominanthand, count(*) AS n_windows, count(*) AS n_same, count(*) AS n_taught"
+    f" FROM ({_results()}) GROUP BY locationaware, dominanthand",
     "stream_recognise": _results(),
     "stream_regions": with_(T, LATEST_ALL, *dbscan(source="recent"), recursive=True) + f"SELECT {RECORD}, cluster_id FROM clus",
     "stream_segments": with_(T, seg()) + SEGMENTS_OUT.replace("seg_id, min", "min"),
