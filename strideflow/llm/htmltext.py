@@ -34,7 +34,7 @@ import html
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -80,12 +80,20 @@ MENU_WORDS = frozenset(
     "nav navbar navigation menu menubar submenu breadcrumb breadcrumbs pagination pager toolbar search searchbox searchform login signin "
     "signup skip skiplink sitenav topnav mainnav".split()
 )
-HEADER_WORDS = frozenset("header masthead topbar".split())
+HEADER_WORDS = frozenset("header masthead topbar logo brand branding tagline sitetitle".split())
 HARD_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adbox adunit sponsor sponsored sponsors promo promotion banner footer "
-    "colophon copyright sidebar sidebars aside rail widget widgets notice notices cookie cookies consent gdpr alert popup modal "
-    "overlay newsletter subscribe subscription paywall comment comments commentlist discussion disqus respond reply replies "
-    "share sharing social related recommended recommendations trending outbrain taboola disclaimer toast".split()
+    "colophon copyright imprint impressum legal sidebar sidebars aside rail widget widgets notice notices cookie cookies consent gdpr "
+    "privacy alert popup modal overlay newsletter subscribe subscription paywall announcement announcements disclaimer toast infobar "
+    "comment comments commentlist commentbox discussion disqus respond response responses reply replies guestbook "
+    "share sharing social related recommended recommendations recirculation trending popular mostread teaser teasers outbrain taboola "
+    "werbung anzeige hinweis kommentar kommentare publicite commentaire commentaires publicidad anuncio anuncios aviso comentario "
+    "comentarios".split()
+)
+# Headings above the readers' comments.
+COMMENTS_HEADING = re.compile(
+    r"(?:\d+\s+|(?:reader|user|your|all|view|show|leave|write|post)\w*\s+(?:a\s+|all\s+)?)*"
+    r"(?:comments?|repl(?:y|ies)|kommentare?|leserkommentare?|commentaires?|comentarios?)\s*(?:\(\d+\)|:|\d+)?", re.I,
 )
 # Whole names of a class or id, without hyphens, that mark the main part where no article does.
 MAIN_NAMES = frozenset(
@@ -121,6 +129,7 @@ class Element:
     place: str | None = None
     part: int = 0
     silent: bool = False
+    began: int = 0  # blocks of articles before it
 
 
 PAGE = Element("")
@@ -150,7 +159,7 @@ class Walk:
         self.stack: list[Element] = []
         self.at: dict[str, list[int]] = defaultdict(list)  # where the stack holds each kind of element
         self.pieces: list[str] = []
-        self.linked = self.breaks = 0
+        self.linked = self.breaks = self.main_blocks = 0
         self.link_depth = -1  # depth of the stack where the open link began
 
     def top(self) -> Element:
@@ -177,6 +186,7 @@ class Walk:
             top = self.top()
             solid = len(text) - text.count(" ")
             heading = any(e.tag in HEADINGS for e in self.stack[-3:])
+            self.main_blocks += top.part == ARTICLE and top.place is None
             self.blocks.append(Block(text, min(1.0, self.linked / solid), top.place, top.part, heading))
         self.pieces.clear()
         self.linked = self.breaks = 0
@@ -227,8 +237,11 @@ class Walk:
             part = ARTICLE
         elif tag == "main" or role == "main" or tag not in ("html", "body") and tag not in INLINE and whole & MAIN_NAMES:
             part = MAIN
+        outer = self.at["article"]
+        if part == ARTICLE and outer and self.main_blocks > self.stack[outer[-1]].began:
+            place = HARD  # an article within the text of another is a reader's comment
         if part and place is None and above.place != HARD:
-            return Element(tag, None if tag in ("article", "main") else above.place, max(part, above.part), silent)
+            return Element(tag, None if tag in ("article", "main") else above.place, max(part, above.part), silent, self.main_blocks)
         place = HARD if HARD in (place, above.place) else place or above.place
         return Element(tag, place, above.part, silent)
 
@@ -315,8 +328,25 @@ def first_label(block: Block, marked: int, known: bool, strict: bool) -> str:
     return NEAR if density >= STOP_LOW else BAD
 
 
+def commented(found: list[Block]) -> list[Block]:
+    """The blocks with those below a heading of readers' comments placed among them."""
+    out, below = [], False
+    for block in found:
+        below = below or block.heading and not block.place and COMMENTS_HEADING.fullmatch(block.text) is not None
+        out.append(replace(block, place=HARD) if below and not block.place else block)
+    # On a page that is nothing else the heading means something else.
+    return out if any(not b.place for b in out) else found
+
+
+def over_links(found: list[Block], i: int) -> bool:
+    """Whether a heading stands over a list of links."""
+    below = next((b for b in found[i + 1:i + 9] if not b.place), None)
+    return below is not None and not below.heading and below.link > LINK_ARTICLE
+
+
 def decided(found: list[Block]) -> list[bool]:
     """Whether each block belongs to the main text, after the second pass."""
+    found = commented(found)
     marked = max((b.part for b in found if b.place is None), default=0)
     known = any(stop_density(b.text) >= STOP_LOW for b in found if len(b.text) >= SHORT and not b.place and b.link <= LINK_HIGH)
     labels = [first_label(b, marked, known, True) for b in found]
@@ -324,6 +354,7 @@ def decided(found: list[Block]) -> list[bool]:
         labels = [first_label(b, marked, known, False) for b in found]
     if GOOD not in labels:
         labels = [GOOD if x == NEAR else x for x in labels]
+    labels = [BAD if x == GOOD and found[i].heading and over_links(found, i) else x for i, x in enumerate(labels)]
     n = len(labels)
     # Nearest decided block before and after each block; the edges are bad.
     before, after = [(-1, BAD)] * n, [(n, BAD)] * n

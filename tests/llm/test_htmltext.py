@@ -37,6 +37,11 @@ def page(body):
     f'<div class="menu">{MENU}</div><div>{STORY}</div><div class="promo">{PARAGRAPH}</div>' + READERS,
     f"<div>Advertisement</div>{MENU}<div>{STORY}</div>{FOOT}",
     f"<DIV CLASS='Content has-sidebar'>{STORY}</DIV><div style='display: none'>{PARAGRAPH}</div><p hidden>{PARAGRAPH}</p>",
+    f"<article>{STORY}<article><p>{SECOND}</p></article><article><p>{SECOND}</p></article></article>",
+    f"<article>{STORY}<div><h3>2 Comments</h3><p>{SECOND}</p><p>the end</p></div></article>{FOOT}",
+    f"<div>{STORY}</div><h2>Kommentare (3)</h2><div><p>{SECOND}</p></div>",
+    f"<article>{STORY}<h3>More to read</h3><ul><li><a href=/1>one of the two</a></li><li><a href=/2>two</a></li></ul></article>",
+    f'<div class="logo">The house</div><article>{STORY}</article><div class="teaser"><h4>Also</h4><p>{SECOND}</p></div><div class=impressum>{SECOND}</div>',
     f"<article>{STORY}<ul><li><a href=/1>one</a><li><a href=/2>two</a></ul><noscript>{SECOND}</noscript></article>",
 ])
 def test_the_article_of_pages_in_many_shapes(body):
@@ -57,6 +62,13 @@ def test_blocks_characters_and_white_space():
     assert text("<p>seen</p><script>never <p>") == text("<p>seen</p><!-- never <p>") == "seen"
 
 
+def test_an_article_about_comments_stays():
+    text = H.main_text(f"<article><h1>Comments</h1><p>{PARAGRAPH}</p></article>")
+    assert text == f"Comments\n{PARAGRAPH.strip()}"
+    two = H.main_text(f"<main><article><h2>One</h2><p>{PARAGRAPH}</p></article><article><h2>Two</h2><p>{SECOND}</p></article></main>")
+    assert two == f"One\n{PARAGRAPH.strip()}\nTwo\n{SECOND.strip()}"
+
+
 def test_short_blocks_inherit_from_the_nearest_decided():
     plain = [H.Block("x" * 10, 0.0, None, 0, False), H.Block(PARAGRAPH, 0.0, None, 0, False), H.Block("link", 1.0, None, 0, False)]
     short, good, bad = plain
