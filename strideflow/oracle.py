@@ -320,6 +320,7 @@ BUCKET = (
 )
 LABEL = f"CAST({ACTIVITY_ID} AS DOUBLE)"
 PERIOD_ID = "CASE " + " ".join(f"WHEN peak_z < {most} THEN {ACTIVITIES[name]}e0" for most, name in PERIODS) + " END"
+OWN_LABELS = "count(DISTINCT activity) AS n_labels, count(*) AS n_known"
 PERIOD = "CASE " + " ".join(f"WHEN peak_z < {most} THEN '{name}'" for most, name in PERIODS) + " END"
 
 
@@ -332,10 +333,12 @@ def _per_variant(select):
 
 
 def _predicted():
-    return _per_variant(
-        f"SELECT {cols(VECTOR_ID)}, {PERIOD_ID} AS label, {PERIOD_ID} AS prediction, {PERIOD} AS predicted, LOCATED AS locationaware"
-        f" FROM feat WHERE {BUCKET} >= 700"
-    )
+    """Test rows under the period rule, which a tree must find, and under their own labels; what is guessed of these is only known."""
+    rule = f"{PERIOD_ID} AS label, {PERIOD_ID} AS prediction, {PERIOD} AS predicted, 'period' AS taught, true AS known"
+    own = f"{LABEL} AS label, CAST(NULL AS DOUBLE) AS prediction, CAST(NULL AS VARCHAR) AS predicted, 'activity' AS taught, true AS known"
+    return _per_variant("\nUNION ALL\n".join(
+        f"SELECT {cols(VECTOR_ID)}, {shown}, LOCATED AS locationaware FROM feat WHERE {BUCKET} >= 700" for shown in (rule, own)
+    ))
 
 
 def _test_counts(columns):
@@ -513,11 +516,11 @@ ORACLE: dict[str, str] = {
         f"avg(CASE WHEN {ACTIVITY_ID} = CASE WHEN cluster_id = -1 AND max_speed > 1 THEN 7 ELSE 0 END THEN 1e0 ELSE 0e0 END)",
         "accuracy") + " FROM feat GROUP BY user",
     "model_path": _model_path(),
-    "train_decision_tree": _test_counts("count(*) AS n_test, 1e0 AS accuracy"),
+    "train_decision_tree": _test_counts(f"'{DECISION_TREE}' AS algorithm, count(*) AS n_test, 1e0 AS accuracy, {OWN_LABELS}"),
     "train_random_forest": _test_counts("count(*) AS n_test, true AS learnt"),
     "train_naive_bayes": _bayes(),
-    "confusion_matrix": f"SELECT label, prediction, count(*) AS n FROM ({_predicted()}) GROUP BY label, prediction",
-    "predict_activity": _predicted(),
+    "confusion_matrix": f"SELECT label, prediction, count(*) AS n FROM ({_predicted()}) WHERE taught = 'period' GROUP BY label, prediction",
+    "predict_activity": f"SELECT * EXCLUDE (taught, known) FROM ({_predicted()}) WHERE taught = 'period'",
     "load_models": _test_counts("count(*) AS n_test, count(*) AS n_same, true AS learnt"),
     "compiled_forest": _per_variant("SELECT LOCATED AS locationaware, dominanthand, count(*) AS n_rows, count(*) AS n_same FROM feat GROUP BY dominanthand"),
     "train_models": _trained("learnt"),
