@@ -517,7 +517,7 @@ ORACLE: dict[str, str] = {
         "accuracy") + " FROM feat GROUP BY user",
     "model_path": _model_path(),
     "train_decision_tree": _test_counts(f"'{DECISION_TREE}' AS algorithm, count(*) AS n_test, 1e0 AS accuracy, {OWN_LABELS}"),
-    "train_random_forest": _test_counts("count(*) AS n_test, true AS learnt"),
+    "train_random_forest": _test_counts(f"'{RANDOM_FOREST}' AS algorithm, count(*) AS n_test, true AS learnt, {OWN_LABELS}"),
     "train_naive_bayes": _bayes(),
     "confusion_matrix": f"SELECT label, prediction, count(*) AS n FROM ({_predicted()}) WHERE taught = 'period' GROUP BY label, prediction",
     "predict_activity": f"SELECT * EXCLUDE (taught, known) FROM ({_predicted()}) WHERE taught = 'period'",
