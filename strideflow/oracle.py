@@ -519,7 +519,7 @@ ORACLE: dict[str, str] = {
     "train_decision_tree": _test_counts(f"'{DECISION_TREE}' AS algorithm, count(*) AS n_test, 1e0 AS accuracy, {OWN_LABELS}"),
     "train_random_forest": _test_counts(f"'{RANDOM_FOREST}' AS algorithm, count(*) AS n_test, true AS learnt, {OWN_LABELS}"),
     "train_naive_bayes": _bayes(),
-    "confusion_matrix": f"SELECT label, prediction, count(*) AS n FROM ({_predicted()}) WHERE taught = 'period' GROUP BY label, prediction",
+    "confusion_matrix": f"SELECT taught, label, prediction, count(*) AS n FROM ({_predicted()}) GROUP BY taught, label, prediction",
     "predict_activity": f"SELECT * EXCLUDE (taught, known) FROM ({_predicted()}) WHERE taught = 'period'",
     "load_models": _test_counts("count(*) AS n_test, count(*) AS n_same, true AS learnt"),
     "compiled_forest": _per_variant("SELECT LOCATED AS locationaware, dominanthand, count(*) AS n_rows, count(*) AS n_same FROM feat GROUP BY dominanthand"),
