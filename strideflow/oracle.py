@@ -521,7 +521,9 @@ ORACLE: dict[str, str] = {
     "train_naive_bayes": _bayes(),
     "confusion_matrix": f"SELECT taught, label, prediction, count(*) AS n FROM ({_predicted()}) GROUP BY taught, label, prediction",
     "predict_activity": f"SELECT * EXCLUDE (taught, known) FROM ({_predicted()}) WHERE taught = 'period'",
-    "load_models": _test_counts("count(*) AS n_test, count(*) AS n_same, true AS learnt"),
+    "load_models": _test_counts(
+        "count(*) AS n_test, count(*) AS n_same, true AS learnt, count(*) AS n_right, count(*) AS n_own_same, count(*) AS n_own_known"
+    ),
     "compiled_forest": _per_variant("SELECT LOCATED AS locationaware, dominanthand, count(*) AS n_rows, count(*) AS n_same FROM feat GROUP BY dominanthand"),
     "train_models": _trained("learnt"),
     "run_training": _trained("measured"),
