@@ -31,6 +31,8 @@ NO_TIME = -(2**62)
 # all records and Spark drops none of them: what is late is for the operators to say.
 FAR_DAYS = 36_500
 FAR_MS = FAR_DAYS * 24 * 3600 * 1000
+# Records of a state entry.
+ENTRY_RECORDS = 1000
 UNITS = {"millisecond": 1, "second": 1000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000}
 
 
@@ -66,7 +68,14 @@ def split_by_clock(traces: DataFrame, ahead_ms: int, now: Column | None = None)
 
 def batch_of(batches: Iterator[pd.DataFrame], columns: list[str]) -> pd.DataFrame:
     """All rows of one key in a micro-batch."""
-    return pd.concat([b[columns] for b in batches], ignore_index=True)
+    parts = [b[columns] for b in batches]
+    return parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+
+
+def plain(values: pd.Series) -> list:
+    """The values of a column as Python has them, None for a missing one."""
+    listed, missing = values.tolist(), values.isna().to_numpy()
+    return [None if m else v for v, m in zip(listed, missing.tolist())] if missing.any() else listed
 
 
 class Closing(StatefulProcessor):
@@ -142,7 +151,7 @@ class Segments(Closing):
 
 
 class Windows(Closing):
-    """Records of a stream whose window is open."""
+    """Records of a stream whose window is open, by columns, some hundreds to a state entry."""
 
     def __init__(self, keys: list[str], payload: list[tuple[str, str]], gap_ms: int, duration_ms: int, delay_ms: int):
         super().__init__(delay_ms)
@@ -151,7 +160,7 @@ class Windows(Closing):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getListState("open", ", ".join(f"{n} {t}" for n, t in [("timestamp", "long"), *self.payload]))
+        self.open = handle.getListState("open", ", ".join(f"{n} array<{t}>" for n, t in [("timestamp", "long"), *self.payload]))
         # The last record that came out, the start of its segment, the horizon, the timer.
         self.at = handle.getValueState("at", "last_ts long, seg_start long, horizon long, wake long")
 
@@ -164,61 +173,67 @@ class Windows(Closing):
 
     def step(self, key: tuple, new: pd.DataFrame | None, watermark: int) -> Iterator[pd.DataFrame]:
         names = ["timestamp", *[n for n, _ in self.payload]]
-        last_ts, seg_start, seen, old = self.at.get() or (None, None, None, None)
+        at = self.at.get()
+        last_ts, seg_start, seen, old = at or (None, None, None, None)
         horizon = self.horizon_before(seen, watermark)
-        held = list(self.open.get())
-        parts = [pd.DataFrame(held, columns=names)] if held else []
+        # Every call to the store takes its time, so a stream that has nothing there is not asked for.
+        held = list(self.open.get()) if at else []
+        # One frame, so that a column that is missing in one entry has the type it has in the others.
+        parts = [pd.DataFrame({n: [v for entry in held for v in entry[i]] for i, n in enumerate(names)})] if held else []
         if new is not None:
-            late = new["timestamp"] <= horizon
+            late = (new["timestamp"] <= horizon).to_numpy()
             if late.any():
                 yield self.out(key, new[late], "late", None, None)
             if not late.all():
-                parts.append(new[~late])
+                parts.append(new[~late] if late.any() else new)
                 horizon = max(horizon, int(new["timestamp"].max()) - self.delay_ms)
         if not parts:
             if last_ts is not None and last_ts + self.gap_ms >= horizon:  # the segment may go on
                 self.at.update((last_ts, seg_start, horizon, self.wake(self.handle, old, last_ts + self.gap_ms, watermark)))
             else:
-                self.forget(old, watermark)
+                self.forget(old, watermark, at, held)
             return
-        rows = pd.concat(parts, ignore_index=True).sort_values("timestamp", kind="stable", ignore_index=True)
+        rows = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
         ts = rows["timestamp"].to_numpy(np.int64)
+        if (ts[1:] < ts[:-1]).any():
+            rows = rows.iloc[np.argsort(ts, kind="stable")]
+            ts = rows["timestamp"].to_numpy(np.int64)
         before = np.concatenate([[ts[0] - self.gap_ms - 1 if last_ts is None else last_ts], ts[:-1]])
         starts = np.maximum.accumulate(np.where(ts - before > self.gap_ms, ts, NO_TIME if seg_start is None else seg_start))
         win = np.maximum((ts - starts + self.duration_ms - 1) // self.duration_ms - 1, 0)
         ends = starts + (win + 1) * self.duration_ms
         # A segment is over once the horizon is beyond its last record plus the gap.
-        seg_last = pd.Series(ts).groupby(starts).transform("max").to_numpy()
+        seg_last = ts[np.searchsorted(starts, starts, "right") - 1]
         closed = (ends < horizon) | (seg_last + self.gap_ms < horizon)
         n = len(ts) if closed.all() else int(np.argmin(closed))
         if n:
             yield self.out(key, rows.iloc[:n], "window", starts[:n], win[:n])
             last_ts, seg_start = int(ts[n - 1]), int(starts[n - 1])
         if n == len(ts) and last_ts + self.gap_ms < horizon:
-            self.forget(old, watermark)
+            self.forget(old, watermark, at, held)
             return
         rest = rows.iloc[n:]
         if len(rest):
-            self.open.put([tuple(r) for r in rest.astype(object).where(rest.notna(), None).itertuples(index=False, name=None)])
-        else:
+            columns = [plain(rest[name]) for name in names]
+            self.open.put([tuple(c[i:i + ENTRY_RECORDS] for c in columns) for i in range(0, len(rest), ENTRY_RECORDS)])
+        elif held:
             self.open.clear()
-        at = int(min(ends[n], seg_last[n] + self.gap_ms)) if len(rest) else last_ts + self.gap_ms
-        self.at.update((last_ts, seg_start, horizon, self.wake(self.handle, old, at, watermark)))
+        closes = int(min(ends[n], seg_last[n] + self.gap_ms)) if len(rest) else last_ts + self.gap_ms
+        self.at.update((last_ts, seg_start, horizon, self.wake(self.handle, old, closes, watermark)))
 
-    def forget(self, old: int | None, watermark: int) -> None:
+    def forget(self, old: int | None, watermark: int, at: tuple | None, held: list) -> None:
         self.wake(self.handle, old, None, watermark)
-        self.open.clear()
-        self.at.clear()
+        if held:
+            self.open.clear()
+        if at:
+            self.at.clear()
 
     def out(self, key: tuple, rows: pd.DataFrame, side: str, starts: np.ndarray | None, win: np.ndarray | None) -> pd.DataFrame:
-        out = rows.copy()
-        for name, value in zip(self.keys, key):
-            out[name] = value
-        none = pd.array([pd.NA] * len(rows), "Int64")
-        out["seg_start"] = none if starts is None else pd.array(starts, "Int64")
-        out["win_id"] = none.astype("Int32") if win is None else pd.array(win, "Int32")
-        out["side"] = side
-        return out[[*self.keys, "timestamp", *[n for n, _ in self.payload], "seg_start", "win_id", "side"]]
+        none = pd.array([pd.NA] * len(rows), "Int64") if starts is None or win is None else None
+        return pd.DataFrame({
+            **dict(zip(self.keys, key)), **{n: rows[n].array for n in ("timestamp", *[n for n, _ in self.payload])},
+            "seg_start": none if starts is None else starts, "win_id": none.astype("Int32") if win is None else win.astype(np.int32), "side": side,
+        })
 
 
 def _guarded(traces: DataFrame, ahead_ms: int | None, now: Column | None) -> tuple[DataFrame, DataFrame | None]:
