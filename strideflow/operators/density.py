@@ -5,8 +5,8 @@ those within one reach of it (the *zone*) are known exactly, and so is every lin
 local to the zone and named by their smallest core time; neighbouring chunks agree on the cores around their border, and
 these *claims* say which local components are one.
 
-Pairs are taken by their distance in rank, all records at once, as long as any two are within reach: work follows the
-neighbours in time, memory the records.
+Pairs within reach are taken in blocks, each of many records at once, and measured once: what is kept of a pair is one bit for
+each row of the grid. Work follows the neighbours in time, memory the records and those bits.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from collections.abc import Iterator
 import numpy as np
 
 EARTH_DIAMETER_M = 2 * 6371.0 * 1000.0
+# Pairs of a block, where one record has not more.
+BLOCK_PAIRS = 1 << 18
 
 
 def metres(lat: np.ndarray, lng: np.ndarray, cos_lat: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -25,34 +27,30 @@ def metres(lat: np.ndarray, lng: np.ndarray, cos_lat: np.ndarray, i: np.ndarray,
 
 
 def pairs_in_reach(ts: np.ndarray, reach_ms: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Indices ``(i, j)`` with ``0 < ts[j] - ts[i] < reach_ms``, those at one distance in rank at a time."""
-    for k in range(1, len(ts)):
-        i = np.flatnonzero(ts[k:] - ts[:-k] < reach_ms)
-        if not len(i):
-            return
-        yield i, i + k
+    """Indices ``(i, j)`` with ``0 < ts[j] - ts[i] < reach_ms`` of distinct ascending times, in blocks by ``i``."""
+    later = np.searchsorted(ts, ts + reach_ms) - np.arange(1, len(ts) + 1)
+    total, first = np.concatenate([[0], np.cumsum(later)]), 0
+    while first < len(ts):
+        last = max(int(np.searchsorted(total, total[first] + BLOCK_PAIRS, "right")) - 1, first + 1)
+        if total[last] > total[first]:
+            i = np.repeat(np.arange(first, last), later[first:last])
+            yield i, i + 1 + np.arange(len(i)) - np.repeat(total[first:last] - total[first], later[first:last])
+        first = last
 
 
 def _merge(component: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Components after linking the pairs; each is named by its smallest index."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while x in parent:
-            up = parent[x]
-            if up in parent:
-                parent[x] = parent[up]
-            x = up
-        return x
-
-    low, high = np.minimum(a, b), np.maximum(a, b)
-    for x, y in np.unique(np.column_stack([low, high]), axis=0).tolist():
-        x, y = root(x), root(y)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
+    """Components after linking the pairs; each is named by its smallest index.
+
+    Of every pair the larger name goes under the smaller one, until no pair has two names: each round leaves at most half.
+    """
     name = np.arange(len(component))
-    for x in parent:
-        name[x] = root(x)
+    while len(a):
+        np.minimum.at(name, np.maximum(a, b), np.minimum(a, b))
+        while (up := name[name]).tobytes() != name.tobytes():
+            name = up
+        a, b = name[a], name[b]
+        differs = a != b
+        a, b = a[differs], b[differs]
     return name[component]
 
 
@@ -67,27 +65,36 @@ class Chunk:
         self.shared = self.zone & ((np.abs(ts - start + 0.5) < reach_ms) | (np.abs(ts - end + 0.5) < reach_ms))
         self.reach_ms = reach_ms
 
+    def near(self, i: np.ndarray, j: np.ndarray, grid: list[tuple[int, float, int]]) -> list[np.ndarray]:
+        """Which of the pairs are neighbours, for each row of the grid."""
+        apart, gap = metres(self.lat, self.lng, self.cos_lat, i, j), self.ts[j] - self.ts[i]
+        return [(apart < distance) & (gap < ms) for _, distance, ms in grid]
+
     def clusters(self, grid: list[tuple[int, float, int]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """For each ``(min_points, metres, ms)``: cores, the component of each, and pairs ``(record, component)`` of border records."""
         n, every = len(self.ts), range(len(grid))
         counts = np.zeros((len(grid), n), np.int64)
+        bits: list[list[np.ndarray]] = []
         for i, j in pairs_in_reach(self.ts, self.reach_ms):
-            apart, gap = metres(self.lat, self.lng, self.cos_lat, i, j), self.ts[j] - self.ts[i]
+            near = self.near(i, j, grid)
+            bits.append([np.packbits(near[g]) for g in every])
             for g in every:
-                near = (apart < grid[g][1]) & (gap < grid[g][2])
-                counts[g] += np.bincount(i[near], minlength=n) + np.bincount(j[near], minlength=n)
+                counts[g] += np.bincount(i[near[g]], minlength=n) + np.bincount(j[near[g]], minlength=n)
         core = [(counts[g] >= grid[g][0]) & self.zone for g in every]
-        any_core = np.logical_or.reduce(core) if grid else np.zeros(n, bool)
         component = [np.arange(n) for _ in every]
         border: list[list[np.ndarray]] = [[] for _ in every]
+        # A chain of linked neighbours in rank is one run.
+        before, after = np.arange(n - 1), np.arange(1, n)
+        for g, near in enumerate(self.near(before, after, grid) if any(c.any() for c in core) else ()):
+            chained = np.concatenate([[False], near & core[g][:-1] & core[g][1:]])
+            component[g] = np.maximum.accumulate(np.where(chained, 0, np.arange(n)))
         for second in (False, True):
             # First the links between cores; then, with the components known, what lies beside them.
-            for i, j in pairs_in_reach(self.ts, self.reach_ms):
-                some = (any_core[i] | any_core[j]) if second else (any_core[i] & any_core[j])
-                i, j = i[some], j[some]
-                apart, gap = metres(self.lat, self.lng, self.cos_lat, i, j), self.ts[j] - self.ts[i]
+            for (i, j), block in zip(pairs_in_reach(self.ts, self.reach_ms), bits):
                 for g in every:
-                    near = (apart < grid[g][1]) & (gap < grid[g][2])
+                    if not core[g].any():
+                        continue
+                    near = np.unpackbits(block[g], count=len(i)).astype(bool)
                     if second:
                         for a, b in ((i, j), (j, i)):
                             beside = near & core[g][b] & ~core[g][a] & self.own[a]
@@ -96,12 +103,7 @@ class Chunk:
                         continue
                     linked = near & core[g][i] & core[g][j]
                     a, b = component[g][i[linked]], component[g][j[linked]]
-                    if len(a) and j[0] - i[0] == 1:
-                        # A chain of neighbours in rank is one run.
-                        chained = np.zeros(n, bool)
-                        chained[j[linked]] = True
-                        component[g] = np.maximum.accumulate(np.where(chained, 0, np.arange(n)))
-                    elif (a != b).any():
+                    if (a != b).any():
                         component[g] = _merge(component[g], a[a != b], b[a != b])
         out = []
         for g in every:

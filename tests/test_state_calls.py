@@ -1,7 +1,9 @@
-"""What the stream operators write to the state store and ask of it."""
+"""What the stream operators write to the state store and ask of it, and that distances are measured once."""
 
+import numpy as np
 from test_streaming import Feed, drained
 
+from strideflow.operators import density
 from strideflow.streaming.segments import stream_windows
 
 
@@ -11,3 +13,15 @@ def test_open_records_are_few_state_entries(spark, tmp_path):
     out, state = drained(stream_windows(feed.stream(), delay="1 hour"), tmp_path)
     # all two thousand are open: two entries of records, the value and the timer, which is kept by time and by key
     assert not out and 0 < max(total for _, _, total in state) <= 6, state
+
+
+def test_every_pair_is_measured_once(monkeypatch):
+    rng, measured = np.random.default_rng(3), []
+    ts = np.cumsum(rng.integers(1, 9, 3000))
+    real = density.metres
+    monkeypatch.setattr(density, "metres", lambda lat, lng, cos_lat, i, j: (measured.append(len(i)), real(lat, lng, cos_lat, i, j))[1])
+    chunk = density.Chunk(ts, 47 + rng.normal(size=3000) * 1e-4, np.full(3000, 8.0), 0, int(ts[-1]) + 1, 60)
+    chunk.clusters([(6, 40.0, 60)])
+    pairs = sum(int(((ts[k:] - ts[:-k]) < 60).sum()) for k in range(1, 60))
+    # once, and neighbours in rank once more for their chains
+    assert sum(measured) <= pairs + 3000
