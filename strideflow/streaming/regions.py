@@ -22,7 +22,7 @@ from strideflow.operators.timeline import chunk_length
 from strideflow.schemas import (
     LATEST_TRACES, MAX_DISTANCE_M, MAX_TIME_DIFFERENCE_MS, MIN_POINTS, NOISE_CLUSTER, STREAM_KEYS, TRACE,
 )
-from strideflow.streaming.segments import batch_of, milliseconds, with_clock
+from strideflow.streaming.segments import batch_of, milliseconds, plain, with_clock
 
 cloudpickle.register_pickle_by_value(density)
 
@@ -68,31 +68,36 @@ class Regions(StatefulProcessor):
         self.expiry = handle.getValueState("expiry", "at long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = [pd.DataFrame(dict(zip(NAMES, values))) for _, values in self.records.iterator()]
-        known = pd.concat(held, ignore_index=True) if held else pd.DataFrame(columns=NAMES)
+        # Every call to the store takes its time, so a stream that has nothing there is not asked for.
+        there = self.expiry.get() is not None
+        held = [values for _, values in self.records.iterator()] if there else []
+        known = pd.DataFrame({n: [v for values in held for v in values[i]] for i, n in enumerate(NAMES)})
         new = batch_of(rows, NAMES).drop_duplicates("timestamp")
         # A record sent twice stays one record.
-        new = new[~new["timestamp"].isin(known["timestamp"])]
-        every = pd.concat([known, new], ignore_index=True) if len(known) else new
-        newest = every.nlargest(self.latest, "timestamp").sort_values("timestamp", ignore_index=True)
+        if len(known):
+            new = new[~new["timestamp"].isin(known["timestamp"])]
+        newest = pd.concat([known, new], ignore_index=True) if len(known) else new
+        if len(newest) > self.latest:
+            newest = newest.nlargest(self.latest, "timestamp")
+        newest = newest.sort_values("timestamp", ignore_index=True)
         newest = newest.astype({n: "int64" if n == "timestamp" else "float64" for n in NAMES})
         oldest = newest["timestamp"].iloc[0]
         moved = [*new["timestamp"][new["timestamp"] >= oldest], *known["timestamp"][known["timestamp"] < oldest]]
-        yield self.clustered(key, newest, {int(t) // self.chunk_ms for t in moved})
+        yield self.clustered(key, newest, {int(t) // self.chunk_ms for t in moved}, there)
         self.wake(int(newest["timestamp"].iloc[-1]), timerValues.getCurrentWatermarkInMs())
 
-    def clustered(self, key: tuple, newest: pd.DataFrame, changed: set[int]) -> pd.DataFrame:
+    def clustered(self, key: tuple, newest: pd.DataFrame, changed: set[int], known: bool) -> pd.DataFrame:
         chunk = (newest["timestamp"] // self.chunk_ms).to_numpy()
         ts, lat, lng = (newest[c].to_numpy() for c in ("timestamp", "latitude", "longitude"))
         there = set(chunk.tolist())
+        columns = [plain(newest[n]) for n in NAMES]
         for c in changed:
             if c in there:
-                part = newest[chunk == c].astype(object)
-                part = part.where(part.notna(), None)
-                self.records.updateValue((c,), tuple(part[n].tolist() for n in NAMES))
+                first, last = np.searchsorted(chunk, [c, c + 1]).tolist()
+                self.records.updateValue((c,), tuple(values[first:last] for values in columns))
             else:
                 self.records.removeKey((c,))
-        found = {k[0]: dict(zip(FOUND, values)) for k, values in self.found.iterator()}
+        found = {k[0]: dict(zip(FOUND, values)) for k, values in self.found.iterator()} if known else {}
         for c in [c for c in found if c not in there]:
             self.found.removeKey((c,))
             del found[c]
@@ -100,10 +105,8 @@ class Regions(StatefulProcessor):
             found[c] = self.around(ts, lat, lng, c)
             self.found.updateValue((c,), tuple(found[c][n] for n in FOUND))
         labels = resolved(list(found.values()))
-        out = newest.copy()
-        for name, value in zip(STREAM_KEYS, key):
-            out[name] = value
-        out["cluster_id"] = np.array([labels.get(t, NOISE_CLUSTER) for t in ts.tolist()], np.int32)
+        label = np.array([labels.get(t, NOISE_CLUSTER) for t in ts.tolist()], np.int32)
+        out = pd.DataFrame({**dict(zip(STREAM_KEYS, key)), **{n: newest[n].array for n in NAMES}, "cluster_id": label})
         return out[[*TRACE.fieldNames(), "cluster_id"]]
 
     def around(self, ts: np.ndarray, lat: np.ndarray, lng: np.ndarray, c: int) -> dict[str, list[int]]:

@@ -4,6 +4,7 @@ import numpy as np
 from test_streaming import Feed, drained
 
 from strideflow.operators import density
+from strideflow.streaming.regions import Regions
 from strideflow.streaming.segments import stream_windows
 
 
@@ -25,3 +26,47 @@ def test_every_pair_is_measured_once(monkeypatch):
     pairs = sum(int(((ts[k:] - ts[:-k]) < 60).sum()) for k in range(1, 60))
     # once, and neighbours in rank once more for their chains
     assert sum(measured) <= pairs + 3000
+
+
+def test_a_new_stream_is_not_asked_for_in_the_store():
+    from helpers import random_streams
+    import pandas as pd
+
+    asked = []
+
+    class State(dict):
+        def iterator(self):
+            asked.append("iterator")
+            return iter(self.items())
+
+        def updateValue(self, key, value):
+            self[key] = value
+
+        def get(self):
+            return dict.get(self, "value")
+
+        def update(self, value):
+            self["value"] = value
+
+    class Handle:
+        def getMapState(self, *_):
+            return State()
+
+        getValueState = getMapState
+
+        def registerTimer(self, _):
+            pass
+
+        def deleteTimer(self, _):
+            pass
+
+    class Clock:
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    rows = pd.DataFrame(random_streams(5, 1, 200, 9, 20.0)).assign(dominanthand=True)
+    regions = Regions(6, 40.0, 30, 1000, 60, 10_000)
+    regions.init(Handle())
+    first = [len(x) for x in regions.handleInputRows(("u0", True), iter([rows[:150]]), Clock())]
+    assert first == [150] and not asked
+    assert [len(x) for x in regions.handleInputRows(("u0", True), iter([rows[150:]]), Clock())] == [200] and len(asked) == 2
